@@ -103,3 +103,130 @@ f1 AS (SELECT *, """
     + ", ".join(f"{e.replace('AS STRING', 'AS VARCHAR')} AS {n}" for n, e in _F1_COLS.items())
     + " FROM f1b)"
 )
+
+# ----------------------------------------------------------------------- F2
+_F2 = {
+    "agent": "o_custkey",
+    "host": "o_custkey % 16",
+    "status": "CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'working' ELSE 'blocked' END",
+    "project": "o_orderpriority",
+    "seq": "o_orderkey",
+}
+
+
+def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host samples: each order is one sighting of an agent.
+
+    ``ord`` sorts by day, then order key. Chunks follow the same order and hold
+    ``16 * span`` order keys of one day, so a hot agent or host stays split.
+    """
+    o = table(spark, sf_dir, "orders")
+    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
+    span = 16 * default_span(spark)
+    return o.select(
+        *[F.expr(e).alias(n) for n, e in _F2.items()],
+        (day * 86400).alias("sampled_at"),
+        (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("month"),
+        F.year("o_orderdate").cast("long").alias("generation"),
+        (day * F.lit(1 << 40) + F.col("o_orderkey")).alias("ord"),
+        (day * F.lit(1 << 20) + F.floor(F.col("o_orderkey") / span)).cast("long").alias(CHUNK),
+    )
+
+
+F2_SQL = (
+    "f2 AS (SELECT "
+    + ", ".join(f"{e} AS {n}" for n, e in _F2.items())
+    + """, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) * 86400 AS sampled_at,
+  CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS month, CAST(year(o_orderdate) AS BIGINT) AS generation,
+  CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) * 1099511627776 + o_orderkey AS ord FROM orders)"""
+)
+
+# ----------------------------------------------------------------------- F3
+_F3 = {
+    "account_key": "o_custkey",
+    "provider": "lower(c_mktsegment)",
+    "used": "o_orderkey % 101",
+    "plan": "CASE o_orderkey % 5 WHEN 0 THEN 'pro' WHEN 1 THEN 'team' WHEN 2 THEN 'gold' WHEN 3 THEN 'free' END",
+    "reset_count": "CASE WHEN o_orderkey % 7 = 0 THEN 20000 WHEN o_orderkey % 7 = 1 THEN NULL ELSE o_orderkey % 7 END",
+    "lifetime_tokens": "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey * 1000 END",
+    "peak_daily_tokens": "o_orderkey % 100000",
+}
+
+
+def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quota observations of mapped and unmapped accounts."""
+    o, cu = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long") * 86400
+    j = o.join(cu, F.col("o_custkey") == F.col("c_custkey"))
+    return j.select(
+        F.col("o_orderkey").alias("seq"),
+        *[F.expr(e).alias(n) for n, e in _F3.items()],
+        day.alias("sampled_at"),
+        (day + (F.col("o_orderkey") % 400 + 1) * 86400).alias("resets_at"),
+        F.expr("CASE WHEN o_orderkey % 4 > 0 THEN 1 END * 86400").cast("long").alias("_e"),
+    ).withColumn("reset_expires_at", F.col("sampled_at") + F.col("_e") * (F.col("seq") % 300)).drop("_e")
+
+
+F3_SQL = (
+    "f3 AS (SELECT o_orderkey AS seq, "
+    + ", ".join(f"{e} AS {n}" for n, e in _F3.items())
+    + """, epoch(o_orderdate)::BIGINT AS sampled_at, epoch(o_orderdate)::BIGINT + (o_orderkey % 400 + 1) * 86400 AS resets_at,
+  CASE WHEN o_orderkey % 4 > 0 THEN epoch(o_orderdate)::BIGINT + (o_orderkey % 300) * 86400 END AS reset_expires_at
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+)
+
+# ----------------------------------------------------------------------- F4
+_F4 = {
+    "status": "CASE event_type WHEN 'view' THEN 'idle' WHEN 'click' THEN 'working' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'blocked' ELSE 'unknown' END",
+    "output": "CASE WHEN k % 4 > 0 THEN k END",
+    "missing": "k % 4 = 0",
+    "rejected": "k = 50",
+    "short": "k = 52",
+    "cleared": "k = 53",
+    "online": "k <> 60",
+    "starts": "k % 4",
+    "stops": "k % 3",
+    "child_stamp": "CASE WHEN k % 4 + k % 3 > 0 THEN stamp - k * 1000 END",
+    "done": "k % 5",
+    "compactions": "CASE WHEN k % 6 > 0 THEN k % 6 END",
+    "stale": "k % 9 = 0",
+}
+
+
+def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry samples of one agent per user."""
+    base = f0(spark, sf_dir).withColumn("generation", F.expr("rn div 20"))
+    return base.withColumnRenamed("session_id", "agent").select(
+        "agent", "ord", "stamp", "k", "rn", "generation", *[F.expr(e).alias(n) for n, e in _F4.items()]
+    )
+
+
+F4_SQL = F0_SQL + (
+    ",\nf4 AS (SELECT session_id AS agent, ord, stamp, k, rn, rn // 20 AS generation, "
+    + ", ".join(f"{e} AS {n}" for n, e in _F4.items())
+    + " FROM f0)"
+)
+
+# ----------------------------------------------------------------------- F6
+_F6 = {
+    "id": "concat('p', CAST(s_suppkey AS {s}))",
+    "target": "replace(s_name, '#', '-')",
+    "label": "n_name",
+    "session": "CASE WHEN s_suppkey % 5 = 0 THEN 'night' ELSE 'default' END",
+    "enabled": "s_suppkey % 3 <> 0",
+    "num": "s_suppkey",
+}
+
+
+def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Machine inventory."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    j = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    return j.select(*[F.expr(e.format(s="STRING")).alias(c) for c, e in _F6.items()])
+
+
+F6_SQL = (
+    "f6 AS (SELECT "
+    + ", ".join(f"{e.format(s='VARCHAR')} AS {c}" for c, e in _F6.items())
+    + " FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+)

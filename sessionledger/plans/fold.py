@@ -43,6 +43,7 @@ class Machine(NamedTuple):
     high: str
 
 
+STATE = "state"  # the event that carries a chunk's exit state
 EVENT_FIELDS = [
     T.StructField("ord", T.LongType()),
     T.StructField("event", T.StringType()),
@@ -85,15 +86,20 @@ def _replay(rows: DataFrame, keys: list[str], machine: Machine, events: bool) ->
     inputs = machine.inputs
 
     def run(batches):
-        group, entry, state = None, None, None
+        group, entry, state, last = None, None, None, None
         out: list[tuple] = []
 
         def emit(*event):
             out.append((*group, *event))
 
         def close():
-            if group is not None and not events:
-                out.append((*group, *entry, dump_state(machine, state), state[machine.high]))
+            if group is None:
+                return
+            end = (dump_state(machine, state), state[machine.high])
+            if events:
+                emit(last, STATE, None, end[1], end[0])
+            else:
+                out.append((*group, *entry, *end))
 
         def flush():
             columns = list(zip(*out)) if out else [[] for _ in out_schema]
@@ -111,6 +117,7 @@ def _replay(rows: DataFrame, keys: list[str], machine: Machine, events: bool) ->
                     close()
                     group, entry, state = g, e, load_state(machine, *e)
                 machine.step(state, row, sink)
+                last = row[0]
             yield flush()
         close()
         yield flush()
@@ -126,7 +133,8 @@ def _replay(rows: DataFrame, keys: list[str], machine: Machine, events: bool) ->
 def chunked_fold(
     df: DataFrame, keys: list[str], machine: Machine, span: int | None = None
 ) -> DataFrame:
-    """Events of ``machine`` replayed over each key of ``df`` in order.
+    """Events of ``machine`` replayed over each key of ``df`` in order, and one
+    ``state`` event at the end of each chunk (the latest is the key's state).
 
     Only keys longer than one chunk run the settling passes; their rows and the
     small per-chunk states are checkpointed between passes.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,8 @@ def written_table(spark: SparkSession, name: str, build) -> DataFrame:
         build().write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared checkpoint folder for a sink's output."""
+    return f"{ensure_checkpoint_dir(spark)}/out/{name}-{uuid.uuid4().hex}"

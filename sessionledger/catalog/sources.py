@@ -85,7 +85,10 @@ def transcript(spark, d):
     lg.write_log_segments(transcript_lines(spark, d), path)
     lines = lg.read_log_segments(spark, path, "$.log")
     records = lg.transcript_records(lg.parse_transcript(lines))
-    return records.withColumn("session_id", F.col("session_id").cast("long"))
+    # Text is parsed once; the operators read the written record table.
+    table_path = scratch_path(spark, "records")
+    records.withColumn("session_id", F.col("session_id").cast("long")).write.parquet(table_path)
+    return spark.read.parquet(table_path)
 
 
 @query("read_session_log", USAGE_TOTALS_SQL)

@@ -12,7 +12,25 @@ STATUSES = ["running", "completed", "interrupted", "errored", "unknown"]
 
 def status_of(event: str = "child_event"):
     e = F.col(event)
-    return F.when(e.isin("launch", "resume"), "running").when(e.isin(*STATUSES), e).otherwise("unknown")
+    return (
+        F.when(e.isin("launch", "resume"), "running")
+        .when(e == "sync", "completed")
+        .when(e.isin(*STATUSES), e)
+        .otherwise("unknown")
+    )
+
+
+def launches(event: str = "child_event"):
+    """Events that create a child: a background launch or a finished call."""
+    return F.col(event).isin("launch", "sync")
+
+
+def lost_roster(df: DataFrame):
+    """Records after which the roster can no longer be trusted."""
+    hurt = F.col("mismatch") | (
+        F.col("bad") & ~F.col("forked") & F.col("kind").isin("user", "attachment")
+    )
+    return hurt | (F.col("child_lost") & ~F.col("forked")) if "child_lost" in df.columns else hurt
 
 
 def _events(df: DataFrame) -> DataFrame:
@@ -25,7 +43,7 @@ def known_children(df: DataFrame, span: int | None = None) -> DataFrame:
         _events(df),
         ["session_id", "child_key"],
         "ord",
-        {"known": Run("max", F.col("child_event") == "launch")},
+        {"known": Run("max", launches())},
         span,
     ).select("session_id", "ord", "child_key", "child_event", "known")
 
@@ -42,8 +60,8 @@ def child_outcomes(df: DataFrame, strict: bool = False, cap: int | None = None)
         .groupBy("session_id", "child_key")
         .agg(
             F.max_by(status_of(), "ord").alias("status"),
-            F.bool_or(F.col("child_event") == "launch").alias("launched"),
-            (F.min_by("child_event", "ord") != "launch").alias("early"),
+            F.bool_or(launches()).alias("launched"),
+            (~F.min_by(launches(), "ord")).alias("early"),
         )
     )
     per_session = per_child.groupBy("session_id").agg(
@@ -51,8 +69,7 @@ def child_outcomes(df: DataFrame, strict: bool = False, cap: int | None = None)
         F.count_if("launched").alias("total"),
         F.bool_or("early").alias("early"),
     )
-    lost = F.col("bad") & ~F.col("forked") & F.col("kind").isin("user", "attachment")
-    flags = df.groupBy("session_id").agg((~F.bool_or(F.col("mismatch") | lost)).alias("valid"))
+    flags = df.groupBy("session_id").agg((~F.bool_or(lost_roster(df))).alias("valid"))
     j = flags.join(per_session, "session_id", "left")
     valid = F.col("valid")
     if strict:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import STATE, Machine, Run, chunked_fold, running, with_chunk
-from .children import status_of
+from .children import launches, lost_roster, status_of
 
 SECOND = 1_000_000
 SKEW = 2  # seconds by which an end record may disagree with the saved start
@@ -435,8 +435,8 @@ def turn_records_b(df: DataFrame, span: int | None = None) -> DataFrame:
         ["session_id", "child_key"],
         "ord",
         {
-            "_launched": Run("max", c("child_event") == "launch"),
-            "_before": Run("max", c("child_event") == "launch", before=True),
+            "_launched": Run("max", launches()),
+            "_before": Run("max", launches(), before=True),
             "_prev": Run("last", runs, before=True),
         },
         span,
@@ -446,7 +446,7 @@ def turn_records_b(df: DataFrame, span: int | None = None) -> DataFrame:
     events = events.withColumn("_delta", delta).drop("_launched", "_before", "_prev")
     others = rows.filter(~is_event).withColumn("_delta", F.lit(0).cast("long"))
     rows = others.unionByName(events)
-    hurt = c("mismatch") | (c("bad") & c("kind").isin("user", "attachment"))
+    hurt = lost_roster(rows)
     rows = running(
         rows,
         ["session_id"],

@@ -147,7 +147,11 @@ def last_response(df: DataFrame, ring: int = 32, span: int | None = None) -> Dat
     lines = usage_lines(df, ring, span)
     failed = ~F.col("part") | F.col("reopened") | ~F.col("complete")
     candidate = F.col("last_line") & F.col("stop").isNotNull() & ~failed
-    best = F.struct("island_start", "model", "stamp", *COUNTERS)
+    # The response reports its selected iteration where the source has one.
+    chosen = [
+        (F.col(f"selected.{n}") if "selected" in lines.columns else F.col(n)).alias(n) for n in COUNTERS
+    ]
+    best = F.struct("island_start", "model", *chosen)
     agg = lines.groupBy("session_id").agg(
         F.max(F.when(failed, F.col("ord"))).alias("_fail"),
         F.max_by(best, F.when(candidate, F.col("ord"))).alias("_best"),
@@ -415,7 +419,7 @@ def seq_rollup(df: DataFrame, now_us: int, ring: int = 32) -> DataFrame:
         df.filter("child_event IS NOT NULL AND NOT forked AND NOT bad"),
         ["session_id", "child_key"],
         "ord",
-        {"_known": Run("max", F.col("child_event") == "launch")},
+        {"_known": Run("max", F.col("child_event").isin("launch", "sync"))},
     )
     child = (
         child.filter("_known").groupBy("session_id").agg(F.max("stamp").alias("child_seq"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans import Run, default_span, running, written_table
-from .plans.scan import CHUNK
+from .plans.scan import CHUNK, chunk_number
 
 NOW_US = 1706832000000000  # 2024-02-02, past every event
 NOW_S = NOW_US // 1_000_000
@@ -129,7 +129,7 @@ def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("month"),
         F.year("o_orderdate").cast("long").alias("generation"),
         (day * F.lit(1 << 40) + F.col("o_orderkey")).alias("ord"),
-        (day * F.lit(1 << 20) + F.floor(F.col("o_orderkey") / span)).cast("long").alias(CHUNK),
+        (day * F.lit(1 << 20) + chunk_number("o_orderkey", span)).alias(CHUNK),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import Run, running
+from ..plans.scan import chunk_number
 
 SAFE = 9_007_199_254_740_991  # largest exact counter, 2^53 - 1
 RESERVE = 12_000  # context tokens format A keeps back
@@ -74,7 +75,7 @@ def reopened_groups(lines: DataFrame, ring: int = 32) -> DataFrame:
     shown to the next block, so an earlier group within reach always shares a
     block and no window group holds more than two blocks of starts.
     """
-    block = F.floor(F.col("island") / ring).cast("long")
+    block = chunk_number("island", ring)
     starts = (
         lines.filter("new")
         .select("session_id", "message_id", "ord", "island", block.alias("_own"))

@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .scan import CHUNK
+from .scan import CHUNK, chunk_number
+from .ship import ship_package
 from .store import ensure_checkpoint_dir
 
 SPAN_CONF = "sessionledger.fold.span"
@@ -51,7 +53,6 @@ EVENT_FIELDS = [
     T.StructField("b", T.LongType()),
     T.StructField("text", T.StringType()),
 ]
-_ARROW = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
 
 
 def dump_state(machine: Machine, state: dict) -> str:
@@ -68,65 +69,47 @@ def load_state(machine: Machine, text: str | None, high: int | None) -> dict:
 
 
 def _replay(rows: DataFrame, keys: list[str], machine: Machine, events: bool) -> DataFrame:
-    """Replay every (key, chunk) group; yield its events, or its exit state."""
+    """Replay every (key, chunk) group; yield its events, or its exit state.
+
+    A grouped map, because it is the grouping that obliges Spark to keep a
+    chunk in one task; an explicit repartition may be planned away.
+    """
     lead = [*keys, CHUNK]
-    types = dict(rows.dtypes)
-    key_fields = [(k, _ARROW[types[k]]) for k in lead]
     spark_keys = [T.StructField(k, rows.schema[k].dataType) for k in lead]
     if events:
-        tail = [(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in EVENT_FIELDS]
         schema = T.StructType([*spark_keys, *EVENT_FIELDS])
     else:
-        tail = [("entry", pa.string()), ("entry_hi", pa.int64()), ("exit", pa.string()), ("exit_hi", pa.int64())]
         schema = T.StructType(
             [*spark_keys]
-            + [T.StructField(n, T.LongType() if t == pa.int64() else T.StringType()) for n, t in tail]
+            + [T.StructField(n, T.StringType()) for n in ("entry", "exit")]
+            + [T.StructField(n, T.LongType()) for n in ("entry_hi", "exit_hi")]
         )
-    out_schema = pa.schema(key_fields + tail)
+    out_schema = to_arrow_schema(schema)
     inputs = machine.inputs
 
-    def run(batches):
-        group, entry, state, last = None, None, None, None
+    def run(key, table):
+        group = tuple(k.as_py() for k in key)
+        data = table.sort_by(inputs[0]).to_pydict()
+        entry = (data["entry"][0], data["entry_hi"][0])
+        state = load_state(machine, *entry)
         out: list[tuple] = []
 
         def emit(*event):
             out.append((*group, *event))
 
-        def close():
-            if group is None:
-                return
-            end = (dump_state(machine, state), state[machine.high])
-            if events:
-                emit(last, STATE, None, end[1], end[0])
-            else:
-                out.append((*group, *entry, *end))
-
-        def flush():
-            columns = list(zip(*out)) if out else [[] for _ in out_schema]
-            arrays = [pa.array(c, t) for c, t in zip(columns, out_schema.types)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(arrays, schema=out_schema)
-
         sink = emit if events else (lambda *event: None)
-        for batch in batches:
-            data = batch.to_pydict()
-            groups = zip(*[data[k] for k in lead])
-            entries = zip(data["entry"], data["entry_hi"])
-            for g, e, row in zip(groups, entries, zip(*[data[c] for c in inputs])):
-                if g != group:
-                    close()
-                    group, entry, state = g, e, load_state(machine, *e)
-                machine.step(state, row, sink)
-                last = row[0]
-            yield flush()
-        close()
-        yield flush()
+        for row in zip(*[data[c] for c in inputs]):
+            machine.step(state, row, sink)
+        text, high = dump_state(machine, state), state[machine.high]
+        if events:
+            emit(data[inputs[0]][-1], STATE, None, high, text)
+        else:
+            out.append((*group, entry[0], text, entry[1], high))
+        columns = [pa.array(c, t) for c, t in zip(zip(*out), out_schema.types)]
+        return pa.Table.from_arrays(columns, schema=out_schema)
 
     return (
-        rows.select(*lead, "entry", "entry_hi", *inputs)
-        .repartition(*lead)
-        .sortWithinPartitions(*lead, inputs[0])
-        .mapInArrow(run, schema)
+        rows.select(*lead, "entry", "entry_hi", *inputs).groupBy(*lead).applyInArrow(run, schema)
     )
 
 
@@ -140,10 +123,11 @@ def chunked_fold(
     small per-chunk states are checkpointed between passes.
     """
     spark = df.sparkSession
+    ship_package(spark)
     span = span or int(spark.conf.get(SPAN_CONF, str(DEFAULT_SPAN)))
     ord = machine.inputs[0]
     rows = df.select(
-        *keys, F.floor(F.col(ord) / F.lit(span)).cast("long").alias(CHUNK), *machine.inputs
+        *keys, chunk_number(ord, span).alias(CHUNK), *machine.inputs
     )
     at = [*keys, CHUNK]
     long_keys = (

@@ -38,12 +38,18 @@ def default_span(spark: SparkSession) -> int:
     return int(spark.conf.get(SPAN_CONF, str(DEFAULT_SPAN)))
 
 
+def chunk_number(ord: str, span: int) -> Column:
+    """Floor of ``ord / span`` in whole numbers, exact beyond 2^53."""
+    at = F.col(ord).cast("long")
+    return F.call_function("div", at - F.pmod(at, F.lit(span)), F.lit(span))
+
+
 def with_chunk(df: DataFrame, ord: str, span: int | None = None) -> DataFrame:
     """Add the chunk number of integer order column ``ord`` unless present."""
     if CHUNK in df.columns:
         return df
     span = span or default_span(df.sparkSession)
-    return df.withColumn(CHUNK, F.floor(F.col(ord) / F.lit(span)).cast("long"))
+    return df.withColumn(CHUNK, chunk_number(ord, span))
 
 
 def _local(run: Run, parts: list[str], ord: str) -> Column:

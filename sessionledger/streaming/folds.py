@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.turns import B_INPUTS, MACHINE_B, a_start, a_step, b_start, b_step
 from ..plans import STATE, Machine
 from ..plans.fold import EVENT_FIELDS
+from ..plans.ship import ship_package
 
 RING = 32
 SAFE = 9_007_199_254_740_991
@@ -29,6 +30,7 @@ def stream_fold(
 ) -> DataFrame:
     """Append-mode events of ``machine`` per ``key``, and its state after every
     micro-batch. With a timeout, a key idle that long loses its state."""
+    ship_package(records.sparkSession)
     fields = [records.schema[key], *EVENT_FIELDS]
     out = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
     names = [key, *[f.name for f in EVENT_FIELDS]]

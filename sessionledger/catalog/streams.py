@@ -11,7 +11,8 @@ from ..streaming import runs as ru
 from .quota import SAN_SQL, sanitised
 from .registry import query
 from .sources import transcript_lines
-from .turns import _summary_a, records_a, with_trigger, _B
+from .turns import _B, TRIG_SQL, _summary_a, records_a, with_trigger
+from .turns_oracle import summary_sql
 from .usage import LINES_SQL, USAGE_TOTALS_SQL, _outcomes_sql
 
 
@@ -57,7 +58,7 @@ def b_stream_records(spark, d):
     )
 
 
-@query("stream_turns_b")
+@query("stream_turns_b", summary_sql(TRIG_SQL, _B))
 def _(spark, d):
     return tn.turn_summary_b(fold(spark, b_stream_records(spark, d), fo.MACHINE_B_STREAM, "turns-b"))
 

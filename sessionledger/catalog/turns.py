@@ -8,6 +8,7 @@ from ..fixtures import F1_SQL, NOW_S, f1, with_ctes
 from ..operators import turns as tn
 from ..plans import Run, running
 from .registry import query
+from .turns_oracle import gates_sql, joins_sql, summary_sql
 
 TRIG_SQL = """tg AS (SELECT *, last_value(CASE WHEN p = 0 THEN stamp END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ord) AS trig FROM f1)"""
 
@@ -174,16 +175,16 @@ def records_b(spark, d, where="true"):
     return tn.turn_records_b(x)
 
 
-@query("turn_summary_b")
+@query("turn_summary_b", summary_sql(TRIG_SQL, _B))
 def _(spark, d):
     return tn.turn_summary_b(tn.turn_events_b(records_b(spark, d)))
 
 
-@query("turn_gate_stats")
+@query("turn_gate_stats", gates_sql(TRIG_SQL, _B))
 def _(spark, d):
     return tn.turn_gate_stats(tn.turn_events_b(records_b(spark, d)))
 
 
-@query("queued_input_join")
+@query("queued_input_join", joins_sql(TRIG_SQL, _B))
 def _(spark, d):
     return tn.queued_input_join(tn.turn_events_b(records_b(spark, d)))

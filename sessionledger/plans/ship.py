@@ -19,8 +19,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     root = pathlib.Path(__file__).resolve().parents[1]
     target = pathlib.Path(tempfile.mkdtemp(prefix="sessionledger-", dir="/tmp")) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for source in sorted(root.rglob("*.py")):
-            z.write(source, source.relative_to(root.parent))
+    with zipfile.PyZipFile(str(target), "w") as z:
+        z.writepy(str(root))  # compiled once here rather than in every worker
     spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)

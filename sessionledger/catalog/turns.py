@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import F1_SQL, NOW_S, f1, with_ctes
+from ..fixtures import F1_SQL, NOW_S, f0, f1, with_ctes
 from ..operators import turns as tn
 from ..plans import Run, running
 from .registry import query
@@ -113,12 +113,12 @@ FROM fin LEFT JOIN tot ON fin.session_id = tot.session_id"""
 
 @query("turn_summary", _summary_a("true"))
 def _(spark, d):
-    return tn.turn_summary_a(records_a(spark, d))
+    return tn.turn_summary_a(records_a(spark, d), extent=f0(spark, d))
 
 
 @query("capped_turns", _summary_a("coalesce(turns, 0) <= 5"))
 def _(spark, d):
-    return tn.turn_summary_a(records_a(spark, d), cap=5)
+    return tn.turn_summary_a(records_a(spark, d), cap=5, extent=f0(spark, d))
 
 
 @query(
@@ -177,14 +177,14 @@ def records_b(spark, d, where="true"):
 
 @query("turn_summary_b", summary_sql(TRIG_SQL, _B))
 def _(spark, d):
-    return tn.turn_summary_b(tn.turn_events_b(records_b(spark, d)))
+    return tn.turn_summary_b(tn.turn_events_b(records_b(spark, d), extent=f0(spark, d)))
 
 
 @query("turn_gate_stats", gates_sql(TRIG_SQL, _B))
 def _(spark, d):
-    return tn.turn_gate_stats(tn.turn_events_b(records_b(spark, d)))
+    return tn.turn_gate_stats(tn.turn_events_b(records_b(spark, d), extent=f0(spark, d)))
 
 
 @query("queued_input_join", joins_sql(TRIG_SQL, _B))
 def _(spark, d):
-    return tn.queued_input_join(tn.turn_events_b(records_b(spark, d)))
+    return tn.queued_input_join(tn.turn_events_b(records_b(spark, d), extent=f0(spark, d)))

@@ -112,7 +112,9 @@ def turn_pairs(records: DataFrame) -> DataFrame:
     )
 
 
-def turn_summary_a(records: DataFrame, span: int | None = None, cap: int | None = None) -> DataFrame:
+def turn_summary_a(
+    records: DataFrame, span: int | None = None, cap: int | None = None, extent: DataFrame | None = None
+) -> DataFrame:
     """Per session: finished turns, last interval, and a total that is NULL
     unless every record could be placed. ``cap`` makes the total unknown
     beyond that many turns instead of dropping any."""
@@ -122,7 +124,7 @@ def turn_summary_a(records: DataFrame, span: int | None = None, cap: int | None
         .groupBy("session_id")
         .agg(F.count(F.lit(1)).alias("turns"), F.sum(c("end") - c("start")).alias("total"))
     )
-    events = chunked_fold(records, ["session_id"], MACHINE_A, span)
+    events = chunked_fold(records, ["session_id"], MACHINE_A, span, extent)
     last = F.max_by(F.struct("a", "b", "text"), F.when(c("event") == "last", c("ord")))
     state = F.max_by("text", F.when(c("event") == STATE, c("ord")))
     folded = events.groupBy("session_id").agg(
@@ -480,8 +482,10 @@ def turn_records_b(df: DataFrame, span: int | None = None) -> DataFrame:
     )
 
 
-def turn_events_b(records: DataFrame, span: int | None = None) -> DataFrame:
-    return chunked_fold(records, ["session_id"], MACHINE_B, span)
+def turn_events_b(
+    records: DataFrame, span: int | None = None, extent: DataFrame | None = None
+) -> DataFrame:
+    return chunked_fold(records, ["session_id"], MACHINE_B, span, extent)
 
 
 def turn_summary_b(events: DataFrame) -> DataFrame:

@@ -71,10 +71,13 @@ def load_state(machine: Machine, text: str | None, high: int | None) -> dict:
 def _replay(rows: DataFrame, keys: list[str], machine: Machine, events: bool) -> DataFrame:
     """Replay every (key, chunk) group; yield its events, or its exit state.
 
-    A grouped map, because it is the grouping that obliges Spark to keep a
-    chunk in one task; an explicit repartition may be planned away.
+    The row number is what keeps a chunk whole: its window obliges Spark to
+    bring each group to one task in order, where an explicit repartition may be
+    planned away by an adaptive join. Tasks stream through many groups, a new
+    one starting at each number 1.
     """
     lead = [*keys, CHUNK]
+    ord, inputs = machine.inputs[0], machine.inputs
     spark_keys = [T.StructField(k, rows.schema[k].dataType) for k in lead]
     if events:
         schema = T.StructType([*spark_keys, *EVENT_FIELDS])
@@ -85,42 +88,67 @@ def _replay(rows: DataFrame, keys: list[str], machine: Machine, events: bool) ->
             + [T.StructField(n, T.LongType()) for n in ("entry_hi", "exit_hi")]
         )
     out_schema = to_arrow_schema(schema)
-    inputs = machine.inputs
 
-    def run(key, table):
-        group = tuple(k.as_py() for k in key)
-        data = table.sort_by(inputs[0]).to_pydict()
-        entry = (data["entry"][0], data["entry_hi"][0])
-        state = load_state(machine, *entry)
+    def run(batches):
+        group, entry, state, last = None, None, None, None
         out: list[tuple] = []
 
         def emit(*event):
             out.append((*group, *event))
 
         sink = emit if events else (lambda *event: None)
-        for row in zip(*[data[c] for c in inputs]):
-            machine.step(state, row, sink)
-        text, high = dump_state(machine, state), state[machine.high]
-        if events:
-            emit(data[inputs[0]][-1], STATE, None, high, text)
-        else:
-            out.append((*group, entry[0], text, entry[1], high))
-        columns = [pa.array(c, t) for c, t in zip(zip(*out), out_schema.types)]
-        return pa.Table.from_arrays(columns, schema=out_schema)
 
+        def close():
+            if group is None:
+                return
+            text, high = dump_state(machine, state), state[machine.high]
+            if events:
+                emit(last, STATE, None, high, text)
+            else:
+                out.append((*group, entry[0], text, entry[1], high))
+
+        def flush():
+            columns = list(zip(*out)) if out else [[] for _ in out_schema]
+            out.clear()
+            arrays = [pa.array(c, t) for c, t in zip(columns, out_schema.types)]
+            return pa.RecordBatch.from_arrays(arrays, schema=out_schema)
+
+        for batch in batches:
+            data = batch.to_pydict()
+            groups = zip(*[data[k] for k in lead])
+            entries = zip(data["entry"], data["entry_hi"])
+            for n, g, e, row in zip(data["_n"], groups, entries, zip(*[data[c] for c in inputs])):
+                if n == 1:
+                    close()
+                    group, entry, state = g, e, load_state(machine, *e)
+                machine.step(state, row, sink)
+                last = row[0]
+            yield flush()
+        close()
+        yield flush()
+
+    number = F.row_number().over(Window.partitionBy(*lead).orderBy(ord))
     return (
-        rows.select(*lead, "entry", "entry_hi", *inputs).groupBy(*lead).applyInArrow(run, schema)
+        rows.select(*lead, "entry", "entry_hi", *inputs)
+        .withColumn("_n", number)
+        .mapInArrow(run, schema)
     )
 
 
 def chunked_fold(
-    df: DataFrame, keys: list[str], machine: Machine, span: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    machine: Machine,
+    span: int | None = None,
+    extent: DataFrame | None = None,
 ) -> DataFrame:
     """Events of ``machine`` replayed over each key of ``df`` in order, and one
     ``state`` event at the end of each chunk (the latest is the key's state).
 
     Only keys longer than one chunk run the settling passes; their rows and the
-    small per-chunk states are checkpointed between passes.
+    small per-chunk states are checkpointed between passes. Which keys are long
+    is read from ``extent`` where given, a cheaper frame with the same keys and
+    orders (a superset will do).
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -131,8 +159,9 @@ def chunked_fold(
     )
     at = [*keys, CHUNK]
     long_keys = (
-        rows.groupBy(*keys)
-        .agg(F.min(CHUNK).alias("_lo"), F.max(CHUNK).alias("_hi"))
+        (rows if extent is None else extent)
+        .groupBy(*keys)
+        .agg(chunk_number(F.min(ord), span).alias("_lo"), chunk_number(F.max(ord), span).alias("_hi"))
         .filter("_lo < _hi")
         .select(*keys)
     )

@@ -38,9 +38,9 @@ def default_span(spark: SparkSession) -> int:
     return int(spark.conf.get(SPAN_CONF, str(DEFAULT_SPAN)))
 
 
-def chunk_number(ord: str, span: int) -> Column:
+def chunk_number(ord: str | Column, span: int) -> Column:
     """Floor of ``ord / span`` in whole numbers, exact beyond 2^53."""
-    at = F.col(ord).cast("long")
+    at = (F.col(ord) if isinstance(ord, str) else ord).cast("long")
     return F.call_function("div", at - F.pmod(at, F.lit(span)), F.lit(span))
 
 

@@ -6,21 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import Run, running, scratch_path
+from ..plans.scan import chunk_number
 
 
-def land_segments(df: DataFrame, key: str, ord: str, parts: int = 4) -> str:
-    """Land ``df`` as ``parts`` segments in ``ord`` order, as producers would.
+def land_segments(
+    df: DataFrame, key: str, ord: str, parts: int = 4, rows_per_segment: int = 50_000_000
+) -> str:
+    """Land ``df`` as segments in ``ord`` order, as producers would.
 
-    Within one segment all rows of a key are in one file, so file order is log
-    order. Returns the folder.
+    One pass cuts the data by segment; each segment is then landed from its own
+    folder, so no segment re-reads the rest. All rows of a key are in one file
+    of a segment, so file order is log order, and a segment bounds what one key
+    can bring to a task. Returns the folder.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, "landing")
-    low, high = df.agg(F.min(ord), F.max(ord)).first()
+    staging, path = scratch_path(spark, "staging"), scratch_path(spark, "landing")
+    low, high, rows = df.agg(F.min(ord), F.max(ord), F.count(F.lit(1))).first()
+    parts = max(parts, -(-rows // rows_per_segment))
     step = (high - low) // parts + 1
+    segment = chunk_number(F.col(ord) - F.lit(low), step)
+    cut = df.withColumn("_segment", segment).repartition("_segment", key)
+    cut.write.partitionBy("_segment").parquet(staging)
     for i in range(parts):
-        lo = low + i * step
-        df.filter(F.col(ord).between(lo, lo + step - 1)).repartition(key).write.mode("append").parquet(path)
+        piece = spark.read.schema(df.schema).parquet(f"{staging}/_segment={i}")
+        piece.repartition(key).write.mode("append").parquet(path)
     return path
 
 

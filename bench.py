@@ -2,7 +2,7 @@
 
 ``BENCH_SF_DIR`` is the table folder, ``BENCH_CPUS`` the local cores. Every
 result is fully produced into a no-op sink, so nothing is pruned away.
-``records_table`` is the one-off ingestion that numbers the log lines.
+``records_table`` is the one-off ingestion that writes the record table.
 """
 
 import json
@@ -60,12 +60,12 @@ def main():
     )
     spark.sparkContext.setLogLevel("ERROR")
     from sessionledger.catalog import QUERIES
-    from sessionledger.fixtures import f0
+    from sessionledger.fixtures import f1
 
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up
     times = {}
     start = time.time()
-    f0(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    f1(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times["records_table"] = round(time.time() - start, 3)
     for name in HEADLINE:
         start = time.time()

@@ -11,7 +11,7 @@ from ..streaming import runs as ru
 from .quota import SAN_SQL, sanitised
 from .registry import query
 from .sources import transcript_lines
-from .turns import _B, TRIG_SQL, _summary_a, records_a, with_trigger
+from .turns import _B, TRIG_SQL, _summary_a, records_a
 from .turns_oracle import summary_sql
 from .usage import LINES_SQL, USAGE_TOTALS_SQL, _outcomes_sql
 
@@ -44,7 +44,7 @@ def _(spark, d):
 
 def b_stream_records(spark, d):
     """Classified records with the fields the format B stream reads."""
-    x = with_trigger(spark, d).filter(~F.col("forked"))
+    x = f1(spark, d).filter(~F.col("forked"))
     x = x.select("*", *[F.expr(e.format(div="div")).alias(n) for n, e in _B.items()])
     lost = F.expr(
         "CASE WHEN bad AND NOT synthetic AND kind IS NOT NULL THEN CASE WHEN kind = 'queue-operation' THEN 'queue' ELSE 'record' END END"

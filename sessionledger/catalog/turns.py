@@ -6,20 +6,12 @@ from pyspark.sql import functions as F
 
 from ..fixtures import F1_SQL, NOW_S, f0, f1, with_ctes
 from ..operators import turns as tn
-from ..plans import Run, running
 from .registry import query
 from .turns_oracle import gates_sql, joins_sql, summary_sql
 
 TRIG_SQL = """tg AS (SELECT *, last_value(CASE WHEN p = 0 THEN stamp END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ord) AS trig FROM f1)"""
 
 
-def with_trigger(spark, d):
-    """F1 with the stamp of the latest cycle start."""
-    return running(
-        f1(spark, d), ["session_id"], "ord", {"trig": Run("last", F.expr("CASE WHEN p = 0 THEN stamp END"))}
-    )
-
-
 # ------------------------------------------------------------------- format A
 _A = {
     "opens": "p = 0",
@@ -31,7 +23,7 @@ _A = {
 
 
 def records_a(spark, d):
-    x = with_trigger(spark, d).filter("p IN (0, 7) AND NOT (p = 7 AND k % 8 = 5)")
+    x = f1(spark, d).filter("p IN (0, 7) AND NOT (p = 7 AND k % 8 = 5)")
     exprs = {
         n: e.format(s="STRING", sec="trig div 1000000", sec2="stamp div 1000000") for n, e in _A.items()
     }
@@ -168,7 +160,7 @@ _B = {
 
 
 def records_b(spark, d, where="true"):
-    x = with_trigger(spark, d).filter(where)
+    x = f1(spark, d).filter(where)
     x = x.select("*", *[F.expr(e.format(div="div")).alias(n) for n, e in _B.items()])
     # A queued prompt keeps the stamp of the moment it was typed.
     x = x.withColumn("stamp", F.expr("CASE WHEN p = 6 AND k % 5 = 2 AND trig > 0 THEN trig ELSE stamp END"))

@@ -88,11 +88,18 @@ _F1_COLS = {
 
 
 def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session log records."""
-    base = f0(spark, sf_dir).withColumns(
-        {"c": F.expr("rn div 8"), "p": F.col("rn") % 8}
-    )
-    return base.select("*", *[F.expr(e).alias(n) for n, e in _F1_COLS.items()])
+    """Session log records, written once per application like ``f0``.
+
+    ``trig`` is the stamp of the latest cycle start at or before the record.
+    """
+
+    def build():
+        base = f0(spark, sf_dir).withColumns({"c": F.expr("rn div 8"), "p": F.col("rn") % 8})
+        made = base.select("*", *[F.expr(e).alias(n) for n, e in _F1_COLS.items()])
+        start = F.when(F.col("p") == 0, F.col("stamp"))
+        return running(made, ["session_id"], "ord", {"trig": Run("last", start)}).drop(CHUNK)
+
+    return written_table(spark, f"records:{sf_dir}:{default_span(spark)}", build)
 
 
 F1_SQL = (

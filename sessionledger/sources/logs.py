@@ -67,134 +67,152 @@ def write_log_segments(lines: DataFrame, path: str, mode: str = "error") -> None
 
 
 # ------------------------------------------------------------------- variants
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+# One cast lays a parsed line out as a struct whose leaves stay variants, so each
+# level is walked once and a leaf's own JSON type can still be told.
+_TEXT_BLOCKS = "array<struct<type:string,text:string>>"
+_ITERATION = (
+    "struct<type:string,input_tokens:bigint,output_tokens:bigint,"
+    "cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>"
+)
+_USAGE = {
+    "input": "input_tokens",
+    "output": "output_tokens",
+    "cache_read": "cache_read_input_tokens",
+    "cache_write": "cache_creation_input_tokens",
+}
 
 
-def _at(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "variant")
+def _leaves(*names: str) -> str:
+    return ",".join(f"{n}:variant" for n in names)
 
 
-def text_at(v: Column, path: str) -> Column:
-    x = _at(v, path)
-    return F.when(_kind(x) == "STRING", F.try_variant_get(v, path, "string"))
+def laid_out(value: str, shape: str) -> Column:
+    """The line as ``shape``; NULL when it is no JSON object."""
+    return F.try_variant_get(F.try_parse_json(value), "$", shape)
 
 
-def count_at(v: Column, path: str) -> Column:
-    """An integer literal in the exact range; text, booleans and floats are not."""
-    x = _at(v, path)
-    return F.when(_kind(x) == "BIGINT", g.bounded(F.try_variant_get(v, path, "bigint"), g.SAFE))
+def _text(leaf: Column) -> Column:
+    return F.when(F.schema_of_variant(leaf) == "STRING", F.try_variant_get(leaf, "$", "string"))
 
 
-def _set(v: Column, path: str) -> Column:
-    """Present and not null."""
-    x = _at(v, path)
-    return x.isNotNull() & ~F.coalesce(F.is_variant_null(x), F.lit(False))
+def _count(leaf: Column) -> Column:
+    """An integer literal in the exact range; text, booleans and floats are not."""
+    whole = F.schema_of_variant(leaf) == "BIGINT"
+    return F.when(whole, g.bounded(F.try_variant_get(leaf, "$", "bigint"), g.SAFE))
 
 
-def _true(v: Column, path: str) -> Column:
-    x = _at(v, path)
-    return F.coalesce((_kind(x) == "BOOLEAN") & F.try_variant_get(v, path, "boolean"), F.lit(False))
+def _set(leaf: Column) -> Column:
+    """Present and not null."""
+    return leaf.isNotNull() & ~F.coalesce(F.is_variant_null(leaf), F.lit(False))
 
 
-def _is(v: Column, path: str, shape: str) -> Column:
-    return F.coalesce(_kind(_at(v, path)).startswith(shape), F.lit(False))
+def _true(leaf: Column) -> Column:
+    yes = F.when(F.schema_of_variant(leaf) == "BOOLEAN", F.try_variant_get(leaf, "$", "boolean"))
+    return F.coalesce(yes, F.lit(False))
 
 
-def _text_blocks(v: Column, path: str) -> Column:
+def _texts(leaf: Column) -> Column:
     """Texts of a string value, or of the ``text`` blocks of an array."""
-    blocks = F.try_variant_get(v, path, "array<struct<type:string,text:string>>")
+    blocks = F.try_variant_get(leaf, "$", _TEXT_BLOCKS)
     texts = F.transform(
         F.filter(blocks, lambda b: (b.type == "text") & b.text.isNotNull()), lambda b: b.text
     )
-    plain = text_at(v, path)
-    return F.when(plain.isNotNull(), F.array(plain)).when(_is(v, path, "ARRAY"), texts)
+    return F.coalesce(texts, F.array_compact(F.array(_text(leaf))))
 
 
 # ------------------------------------------------------------------- format B
+TRANSCRIPT_SHAPE = (
+    "struct<"
+    + _leaves(
+        *"type subtype sessionId session_id uuid timestamp isMeta isCompactSummary forkedFrom".split(),
+        *"interruptedMessageId isAbortedMidStream operation durationMs".split(),
+        *"pendingBackgroundAgentCount pendingWorkflowCount origin toolUseResult".split(),
+    )
+    + ",message:struct<"
+    + _leaves("id", "model", "stop_reason", "content")
+    + ",usage:struct<"
+    + _leaves(*_USAGE.values(), "iterations")
+    + ">>,attachment:struct<"
+    + _leaves("type", "commandMode", "prompt")
+    + ">>"
+)
+_TOOL_SHAPE = "struct<" + _leaves("status", "agentId", "resumedAgentId", "success", "totalDurationMs") + ">"
+
+
 def parse_transcript(lines: DataFrame, horizon_us=None) -> DataFrame:
     """Transcript records from ``value`` lines with ``session_id`` and ``ord``.
 
-    JSON is parsed once per line into a variant, which also refuses repeated
-    keys. Stamps past ``horizon_us`` are unknown.
+    JSON is parsed once per line, which also refuses repeated keys. Stamps past
+    ``horizon_us`` are unknown.
     """
-    v = F.col("v")
-    rows = lines.withColumn("v", F.try_parse_json("value"))
-    obj = F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False))
-    stamp = g.rfc3339_us(text_at(v, "$.timestamp"))
+    s, m, use = F.col("s"), F.col("s.message"), F.col("s.message.usage")
+    rows = lines.withColumn("s", laid_out("value", TRANSCRIPT_SHAPE))
+    # Tool results are objects on a minority of lines.
+    tool = F.col("tool")
+    rows = rows.withColumn(
+        "tool", F.when(F.col("s.toolUseResult").isNotNull(), F.try_variant_get("s.toolUseResult", "$", _TOOL_SHAPE))
+    )
+    stamp = g.rfc3339_us(F.col("stamp_text"))
     if horizon_us is not None:
         stamp = g.not_future(stamp, horizon_us)
-    named = text_at(v, "$.sessionId")
+    rows = rows.withColumns(
+        {"type": _text(s.type), "named": _text(s.sessionId), "stamp_text": _text(s.timestamp), "attached": _text(s.attachment.type)}
+    )
     identity = (
-        F.when(~_set(v, "$.sessionId") & _at(v, "$.sessionId").isNull(), "absent")
-        .when(named == F.col("session_id").cast("string"), "match")
+        F.when(s.sessionId.isNull(), "absent")
+        .when(F.col("named") == F.col("session_id").cast("string"), "match")
         .otherwise("mismatch")
     )
-    u = "$.message.usage."
-    names = {
-        "input": "input_tokens",
-        "output": "output_tokens",
-        "cache_read": "cache_read_input_tokens",
-        "cache_write": "cache_creation_input_tokens",
-    }
-    stop = _at(v, "$.message.stop_reason")
     iterations = F.transform(
-        F.try_variant_get(
-            v,
-            u + "iterations",
-            "array<struct<type:string,input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>>",
-        ),
-        lambda i: F.struct(i.type.alias("type"), *[i.getField(s).alias(n) for n, s in names.items()]),
-    )
-    user = text_at(v, "$.type") == "user"
-    texts = F.when(user, _text_blocks(v, "$.message.content")).otherwise(
-        F.when(text_at(v, "$.attachment.type") == "queued_command", _text_blocks(v, "$.attachment.prompt"))
-    )
-    tool = "$.toolUseResult"
-    summary = _set(v, "$.isCompactSummary") & ~(
-        _is(v, "$.isCompactSummary", "BOOLEAN") & ~_true(v, "$.isCompactSummary")
+        F.try_variant_get(use.iterations, "$", f"array<{_ITERATION}>"),
+        lambda i: F.struct(i.type.alias("type"), *[i.getField(k).alias(n) for n, k in _USAGE.items()]),
     )
+    user, queued = F.col("type") == "user", F.coalesce(F.col("attached") == "queued_command", F.lit(False))
+    texts = F.when(user, _texts(m.content)).when(queued, _texts(s.attachment.prompt))
+    off = (F.schema_of_variant(s.isCompactSummary) == "BOOLEAN") & ~_true(s.isCompactSummary)
+    no_id = lambda leaf: _set(leaf) & g.safe_id(_text(leaf), 128).isNull()
+    pending = lambda leaf: leaf.isNotNull() & ~_count(leaf).eqNullSafe(F.lit(0))
+    stop = m.stop_reason
     return rows.select(
         "session_id",
         "ord",
-        (~obj).alias("unreadable"),
+        s.isNull().alias("unreadable"),
         stamp.alias("stamp"),
-        text_at(v, "$.type").alias("type"),
-        text_at(v, "$.subtype").alias("subtype"),
-        F.when(obj, identity).otherwise("absent").alias("identity"),
-        text_at(v, "$.session_id").alias("named_session"),
-        text_at(v, "$.uuid").alias("uuid"),
-        _set(v, "$.forkedFrom").alias("forked"),
-        _true(v, "$.isMeta").alias("meta"),
-        summary.alias("summary"),
-        _is(v, "$.message", "OBJECT").alias("has_message"),
-        text_at(v, "$.message.id").alias("message_id"),
-        text_at(v, "$.message.model").alias("model"),
-        text_at(v, "$.message.stop_reason").alias("stop_reason"),
-        F.coalesce(F.is_variant_null(stop) | (_kind(stop) == "STRING"), F.lit(False)).alias("stop_present"),
-        *[count_at(v, u + s).alias(n) for n, s in names.items()],
+        "type",
+        _text(s.subtype).alias("subtype"),
+        F.when(s.isNotNull(), identity).otherwise("absent").alias("identity"),
+        _text(F.col("s.session_id")).alias("named_session"),
+        _text(s.uuid).alias("uuid"),
+        _set(s.forkedFrom).alias("forked"),
+        _true(s.isMeta).alias("meta"),
+        (_set(s.isCompactSummary) & ~F.coalesce(off, F.lit(False))).alias("summary"),
+        m.isNotNull().alias("has_message"),
+        _text(m.id).alias("message_id"),
+        _text(m.model).alias("model"),
+        _text(stop).alias("stop_reason"),
+        F.coalesce(F.is_variant_null(stop) | (F.schema_of_variant(stop) == "STRING"), F.lit(False)).alias("stop_present"),
+        *[_count(use.getField(k)).alias(n) for n, k in _USAGE.items()],
         iterations.alias("iterations"),
-        (_set(v, u + "iterations") & ~_is(v, u + "iterations", "ARRAY")).alias("iterations_bad"),
+        (_set(use.iterations) & F.try_variant_get(use.iterations, "$", "array<variant>").isNull()).alias("iterations_bad"),
         texts.alias("texts"),
-        F.when(_set(v, "$.origin"), F.coalesce(text_at(v, "$.origin.kind"), F.lit("other"))).alias("origin"),
-        _set(v, tool).alias("tool"),
-        text_at(v, tool + ".status").alias("tool_status"),
-        text_at(v, tool + ".agentId").alias("agent_id"),
-        (_set(v, tool + ".agentId") & g.safe_id(text_at(v, tool + ".agentId"), 128).isNull()).alias("agent_bad"),
-        text_at(v, tool + ".resumedAgentId").alias("resumed_id"),
-        (_set(v, tool + ".resumedAgentId") & g.safe_id(text_at(v, tool + ".resumedAgentId"), 128).isNull()).alias("resumed_bad"),
-        _true(v, tool + ".success").alias("success"),
-        count_at(v, tool + ".totalDurationMs").isNotNull().alias("tool_timed"),
-        _set(v, "$.interruptedMessageId").alias("interrupted"),
-        _true(v, "$.isAbortedMidStream").alias("aborted_stream"),
-        F.coalesce(text_at(v, "$.attachment.type") == "queued_command", F.lit(False)).alias("queued"),
-        text_at(v, "$.attachment.commandMode").alias("mode"),
-        text_at(v, "$.operation").alias("operation"),
-        count_at(v, "$.durationMs").alias("duration_ms"),
-        (
-            (_at(v, "$.pendingBackgroundAgentCount").isNotNull() & ~count_at(v, "$.pendingBackgroundAgentCount").eqNullSafe(F.lit(0)))
-            | (_at(v, "$.pendingWorkflowCount").isNotNull() & ~count_at(v, "$.pendingWorkflowCount").eqNullSafe(F.lit(0)))
-        ).alias("pending_work"),
+        F.when(
+            _set(s.origin), F.coalesce(_text(F.try_variant_get(s.origin, "$.kind", "variant")), F.lit("other"))
+        ).alias("origin"),
+        _set(s.toolUseResult).alias("tool"),
+        _text(tool.status).alias("tool_status"),
+        _text(tool.agentId).alias("agent_id"),
+        no_id(tool.agentId).alias("agent_bad"),
+        _text(tool.resumedAgentId).alias("resumed_id"),
+        no_id(tool.resumedAgentId).alias("resumed_bad"),
+        _true(tool.success).alias("success"),
+        _count(tool.totalDurationMs).isNotNull().alias("tool_timed"),
+        _set(s.interruptedMessageId).alias("interrupted"),
+        _true(s.isAbortedMidStream).alias("aborted_stream"),
+        queued.alias("queued"),
+        _text(s.attachment.commandMode).alias("mode"),
+        _text(s.operation).alias("operation"),
+        _count(s.durationMs).alias("duration_ms"),
+        (pending(s.pendingBackgroundAgentCount) | pending(s.pendingWorkflowCount)).alias("pending_work"),
     )
 
 
@@ -289,41 +307,53 @@ def transcript_records(parsed: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------- format A
+ROLLOUT_SHAPE = (
+    "struct<"
+    + _leaves("type", "timestamp")
+    + ",payload:struct<"
+    + _leaves("type", "turn_id", "started_at", "completed_at")
+    + ",info:struct<"
+    + _leaves("model_context_window")
+    + ",last_token_usage:struct<"
+    + _leaves("input_tokens", "output_tokens", "cached_input_tokens", "cache_write_input_tokens", "total_tokens")
+    + ">,total_token_usage:struct<"
+    + _leaves("input_tokens", "output_tokens", "cached_input_tokens")
+    + ">>>>"
+)
+
+
 def parse_rollout(lines: DataFrame) -> DataFrame:
     """Rollout records with the columns the format A operators read."""
-    v = F.col("v")
-    rows = lines.withColumn("v", F.try_parse_json("value"))
-    obj = F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False))
-    event = text_at(v, "$.type") == "event_msg"
-    inner = text_at(v, "$.payload.type")
-    kind = F.when(event, inner).otherwise(text_at(v, "$.type"))
-    last, total = "$.payload.info.last_token_usage.", "$.payload.info.total_token_usage."
-    ends = inner.isin("task_complete", "turn_aborted")
+    s, p = F.col("s"), F.col("s.payload")
+    last, total = F.col("s.payload.info.last_token_usage"), F.col("s.payload.info.total_token_usage")
+    rows = lines.withColumn("s", laid_out("value", ROLLOUT_SHAPE)).withColumns(
+        {"outer": _text(F.col("s.type")), "inner": _text(F.col("s.payload.type")), "turn": _text(F.col("s.payload.turn_id"))}
+    )
+    event, inner = F.coalesce(F.col("outer") == "event_msg", F.lit(False)), F.col("inner")
+    ends = event & inner.isin("task_complete", "turn_aborted")
+    no = lambda x: F.coalesce(x, F.lit(False))
     return rows.select(
         "session_id",
         "ord",
-        (~obj).alias("unreadable"),
-        g.rfc3339_us(text_at(v, "$.timestamp")).alias("stamp"),
-        kind.alias("a_type"),
-        _is(v, "$.payload.info", "OBJECT").alias("has_info"),
-        _is(v, "$.payload.info.last_token_usage", "OBJECT").alias("has_last"),
-        count_at(v, last + "input_tokens").alias("input"),
-        count_at(v, last + "output_tokens").alias("output"),
-        count_at(v, last + "cached_input_tokens").alias("cache_read"),
-        count_at(v, last + "cache_write_input_tokens").alias("cache_write"),
-        count_at(v, last + "total_tokens").alias("context"),
-        count_at(v, total + "input_tokens").alias("t_input"),
-        count_at(v, total + "output_tokens").alias("t_output"),
-        count_at(v, total + "cached_input_tokens").alias("t_cache_read"),
-        count_at(v, "$.payload.info.model_context_window").alias("window"),
-        (event & (inner == "task_started")).alias("opens"),
-        (event & ends).alias("closes"),
-        F.when(
-            g.safe_id(text_at(v, "$.payload.turn_id"), 128).isNotNull(),
-            turn_key(F.col("session_id"), text_at(v, "$.payload.turn_id")),
-        ).alias("key"),
-        count_at(v, "$.payload.started_at").alias("start"),
-        F.when(ends, count_at(v, "$.payload.completed_at")).alias("end"),
+        s.isNull().alias("unreadable"),
+        g.rfc3339_us(_text(s.timestamp)).alias("stamp"),
+        F.when(event, inner).otherwise(F.col("outer")).alias("a_type"),
+        p.info.isNotNull().alias("has_info"),
+        last.isNotNull().alias("has_last"),
+        _count(last.input_tokens).alias("input"),
+        _count(last.output_tokens).alias("output"),
+        _count(last.cached_input_tokens).alias("cache_read"),
+        _count(last.cache_write_input_tokens).alias("cache_write"),
+        _count(last.total_tokens).alias("context"),
+        _count(total.input_tokens).alias("t_input"),
+        _count(total.output_tokens).alias("t_output"),
+        _count(total.cached_input_tokens).alias("t_cache_read"),
+        _count(p.info.model_context_window).alias("window"),
+        no(event & (inner == "task_started")).alias("opens"),
+        no(ends).alias("closes"),
+        F.when(g.safe_id(F.col("turn"), 128).isNotNull(), turn_key(F.col("session_id"), F.col("turn"))).alias("key"),
+        _count(p.started_at).alias("start"),
+        F.when(ends, _count(p.completed_at)).alias("end"),
         F.when(ends, F.when(inner == "turn_aborted", "aborted").otherwise("completed")).alias("outcome"),
     )
 

@@ -1,4 +1,8 @@
-"""Count scans, exchanges and joins in the final adaptive plan of queries."""
+"""Count scans, exchanges and joins in the plan of queries.
+
+``python tools/plan.py SF [-v] [-n] [name...]``: the final adaptive plan, or with
+``-n`` the planned one without running; ``-v`` prints it.
+"""
 
 import re
 import sys
@@ -17,11 +21,13 @@ spark = (
     .getOrCreate()
 )
 spark.sparkContext.setLogLevel("ERROR")
-sf, show, names = sys.argv[1], "-v" in sys.argv, [a for a in sys.argv[2:] if a != "-v"]
+sf, show, dry = sys.argv[1], "-v" in sys.argv, "-n" in sys.argv
+names = [a for a in sys.argv[2:] if not a.startswith("-")]
 d = f"/root/testdata/sf{sf}"
 for name in names or QUERIES:
     df = QUERIES[name](spark, d)
-    df.collect()
+    if not dry:
+        df.collect()
     text = df._jdf.queryExecution().executedPlan().toString()
     final = text.split("== Initial Plan ==")[0]
     n = lambda p: len(re.findall(p, final))

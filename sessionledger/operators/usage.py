@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import Run, running
-from ..plans.scan import chunk_number
+from ..plans import Run, running, with_chunk
+from ..plans.scan import CHUNK, chunk_number
 
 SAFE = 9_007_199_254_740_991  # largest exact counter, 2^53 - 1
 RESERVE = 12_000  # context tokens format A keeps back
@@ -35,36 +35,66 @@ def message_islands(df: DataFrame, span: int | None = None) -> DataFrame:
 
     Adds ``new`` (opens a run), ``last_line``, ``island`` and ``island_start``.
     Other record kinds do not close a run.
+
+    Runs are found inside each chunk first, its first line counting as new. One
+    summary row per chunk then tells whether that line continues the run before
+    it, and how many runs came earlier, so two passes over the lines are enough.
     """
-    rows = _lines(df)
-    mark = F.when(F.col("part"), F.struct("message_id", *COUNTERS))
-    rows = running(
-        rows,
-        ["session_id"],
-        "ord",
-        {
-            "_prev": Run("last", mark, before=True),
-            "_next": Run("next", F.when(F.col("part"), F.struct("message_id"))),
-        },
-        span,
-    )
-    same_prev = F.col("_prev.message_id") == F.col("message_id")
-    same_next = F.col("_next.message_id") == F.col("message_id")
-    rows = rows.withColumns(
-        {
-            "new": F.col("part") & ~F.coalesce(same_prev, F.lit(False)),
-            "last_line": F.col("part") & ~F.coalesce(same_next, F.lit(False)),
-        }
-    ).drop("_next")
-    return running(
-        rows,
-        ["session_id"],
-        "ord",
-        {
-            "island": Run("sum", F.col("new").cast("long")),
-            "island_start": Run("last", F.when(F.col("new"), F.col("ord"))),
-        },
-        span,
+    c = F.col
+    rows = with_chunk(_lines(df), "ord", span)
+    parts = ["session_id", CHUNK]
+    inside = Window.partitionBy(*parts).orderBy("ord")
+    past = inside.rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(*parts).orderBy(c("ord").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.when(c("part"), F.struct("message_id", *COUNTERS))
+    differs = lambda other: ~F.coalesce(other == c("message_id"), F.lit(False))
+    base = rows.columns
+    local = rows.select(
+        "*",
+        F.last(mark, ignorenulls=True).over(past).alias("_prev"),
+        F.last(F.when(c("part"), c("message_id")), ignorenulls=True).over(future).alias("_next"),
+    ).withColumn("_new", c("part") & differs(c("_prev.message_id")))
+    local = local.select(
+        "*",
+        F.sum(c("_new").cast("long")).over(upto).alias("_n"),
+        F.max(F.when(c("_new"), c("ord"))).over(upto).alias("_start"),
+    )
+    at = F.when(c("part"), c("ord"))
+    chunks = local.groupBy(*parts).agg(
+        F.min_by("message_id", at).alias("_first"),
+        F.max_by(mark, at).alias("_last"),
+        F.sum(c("_new").cast("long")).alias("_runs"),
+        F.max(F.when(c("_new"), c("ord"))).alias("_last_start"),
+    )
+    order = Window.partitionBy("session_id").orderBy(CHUNK)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = (
+        Window.partitionBy("session_id").orderBy(c(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    chunks = chunks.select(
+        "*",
+        F.last("_last", ignorenulls=True).over(before).alias("_c_prev"),
+        F.last("_first", ignorenulls=True).over(after).alias("_c_next"),
+    ).withColumn("_joins", F.coalesce(c("_c_prev.message_id") == c("_first"), F.lit(False)).cast("long"))
+    chunks = chunks.select(
+        *parts,
+        "_c_prev",
+        "_c_next",
+        "_joins",
+        F.coalesce(F.sum(c("_runs") - c("_joins")).over(before), F.lit(0)).alias("_c_runs"),
+        F.last(F.when(c("_runs") > c("_joins"), c("_last_start")), ignorenulls=True).over(before).alias("_c_start"),
+    )
+    joined = local.join(chunks, parts, "left")
+    # The chunk's first run is the one carried in when it joins, or none yet.
+    carried_in = c("_n") <= c("_joins")
+    return joined.select(
+        *base,
+        F.coalesce("_prev", "_c_prev").alias("_prev"),
+        (c("_new") & ~((c("_joins") == 1) & c("_prev").isNull())).alias("new"),
+        (c("part") & differs(F.coalesce("_next", "_c_next"))).alias("last_line"),
+        (c("_c_runs") + c("_n") - F.least(c("_n"), c("_joins"))).alias("island"),
+        F.when(carried_in, c("_c_start")).otherwise(c("_start")).alias("island_start"),
     )
 
 

@@ -326,3 +326,42 @@ def _(spark, d):
     return x.select("ord", cl.has_compaction(F.col("its")).alias("compaction"), u.alias("u")).select(
         "ord", "compaction", "u.input", "u.output"
     )
+
+
+_PEER_NOW = NOW_US - 15 * 86400000000
+
+
+@query(
+    "revalidate_remote",
+    with_ctes(
+        TEL_SQL,
+        f"""r AS (SELECT tel.*, greatest({_PEER_NOW}, seq - output_tokens * 1000000) + 8000000 AS lim,
+   CASE WHEN usage_source = 'pi-extension' THEN usage_source END AS src FROM tel WHERE event IN ('turn', 'tool-start', 'idle') AND phase = 'working')""",
+        body="""SELECT ord, seq, CASE WHEN usage_seq <= lim THEN usage_seq END AS usage_seq, CASE WHEN usage_seq <= lim OR (usage_seq IS NULL AND src IS NULL) THEN input END AS input FROM r WHERE seq <= lim""",
+    ),
+)
+def _(spark, d):
+    x = telemetry(spark, d).withColumn("sampled", F.col("seq") - F.col("output_tokens") * 1000000)
+    return tm.revalidate_remote(x, _PEER_NOW, "sampled").select("ord", "seq", "usage_seq", "input")
+
+
+@query(
+    "usage_reading",
+    with_ctes(
+        TEL_SQL,
+        f"""x AS (SELECT *, coalesce(usage_seq, seq) AS st FROM tel),
+y AS (SELECT *, coalesce(seq > 0 AND seq <= {_PEER_NOW} AND st > 0 AND st <= seq, false) AS ok,
+  coalesce(total_cache_read <= total_input AND total_uncached_input <= total_input - total_cache_read AND total_input - total_cache_read - total_uncached_input = coalesce(total_cache_write, 0), false) AS part FROM x)""",
+        body=f"""SELECT ord, CASE WHEN ok AND "window" > 0 AND context <= "window" THEN round(coalesce(CASE WHEN context_percent BETWEEN 0 AND 100 THEN context_percent END, context * 100.0 / "window")::DOUBLE, 6) END AS shown_context_percent,
+ CASE WHEN ok THEN total_input END AS shown_input, CASE WHEN ok AND part THEN total_uncached_input END AS shown_uncached,
+ CASE WHEN ok AND part AND total_input > 0 THEN round((total_cache_read * 100.0 / total_input)::DOUBLE, 6) END AS shown_cache_percent,
+ CASE WHEN ok THEN compactions END AS shown_compactions, ok AND {_PEER_NOW} - st > 120000000 AS shown_stale FROM y""",
+    ),
+)
+def _(spark, d):
+    # Whole tokens are split exactly on some samples, so both branches show.
+    out = tm.usage_reading(telemetry(spark, d), _PEER_NOW)
+    return out.select(
+        "ord", F.round("shown_context_percent", 6).alias("shown_context_percent"), "shown_input", "shown_uncached",
+        F.round("shown_cache_percent", 6).alias("shown_cache_percent"), "shown_compactions", "shown_stale",
+    )

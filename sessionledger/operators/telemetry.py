@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import guards as g
+from ..functions import scalars as sc
 
 NUMBERS = (
     "input output_tokens cache_read cache_write context window usage_seq total_input "
@@ -121,3 +122,32 @@ def telemetry_view(df: DataFrame, now_us) -> DataFrame:
         }
     )
     return usage_coherence(outcome_partition(hook_counters_valid(rows)), now_us)
+
+
+def revalidate_remote(df: DataFrame, now_us, sampled_at_us: str) -> DataFrame:
+    """Samples from a peer pass the contract again. Their times may lead the
+    later of our clock and the sample by one second of skew and the seven
+    seconds a snapshot may take."""
+    return telemetry_view(df, F.greatest(F.lit(now_us), F.col(sampled_at_us)) + 8_000_000)
+
+
+def usage_reading(df: DataFrame, now_us) -> DataFrame:
+    """Adds the shown usage of a thread: ratios, and whether it is stale.
+
+    A sample from the future, or a usage stamp past its sample, shows nothing.
+    """
+    c = F.col
+    stamp = F.coalesce(c("usage_seq"), c("seq"))
+    ok = F.coalesce((c("seq") > 0) & (c("seq") <= F.lit(now_us)) & (stamp > 0) & (stamp <= c("seq")), F.lit(False))
+    put = lambda v: F.when(ok, v)
+    part = [c(n) for n in ("total_input", "total_cache_read", "total_uncached_input", "total_cache_write")]
+    return df.withColumns(
+        {
+            "shown_context_percent": put(sc.context_percent_view(c("context"), c("window"), c("context_percent"))),
+            "shown_input": put(c("total_input")),
+            "shown_uncached": put(sc.uncached_view(*part)),
+            "shown_cache_percent": put(sc.cache_percent(*part)),
+            "shown_compactions": put(c("compactions")),
+            "shown_stale": F.coalesce(ok & (F.lit(now_us) - stamp > sc.MEASUREMENT_FRESH * 1_000_000), F.lit(False)),
+        }
+    )

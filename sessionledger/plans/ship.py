@@ -18,6 +18,7 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = pathlib.Path(__file__).resolve().parents[1]
+    # Only the driver reads this file; addPyFile hands it to every executor.
     target = pathlib.Path(tempfile.mkdtemp(prefix="sessionledger-", dir="/tmp")) / f"{root.name}.zip"
     with zipfile.PyZipFile(str(target), "w") as z:
         z.writepy(str(root))  # compiled once here rather than in every worker

@@ -1,7 +1,7 @@
 """Repeated byte strings by prefix-free parsing.
 
 The corpus is parsed into phrases at rolling-hash triggers: the trigger of a
-100-byte string is its 24-byte substring of least hash, and a phrase is what
+100-byte string is its 40-byte substring of least hash, and a phrase is what
 the strings with one and the same trigger cover. Equal strings thus lie at
 equal places of phrases with equal triggers.
 
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import in_arrow, landed, mix64, run_starts, utf8
 from .shingles import BYTE, ODD, Rolling
 
-LENGTH, TRIGGER = 100, 24
+LENGTH, TRIGGER = 100, 40
 SEGMENT = 1 << 20  # bytes parsed at a time; longer texts are parsed in segments
 FLUSH = 64 << 20  # bytes of text after which a task sends what it has found
 LOWEST = -(1 << 63)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from .components import components
 from .shingles import bags, shingles, word_hashes
 
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no band once in 20,000 pairs
-LEADERS = 8
+BLOCK = 1024  # texts outside a group's main component compared at a time
 TEXT_BYTES = 4 << 20  # texts hashed at a time
 
 
@@ -185,58 +185,127 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return landed(labels.join(new, "comp", "left").select("tid", F.coalesce("to", "comp").alias("comp")), "labels")
 
 
-def near_components(texts: DataFrame, threshold: float, size: int, bands: int, rows: int) -> DataFrame | None:
+class Block:
+    """Bags side by side, compared with others all at once. An element of
+    weight ``w`` is ``w`` units, so overlaps of bags are overlaps of sets."""
+
+    def __init__(self, data: list[bytes]):
+        own = [units(x) for x in data]
+        self.sizes = np.array([len(u) for u in own])
+        of = np.repeat(np.arange(len(own)), self.sizes)
+        self.known, i, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        common = n > max(1, len(own) // 50)  # a matrix for these, lists for the rest
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        self.matrix = np.zeros((int(common.sum()), len(own)), np.float32)
+        dense = common[i]
+        self.matrix[self.column[i[dense]], of[dense]] = 1
+        order = np.argsort(i[~dense], kind="stable")
+        self.listed = of[~dense][order]
+        self.first = np.searchsorted(i[~dense][order], np.arange(len(n) + 1))
+
+    def similarities(self, data: list[bytes]) -> np.ndarray:
+        """Weighted Jaccard similarities, the given bags by the block's."""
+        own = [units(x) for x in data]
+        sizes = np.array([len(u) for u in own])
+        of, all_units = np.repeat(np.arange(len(own)), sizes), np.concatenate(own)
+        i = np.minimum(np.searchsorted(self.known, all_units), len(self.known) - 1)
+        hit = self.known[i] == all_units
+        of, i = of[hit], i[hit]
+        dense = self.column[i] >= 0
+        rows = np.zeros((len(own), len(self.matrix)), np.float32)
+        rows[of[dense], self.column[i[dense]]] = 1
+        both = rows @ self.matrix
+        of, i = of[~dense], i[~dense]
+        count = self.first[i + 1] - self.first[i]
+        at = np.repeat(self.first[i] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        np.add.at(both, (np.repeat(of, count), self.listed[at]), 1)
+        return both / (sizes[:, None] + self.sizes[None, :] - both)
+
+
+def units(data: bytes) -> np.ndarray:
+    x, w = bag_of(data)
+    of = np.repeat(np.arange(len(x)), w)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(w, dtype=np.int64) - w, w)
+    return np.where(nth == 0, x[of], mix64(x[of] + nth.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+
+
+def block_links(groups: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
+    """Links (tid, leader) that tie the components of each group.
+
+    ``groups`` (leader, tid, comp). All texts outside a group's largest
+    component are compared with all texts of the group, in blocks of BLOCK of
+    the former; a block yields one link for two components at most.
+    """
+    sizes = groups.groupBy("leader", "comp").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("leader").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("top"))
+    placed = groups.join(largest.filter("top < total").withColumn("blocks", F.ceil((F.col("total") - F.col("top")) / BLOCK).cast("int")), "leader")
+    block = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
+    full = landed(placed.select("leader", "tid", "comp", "main", "blocks", block.alias("own")), "mixed").join(features, "tid")
+    strays = full.filter("comp <> main").select("leader", F.col("own").alias("block"), F.lit(0).alias("kind"), "tid", "comp", "bag")
+    others = full.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "tid", "comp", "bag")
+    rows = strays.unionByName(others).repartition("leader", "block").sortWithinPartitions("leader", "block", "kind")
+
+    def run(batches):
+        state = {"at": None, "held": [], "block": None, "tids": [], "comps": None, "done": set()}
+
+        def links(tids, comps, bags):
+            if state["block"] is None:
+                state["block"] = Block([b for _, _, b in state["held"]])
+                state["tids"] = [t for t, _, _ in state["held"]]
+                state["comps"] = [c for _, c, _ in state["held"]]
+                state["held"] = []
+            for lo in range(0, len(bags), 256):
+                sims = state["block"].similarities(bags[lo : lo + 256])
+                for m, s in zip(*np.nonzero(sims >= threshold)):
+                    pair = tuple(sorted((comps[lo + m], state["comps"][s])))
+                    if pair[0] != pair[1] and pair not in state["done"]:
+                        state["done"].add(pair)
+                        yield tids[lo + m], state["tids"][s]
+
+        for batch in batches:
+            found = []
+            leader, block, kind = (batch.column(c).to_pylist() for c in ("leader", "block", "kind"))
+            tid, comp, bag = (batch.column(c).to_pylist() for c in ("tid", "comp", "bag"))
+            lo = 0
+            while lo < len(kind):
+                hi = lo + 1
+                while hi < len(kind) and (leader[hi], block[hi], kind[hi]) == (leader[lo], block[lo], kind[lo]):
+                    hi += 1
+                if state["at"] != (leader[lo], block[lo]):
+                    state.update(at=(leader[lo], block[lo]), held=[], block=None, done=set())
+                if kind[lo] == 0:
+                    state["held"] += zip(tid[lo:hi], comp[lo:hi], bag[lo:hi])
+                elif state["held"] or state["block"] is not None:
+                    found += links(tid[lo:hi], comp[lo:hi], bag[lo:hi])
+                lo = hi
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["tid", "leader"])
+
+    return in_arrow(rows, run, T.StructType([T.StructField("tid", T.BinaryType()), T.StructField("leader", T.BinaryType())]))
+
+
+def near_components(texts: DataFrame, threshold: float, size: int, bands: int, rows: int) -> DataFrame:
     """(tid, comp) of the texts that share a band with another text.
 
-    In each bucket a leader is compared with the texts that are not yet in its
-    component; then other leaders, from the bucket's smallest components first,
-    until a bucket's texts are all of one component or all were leaders. So
-    every pair of one bucket is compared or already joined, and a bucket of any
-    number of copies of one text costs one comparison for each.
+    The leader of a bucket is its text with most companions over all bands, so
+    the original among its edited copies. A group is what shares a bucket with
+    one leader; it holds every two texts of such a bucket. Texts are compared
+    with their leaders, then in each group that is not yet one component, those
+    outside its largest one with all: no two texts of one bucket stay apart that
+    are similar, and a group whose copies resemble the original costs one
+    comparison for each.
     """
-    bucketed = landed(signature_bands(texts, size, bands, rows), "bands")
-    shared = bucketed.groupBy("key").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).filter("lo <> hi").select("key")
-    live = landed(bucketed.join(shared, "key").distinct(), "live")
-    labels = landed(live.select("tid").distinct().withColumn("comp", F.col("tid")), "labels")
-    wanted = texts.join(labels.select("tid"), "tid", "left_semi")
-    features = landed(bag_features(wanted, size), "bags")
-    # First round: each text with one leader, the smallest over its buckets.
-    head = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("tid").alias("h"), "tid")).alias("head"))
-    first = (
-        live.join(head, "key").groupBy("tid").agg(F.min("head").alias("head"))
-        .select("tid", F.col("head.tid").alias("leader")).filter("tid <> leader")
-    )
-    tested = landed(verified(first, features), "tested")
-    labels = relabel(labels, tested.filter(F.col("sim") >= threshold))
-    left, turn = live, 0
-    while True:
-        turn += 1
-        placed = left.join(labels, "tid")
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        left = landed(placed.join(mixed, "key"), "mixed")
-        if left.isEmpty():
-            return labels
-        sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        order = F.struct("n", F.xxhash64(F.lit(turn), "tid", "key").alias("h"), "tid", "comp")
-        heads = _smallest(left.join(sizes, ["key", "comp"]).select("key", order.alias("o")))
-        heads = landed(heads.select("key", F.col("o.tid").alias("leader"), F.col("o.comp").alias("leader_comp")), "heads")
-        pairs = (
-            left.join(heads, "key")
-            .filter("comp <> leader_comp")
-            .select(F.least("tid", "leader").alias("tid"), F.greatest("tid", "leader").alias("leader"))
-            .distinct()
-        )
-        same = (F.least(tested.tid, tested.leader) == pairs.tid) & (F.greatest(tested.tid, tested.leader) == pairs.leader)
-        new = landed(verified(landed(pairs.join(tested, same, "left_anti"), "pairs"), features), "tested")
-        tested = landed(tested.unionByName(new), "tested")
-        labels = relabel(labels, new.filter(F.col("sim") >= threshold))
-        left = left.join(heads, (left.key == heads.key) & (left.tid == heads.leader), "left_anti").select("key", "tid")
-
-
-def _smallest(rows: DataFrame) -> DataFrame:
-    """The LEADERS smallest ``o`` per ``key``: a group limit before the shuffle."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy("o"))
-    return rows.withColumn("_p", place).filter(F.col("_p") <= LEADERS).drop("_p")
+    bucketed = landed(signature_bands(texts, size, bands, rows), "bands").distinct()
+    shared = bucketed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    live = landed(bucketed.join(shared, "key"), "live")
+    labels = landed(live.groupBy("tid").agg(F.sum("n").alias("company")).withColumn("comp", F.col("tid")), "labels")
+    heads = live.join(labels, "tid").groupBy("key").agg(F.max_by("tid", F.struct("company", "tid")).alias("leader"))
+    groups = landed(live.join(heads, "key").select("leader", "tid").distinct(), "groups")
+    features = landed(bag_features(texts.join(labels.select("tid"), "tid", "left_semi"), size), "bags")
+    labels = labels.drop("company")
+    tested = verified(groups.filter("tid <> leader"), features)
+    labels = relabel(labels, landed(tested.filter(F.col("sim") >= threshold), "links"))
+    placed = groups.join(labels, "tid").select("leader", "tid", "comp")
+    return relabel(labels, landed(block_links(placed, features, threshold), "links"))
 
 
 def near_duplicates(

@@ -113,7 +113,7 @@ def signature_bands(texts: DataFrame, size: int, bands: int, rows: int) -> DataF
 
 
 def bag_features(texts: DataFrame, size: int) -> DataFrame:
-    """(tid, bag): distinct shingle hashes, then their counts, as bytes."""
+    """(tid, bag) of the texts of ``texts``, see ``bag_bytes``."""
 
     def run(batches):
         seen: set[bytes] = set()
@@ -124,16 +124,26 @@ def bag_features(texts: DataFrame, size: int) -> DataFrame:
                 batch = batch.filter(pa.array(new))
                 element, weight, doc = text_bags(batch.column("text"), size)
                 at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                data = [element[s:e].tobytes() + weight[s:e].astype("<u4").tobytes() for s, e in zip(at[:-1], at[1:])]
+                data = [bag_bytes(element[s:e], weight[s:e]) for s, e in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(data, pa.binary())], names=["tid", "bag"])
 
     schema = T.StructType([T.StructField("tid", T.BinaryType()), T.StructField("bag", T.BinaryType())])
-    return in_arrow(texts, run, schema).groupBy("tid").agg(F.first("bag").alias("bag"))
+    return in_arrow(texts, run, schema)
+
+
+def bag_bytes(element: np.ndarray, weight: np.ndarray) -> bytes:
+    """Distinct shingle hashes, and place and count of those held more than once."""
+    more = np.flatnonzero(weight > 1)
+    return np.concatenate([np.array([len(element)], np.uint64), element, more.astype(np.uint64), weight[more].astype(np.uint64)]).tobytes()
 
 
 def bag_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 12
-    return np.frombuffer(data, np.uint64, n), np.frombuffer(data, "<u4", n, 8 * n)
+    flat = np.frombuffer(data, np.uint64)
+    n = int(flat[0])
+    weight = np.ones(n, np.int64)
+    more, count = flat[n + 1 :].reshape(2, -1)
+    weight[more.astype(np.int64)] = count
+    return flat[1 : n + 1], weight
 
 
 def bag_similarity(a: bytes, b: bytes) -> float:
@@ -283,8 +293,9 @@ def block_links(groups: DataFrame, features: DataFrame, threshold: float) -> Dat
     return in_arrow(rows, run, T.StructType([T.StructField("tid", T.BinaryType()), T.StructField("leader", T.BinaryType())]))
 
 
-def near_components(texts: DataFrame, threshold: float, size: int, bands: int, rows: int) -> DataFrame:
-    """(tid, comp) of the texts that share a band with another text.
+def near_components(texts: DataFrame, reps: DataFrame, threshold: float, size: int, bands: int, rows: int) -> DataFrame:
+    """(tid, comp) of the texts of ``texts`` (key, tid, text) that share a band
+    with another text. ``reps`` (tid, rep): the key of one row of each text.
 
     The leader of a bucket is its text with most companions over all bands, so
     the original among its edited copies. A group is what shares a bucket with
@@ -294,13 +305,17 @@ def near_components(texts: DataFrame, threshold: float, size: int, bands: int, r
     are similar, and a group whose copies resemble the original costs one
     comparison for each.
     """
-    bucketed = landed(signature_bands(texts, size, bands, rows), "bands").distinct()
+    bucketed = landed(signature_bands(texts.select("tid", "text"), size, bands, rows), "bands").distinct()
     shared = bucketed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     live = landed(bucketed.join(shared, "key"), "live")
     labels = landed(live.groupBy("tid").agg(F.sum("n").alias("company")).withColumn("comp", F.col("tid")), "labels")
     heads = live.join(labels, "tid").groupBy("key").agg(F.max_by("tid", F.struct("company", "tid")).alias("leader"))
     groups = landed(live.join(heads, "key").select("leader", "tid").distinct(), "groups")
-    features = landed(bag_features(texts.join(labels.select("tid"), "tid", "left_semi"), size), "bags")
+    # One row of each text, found by its key, so that a text held by any number
+    # of rows stays spread. A merge join at every size: texts are never broadcast.
+    wanted = reps.join(labels, "tid", "left_semi").select(F.col("tid").alias("_tid"), F.col("rep").alias("_rep")).hint("merge")
+    one = (texts["key"].eqNullSafe(F.col("_rep"))) & (texts["tid"] == F.col("_tid"))
+    features = landed(bag_features(texts.join(wanted, one, "left_semi").select("tid", "text"), size), "bags")
     labels = labels.drop("company")
     tested = verified(groups.filter("tid <> leader"), features)
     labels = relabel(labels, landed(tested.filter(F.col("sim") >= threshold), "links"))
@@ -322,10 +337,10 @@ def near_duplicates(
     """
     tid = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     texts = docs.select(F.col(key).alias("key"), tid.alias("tid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    labels = near_components(texts.select("tid", "text"), threshold, size, bands, rows)
     named = landed(texts.select("key", "tid"), "tids")
-    reps = named.groupBy("tid").agg(F.min("key").alias("rep")).join(labels, "tid", "left")
-    reps = landed(reps.select("tid", "rep", F.coalesce("comp", "tid").alias("comp")), "reps")
+    reps = landed(named.groupBy("tid").agg(F.min("key").alias("rep")), "reps")
+    labels = near_components(texts, reps, threshold, size, bands, rows)
+    reps = landed(reps.join(labels, "tid", "left").select("tid", "rep", F.coalesce("comp", "tid").alias("comp")), "reps")
     classes = reps.groupBy("comp").agg(F.min("rep").alias("class_id"))
     by_text = landed(reps.join(classes, "comp").select("tid", "class_id"), "classes")
     return named.join(by_text, "tid").select(F.col("key").alias(key), "class_id")

@@ -26,6 +26,8 @@ from .common import in_arrow, landed, mix64, shared_folder
 from .tokens import token_ids
 
 LENGTH, PER_SHARD, ROUNDS = 2048, 1024, 4
+TOGETHER = 64  # documents whose ids are compressed as one
+LEVEL = 6
 
 
 class Feistel:
@@ -63,36 +65,35 @@ class Feistel:
 
 
 def tokenised(docs: DataFrame, key: str, text: str, tokenizer: str, end: int) -> DataFrame:
-    """Landed: per row its task, place there, key, ids before it in the task,
-    count and compressed ids."""
+    """Landed: per some documents their task, ids before them in the task, and
+    keys, counts and compressed ids."""
     narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType(
         [
             T.StructField("part", T.IntegerType()),
-            T.StructField("key", narrow.schema["key"].dataType),
             T.StructField("before", T.LongType()),
-            T.StructField("n", T.LongType()),
+            T.StructField("total", T.LongType()),
+            T.StructField("keys", T.ArrayType(narrow.schema["key"].dataType)),
+            T.StructField("counts", T.ArrayType(T.LongType())),
             T.StructField("ids", T.BinaryType()),
         ]
     )
 
     def run(batches):
         part, before = TaskContext.get().partitionId(), 0
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            at, n, data = [], [], []
-            for value in batch.column(1):
-                ids = token_ids(tokenizer, value.as_py(), end)
-                if ids.max(initial=0) > 0xFFFF:
+        press = zstandard.ZstdCompressor(level=LEVEL)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(lo, TOGETHER)
+                ids = [token_ids(tokenizer, value.as_py(), end) for value in batch.column(1)]
+                flat = np.concatenate(ids)
+                if flat.max(initial=0) > 0xFFFF:
                     raise ValueError("an id does not fit two bytes")
-                at.append(before)
-                n.append(len(ids))
-                data.append(press.compress(ids.astype("<u2").tobytes()))
-                before += len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), batch.column(0), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())],
-                names=schema.names,
-            )
+                keys = pa.ListArray.from_arrays([0, len(ids)], batch.column(0))
+                row = [[part], [before], [len(flat)], keys, [[len(x) for x in ids]], [press.compress(flat.astype("<u2").tobytes())]]
+                types = (pa.int32(), pa.int64(), pa.int64(), keys.type, pa.list_(pa.int64()), pa.binary())
+                before += len(flat)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(row, types)], names=schema.names)
 
     return landed(in_arrow(narrow, run, schema), "ids")
 
@@ -130,13 +131,13 @@ def materialise(
     written under another name and moved, so lost tasks leave no part of one.
     """
     rows = tokenised(docs, key, text, tokenizer, end)
-    sums = rows.groupBy("part").agg(F.sum("n").alias("m"))
-    # One row per task of the reading stage.
+    # One row per task of the reading stage, landed so that its size is known.
+    sums = landed(rows.groupBy("part").agg(F.sum("total").alias("m")), "sums")
     past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("part", F.coalesce(F.sum("m").over(past), F.lit(0)).alias("base"))
+    bases = landed(sums.select("part", F.coalesce(F.sum("m").over(past), F.lit(0)).alias("base")), "bases")
     total = sums.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     n_seq = -(-total // length)
-    key_type = rows.schema["key"].dataType
+    key_type = docs.schema[key].dataType
     moved = T.StructType(
         [T.StructField("key", key_type)]
         + [T.StructField(c, T.LongType()) for c in ("start", "n", "sequence", "offset", "slot", "shard")]
@@ -145,32 +146,36 @@ def materialise(
     feistel = Feistel(n_seq, seed)
 
     def cut(batches):
-        press, plain = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        press, plain = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         for batch in batches:
-            row, start, size, seq, off, data = [], [], [], [], [], []
             first = batch.column("base").to_numpy(zero_copy_only=False) + batch.column("before").to_numpy(zero_copy_only=False)
-            for i, (at, packed) in enumerate(zip(first.tolist(), batch.column("ids").to_pylist())):
-                ids = np.frombuffer(plain.decompress(packed), "<u2")
-                done = 0
-                while done < len(ids):
-                    s, o = divmod(at + done, length)
-                    take = min(length - o, len(ids) - done)
-                    row.append(i)
-                    start.append(done)
-                    size.append(take)
-                    seq.append(s)
-                    off.append(o)
-                    data.append(press.compress(ids[done : done + take].tobytes()))
-                    done += take
-            slot = feistel.slot(seq) if seq else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key").take(pa.array(row, pa.int64())),
-                    *[pa.array(c, pa.int64()) for c in (start, size, seq, off, slot, slot // per_shard)],
-                    pa.array(data, pa.binary()),
-                ],
-                names=moved.names,
-            )
+            counts = batch.column("counts").to_pylist()
+            for r, (at, packed) in enumerate(zip(first.tolist(), batch.column("ids").to_pylist())):
+                flat = np.frombuffer(plain.decompress(packed), "<u2")
+                row, start, size, seq, off, data = [], [], [], [], [], []
+                pos = 0
+                for i, n in enumerate(counts[r]):
+                    done = 0
+                    while done < n:
+                        s, o = divmod(at + pos, length)
+                        take = min(length - o, n - done)
+                        row.append(i)
+                        start.append(done)
+                        size.append(take)
+                        seq.append(s)
+                        off.append(o)
+                        data.append(press.compress(flat[pos : pos + take].tobytes()))
+                        done += take
+                        pos += take
+                slot = feistel.slot(seq) if seq else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("keys").slice(r, 1).flatten().take(pa.array(row, pa.int64())),
+                        *[pa.array(c, pa.int64()) for c in (start, size, seq, off, slot, slot // per_shard)],
+                        pa.array(data, pa.binary()),
+                    ],
+                    names=moved.names,
+                )
 
     out = T.StructType(
         [T.StructField("key", key_type)]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import in_arrow, landed, mix64, shared_folder
 from .tokens import token_ids
 
 LENGTH, PER_SHARD, ROUNDS = 2048, 1024, 4
-TOGETHER = 64  # documents whose ids are compressed as one
+TOGETHER = 256  # documents whose ids are compressed as one
 LEVEL = 6
 
 
@@ -138,10 +140,10 @@ def materialise(
     total = sums.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     n_seq = -(-total // length)
     key_type = docs.schema[key].dataType
+    stretch = T.StructType([T.StructField("key", key_type), T.StructField("start", T.LongType()), T.StructField("n", T.IntegerType())])
     moved = T.StructType(
-        [T.StructField("key", key_type)]
-        + [T.StructField(c, T.LongType()) for c in ("start", "n", "sequence", "offset", "slot", "shard")]
-        + [T.StructField("ids", T.BinaryType())]
+        [T.StructField(c, T.LongType()) for c in ("shard", "slot", "sequence", "offset")]
+        + [T.StructField("stretches", T.ArrayType(stretch)), T.StructField("ids", T.BinaryType())]
     )
     feistel = Feistel(n_seq, seed)
 
@@ -152,26 +154,26 @@ def materialise(
             counts = batch.column("counts").to_pylist()
             for r, (at, packed) in enumerate(zip(first.tolist(), batch.column("ids").to_pylist())):
                 flat = np.frombuffer(plain.decompress(packed), "<u2")
-                row, start, size, seq, off, data = [], [], [], [], [], []
-                pos = 0
-                for i, n in enumerate(counts[r]):
-                    done = 0
-                    while done < n:
-                        s, o = divmod(at + pos, length)
-                        take = min(length - o, n - done)
-                        row.append(i)
-                        start.append(done)
-                        size.append(take)
-                        seq.append(s)
-                        off.append(o)
-                        data.append(press.compress(flat[pos : pos + take].tobytes()))
-                        done += take
-                        pos += take
-                slot = feistel.slot(seq) if seq else np.empty(0, np.int64)
+                keys = batch.column("keys").slice(r, 1).flatten()
+                # Sequences these documents touch, and what of each they hold.
+                seq = np.arange(at // length, -(-(at + len(flat)) // length))
+                lo = np.maximum(seq * length - at, 0)
+                hi = np.minimum((seq + 1) * length - at, len(flat))
+                ends = np.cumsum(counts[r])
+                cuts = np.union1d(ends, hi)
+                begin = np.concatenate([[0], cuts[:-1]])
+                of = np.searchsorted(ends, begin, "right")
+                parts = pa.StructArray.from_arrays(
+                    [keys.take(pa.array(of)), pa.array(begin - (ends - counts[r])[of]), pa.array((cuts - begin).astype(np.int32))],
+                    names=stretch.names,
+                )
+                split = np.append(np.searchsorted(begin, lo), len(begin)).astype(np.int32)
+                slot = feistel.slot(seq)
+                data = [press.compress(flat[s:e].tobytes()) for s, e in zip(lo, hi)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("keys").slice(r, 1).flatten().take(pa.array(row, pa.int64())),
-                        *[pa.array(c, pa.int64()) for c in (start, size, seq, off, slot, slot // per_shard)],
+                        *[pa.array(c) for c in (slot // per_shard, slot, seq, at + lo - seq * length)],
+                        pa.ListArray.from_arrays(pa.array(split), parts),
                         pa.array(data, pa.binary()),
                     ],
                     names=moved.names,
@@ -184,8 +186,6 @@ def materialise(
     folder = uri(folder)
 
     def write(batches):
-        import zlib
-
         fs, top = file_system(folder)
         fs.create_dir(top, recursive=True)
         plain = zstandard.ZstdDecompressor()
@@ -199,31 +199,33 @@ def materialise(
                 fs.move(temp, f"{top}/shard-{shard:08d}.bin")
 
         for batch in batches:
-            crc = []
-            slot = batch.column("slot").to_numpy(zero_copy_only=False)
-            places = slot % per_shard * length + batch.column("offset").to_numpy(zero_copy_only=False)
-            columns = [batch.column(c).to_pylist() for c in ("shard", "n", "ids")]
-            for s, n, packed, place in zip(*columns, places.tolist()):
+            rows = []
+            for s, slot, seq, off, parts, packed in zip(*(batch.column(c).to_pylist() for c in moved.names)):
                 if s != shard:
                     close()
                     shard, at = s, 0
                     size = min(per_shard, n_seq - s * per_shard) * length
                     temp = f"{top}/_{s}-{uuid.uuid4().hex}"
                     stream = fs.open_output_stream(temp)
-                data = plain.decompress(packed)
+                data = np.frombuffer(plain.decompress(packed), "<u2")
+                place = slot % per_shard * length + off
                 if at < place:  # the last sequence of all ended early
                     stream.write(np.full(place - at, end, "<u2").tobytes())
-                stream.write(data)
-                at = place + n
-                crc.append(zlib.crc32(np.frombuffer(data, "<u2").astype("<u4").tobytes()))
+                stream.write(data.tobytes())
+                at, pos = place + len(data), 0
+                for x in parts:
+                    n = x["n"]
+                    crc = zlib.crc32(data[pos : pos + n].astype("<u4").tobytes())
+                    rows.append((x["key"], x["start"], n, seq, off + pos, slot, s, (place + pos) * 2, crc))
+                    pos += n
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in moved.names[:-1]], pa.array(places * 2, pa.int64()), pa.array(crc, pa.int64())],
+                [pa.array(c, t) for c, t in zip(zip(*rows), to_arrow_schema(out).types)] if rows else [pa.array([], t) for t in to_arrow_schema(out).types],
                 names=out.names,
             )
         close()
 
-    stretches = in_arrow(rows.join(bases, "part"), cut, moved)
-    ordered = stretches.repartitionByRange("shard").sortWithinPartitions("slot", "offset")
+    sequences = in_arrow(rows.join(bases, "part"), cut, moved)
+    ordered = sequences.repartitionByRange("shard").sortWithinPartitions("slot", "offset")
     result = landed(in_arrow(ordered, write, out), "index")
     return result.withColumnRenamed("key", key)
 

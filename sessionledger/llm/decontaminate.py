@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
 
 The words of all documents are searched for the n-grams of the test items; the
-rarer half of each item's n-grams, by count over all documents, are its seeds.
+rarer half of each item's n-grams that occur, by count over all documents, are
+its seeds.
 Around each seed a document holds, its passage is aligned with the item word by
 word, so copies with changed, added or lost words score too.
 
@@ -110,10 +111,13 @@ def gram_counts(docs: DataFrame, block: Block) -> np.ndarray:
 
 def seeds(block: Block, counts: np.ndarray) -> dict[int, list[tuple[int, int]]]:
     """Per n-gram number the (item number, place) it is a seed of: of each item
-    the n-grams no more frequent than its median one."""
+    the n-grams no more frequent than the median of those that occur."""
     found: dict[int, list[tuple[int, int]]] = {}
     for i, text in enumerate(block.texts):
         at, gram = block.grams(text)
+        at, gram = at[counts[gram] > 0], gram[counts[gram] > 0]
+        if not len(gram):
+            continue
         rare = counts[gram] <= np.median(counts[gram])
         for p, g in zip(at[rare].tolist(), gram[rare].tolist()):
             found.setdefault(g, []).append((i, p))

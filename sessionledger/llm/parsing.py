@@ -416,7 +416,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     text stays NULL. Rules as in ``repeat_report``."""
     texts = keyed(docs, key, text)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at_text = docs.columns.index(text)
+    names, at_text = docs.columns, docs.columns.index(text)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"))
     named = whole.select(
         F.coalesce(F.col(f"whole.`{key}`").cast("long"), F.lit(LOWEST)).alias("doc_key"),
@@ -433,6 +433,6 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             kept = _kept(raw[at[i] : at[i + 1]], *_spans(index, k1, k2))
             out.append(None if null[i] else kept.tobytes().decode("utf-8", "ignore"))
         columns[at_text] = pa.array(out, columns[at_text].type)
-        yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return beside(named, covers(texts, length, k), n, run, docs.schema)

@@ -168,7 +168,7 @@ def _(spark, d):
     "daily_usage",
     """WITH x AS (SELECT o_custkey AS account_key, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 301 = 0 THEN NULL ELSE o_orderkey % 1000 END AS t, o_orderkey FROM orders),
 y AS (SELECT account_key, CASE WHEN day <= DATE '2001-07-01' THEN day END AS day, t FROM x),
-v AS (SELECT account_key FROM (SELECT account_key, day, count(*) AS n, count(*) FILTER (t IS NULL) AS b FROM y GROUP BY 1, 2) GROUP BY 1 HAVING NOT bool_or(n > 1 OR day IS NULL OR b > 0) AND sum(n) <= 366)
+v AS (SELECT account_key FROM (SELECT account_key, day, count(*) AS n, count(*) FILTER (t IS NULL) AS b FROM y GROUP BY 1, 2) GROUP BY 1 HAVING NOT bool_or(n > 1 OR day IS NULL OR b > 0))
 SELECT account_key, CAST(day AS VARCHAR) AS date, t AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY account_key ORDER BY day DESC) AS r FROM y WHERE account_key IN (SELECT account_key FROM v)) WHERE r <= 30""",
 )
 def _(spark, d):

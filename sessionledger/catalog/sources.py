@@ -287,7 +287,7 @@ def _(spark, d):
 @query(
     "read_legacy_quota",
     """WITH x AS (SELECT o_orderkey % 6 AS n, o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 140 END AS w FROM orders),
-y AS (SELECT o_orderkey AS reply_id, unnest(range(n)) AS position, w FROM x WHERE n <= 4)
+y AS (SELECT o_orderkey AS reply_id, unnest(range(n)) AS position, w FROM x)
 SELECT reply_id, position, 'k' || position AS account_key, CASE WHEN w <= 100 THEN w END AS weekly_remaining, CAST(NULL AS BIGINT) AS reset_count FROM y""",
 )
 def _(spark, d):

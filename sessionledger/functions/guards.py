@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 SAFE = 9_007_199_254_740_991
 
 # Fixed values of the log formats.
-EVENTS = (
-    "session turn tool-start tool-end thinking output compact-start compact-end compact-failed "
-    "idle interrupt end model subagent-start subagent-stop"
-).split()
-PHASES = "ready working tool thinking output compacting idle interrupted ended".split()
-TOOLS = (
-    "Bash bash apply_patch read write edit grep find ls exec_command write_stdin exec web "
-    "mcp-tool custom-tool"
-).split()
+EVENTS = [
+    "session", "turn", "tool-start", "tool-end", "thinking", "output", "compact-start", "compact-end",
+    "compact-failed", "idle", "interrupt", "end", "model", "subagent-start", "subagent-stop",
+]
+#: Fixed values.
+PHASES = [
+    "ready", "working", "tool", "thinking", "output", "compacting", "idle", "interrupted", "ended",
+]
+#: Fixed values.
+TOOLS = [
+    "Bash", "bash", "apply_patch", "read", "write", "edit", "grep", "find", "ls", "exec_command",
+    "write_stdin", "exec", "web", "mcp-tool", "custom-tool",
+]
 STATES = ["working", "blocked", "done", "idle", "unknown"]
 
 

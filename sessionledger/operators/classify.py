@@ -10,10 +10,10 @@ from ..functions.scalars import hashed
 from ..plans import Run, running
 
 # Fixed values of the transcript text grammar.
-WRAPPERS = (
-    "command-name local-command-stdout local-command-stderr bash-input bash-stdout bash-stderr "
-    "task-notification"
-).split()
+WRAPPERS = [
+    "command-name", "local-command-stdout", "local-command-stderr", "bash-input", "bash-stdout",
+    "bash-stderr", "task-notification",
+]
 INTERRUPTS = ["[Request interrupted by user]", "[Request interrupted by user for tool use]"]
 STATUS_WORDS = {"completed": "completed", "failed": "errored", "killed": "interrupted", "blocked": "unknown"}
 ORIGINS = ["human", "task-notification", "peer", "coordinator"]

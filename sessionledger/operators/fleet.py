@@ -168,18 +168,19 @@ def host_reporting(df: DataFrame, now, max_age: Column) -> DataFrame:
     return df.withColumns({"reporting": reporting, "connection": connection})
 
 
-def sample_guard(df: DataFrame, now, limit: int = 4096) -> DataFrame:
+def sample_guard(df: DataFrame, now, limit: int | None = None) -> DataFrame:
     """Rows of accepted samples: a sample from the future, beyond ``limit``
-    agents, or naming another host's agent is rejected whole."""
+    agents where one is given, or naming another host's agent is rejected whole."""
     per = df.groupBy("host", "sampled_at").agg(
         F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("agent_host") != F.col("host")).alias("_other")
     )
     ok = (
         (F.col("sampled_at") > 0)
         & (F.col("sampled_at") <= F.lit(now) + 1)
-        & (F.col("_n") <= limit)
         & ~F.col("_other")
     )
+    if limit is not None:
+        ok = ok & (F.col("_n") <= limit)
     return df.join(per.filter(ok), ["host", "sampled_at"], "left_semi")
 
 

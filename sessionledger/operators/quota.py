@@ -9,11 +9,11 @@ from ..functions import guards as g
 from ..functions import scalars as sc
 
 # Plan names a provider reports.
-PLANS = (
-    "free go plus pro prolite team self_serve_business_prolite self_serve_business_usage_based "
-    "business ent26 enterprise_cbp_automation enterprise_cbp_usage_based enterprise edu edu_plus "
-    "edu_pro unknown"
-).split()
+PLANS = [
+    "free", "go", "plus", "pro", "prolite", "team", "self_serve_business_prolite",
+    "self_serve_business_usage_based", "business", "ent26", "enterprise_cbp_automation",
+    "enterprise_cbp_usage_based", "enterprise", "edu", "edu_plus", "edu_pro", "unknown",
+]
 WEEK_S = 604_800
 WEEK_MIN = 10_080
 PASS_TYPE = "codexRateLimits"
@@ -187,12 +187,13 @@ def credits_summary(df: DataFrame, now, pass_type: str = PASS_TYPE) -> DataFrame
     )
 
 
-def daily_usage(df: DataFrame, today: str, k: int = 30, cap: int | None = 366) -> DataFrame:
+def daily_usage(df: DataFrame, today: str, k: int = 30, cap: int | None = None) -> DataFrame:
     """Token counts of the last ``k`` distinct days per account.
 
     One repeated, invalid or future date, or one bad number, makes the whole
     list unknown. Missing days are never filled. Input rows: account_key, date
-    and tokens as text. The last days are a group limit applied per task.
+    and tokens as text. The last days are a group limit applied per task. An
+    account of more than ``cap`` rows, where one is given, is unknown too.
     """
     c = F.col
     date = F.when(g.full(c("date"), "[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_date(c("date"), "yyyy-MM-dd"))

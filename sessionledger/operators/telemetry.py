@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import guards as g
 from ..functions import scalars as sc
 
-NUMBERS = (
-    "input output_tokens cache_read cache_write context window usage_seq total_input "
-    "total_output total_cache_read total_cache_write total_uncached_input compactions context_percent"
-).split()
-OUTCOMES = "subagent_running subagent_completed subagent_interrupted subagent_failed subagent_unknown".split()
+#: Fixed values.
+NUMBERS = [
+    "input", "output_tokens", "cache_read", "cache_write", "context", "window", "usage_seq", "total_input",
+    "total_output", "total_cache_read", "total_cache_write", "total_uncached_input", "compactions",
+    "context_percent",
+]
+#: Fixed values.
+OUTCOMES = [
+    "subagent_running", "subagent_completed", "subagent_interrupted", "subagent_failed", "subagent_unknown",
+]
 CONTRACT = [
     "seq", "event", "phase", "tool", "model", "result", *NUMBERS,
     "subagent_starts", "subagent_stops", "subagent_seq",

@@ -374,10 +374,11 @@ class _Fold:
             self.untimed()
 
 
-B_INPUTS = (
-    "ord role lost foreign key repeated stamp injected command final_stop local_output local_command "
-    "prompt take elapsed_ms background masks children_ok children_running"
-).split()
+B_INPUTS = [
+    "ord", "role", "lost", "foreign", "key", "repeated", "stamp", "injected", "command", "final_stop",
+    "local_output", "local_command", "prompt", "take", "elapsed_ms", "background", "masks", "children_ok",
+    "children_running",
+]
 
 
 def b_step(s: dict, row: tuple, emit) -> None:

@@ -12,10 +12,13 @@ _WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; only where none is set, make one."""
+    """The cluster's shared checkpoint folder; on one machine,
+    where none is set, make one; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sessionledger-", dir="/tmp"))
     return sc.getCheckpointDir()
 

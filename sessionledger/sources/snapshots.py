@@ -159,10 +159,12 @@ LEGACY_SCHEMA = (
 )
 
 
-def read_legacy_quota(df: DataFrame, limit: int = 4) -> DataFrame:
+def read_legacy_quota(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Known fields of the rows in an old cache or peer reply ``value``; a reply
-    of more than ``limit`` rows is refused whole."""
-    rows = df.select("reply_id", F.from_json("value", LEGACY_SCHEMA).alias("r")).filter(F.size("r") <= limit)
+    of more than ``limit`` rows, where one is given, is refused whole."""
+    rows = df.select("reply_id", F.from_json("value", LEGACY_SCHEMA).alias("r"))
+    if limit is not None:
+        rows = rows.filter(F.size("r") <= limit)
     x = rows.select("reply_id", F.posexplode("r").alias("position", "x"))
     count = lambda n, top=g.SAFE: g.safe_counter(F.col(f"x.{n}"), top).alias(n)
     return x.select(

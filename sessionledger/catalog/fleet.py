@@ -23,12 +23,12 @@ v AS (SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (n > 1) AS duplicat
 @query("inventory_checks", with_ctes(F6_SQL, _inv("num % 10 = 1"), body="SELECT *, duplicates = 0 AND invalid = 0 AS accepted FROM v"))
 def _(spark, d):
     x = f6(spark, d).withColumn("id", F.expr("CASE WHEN num % 10 = 1 THEN 'p1' ELSE id END"))
-    return fl.inventory_checks(x, limit=None)
+    return fl.inventory_checks(x)
 
 
 @query("inventory_limit", with_ctes(F6_SQL, _inv("false"), body="SELECT *, duplicates = 0 AND invalid = 0 AND rows <= 64 AS accepted FROM v"))
 def _(spark, d):
-    return fl.inventory_checks(f6(spark, d))
+    return fl.inventory_checks(f6(spark, d), limit=64)
 
 
 CONFIG_SQL = """cfg AS (SELECT 'h' || s_suppkey AS host, CASE WHEN s_suppkey % 4 = 0 THEN 'p' || s_suppkey END AS profile_id,

@@ -138,16 +138,21 @@ def _named_lines(spark, d):
     )
 
 
+FILES_SQL = """fl AS (SELECT 'f' || session_id || CASE WHEN session_id % 6 = 0 AND rn >= 10 THEN '-b' ELSE '' END AS file, session_id, count(*) AS lines, min(rn) AS first FROM f1 GROUP BY 1, 2)"""
+
+
+@query("verify_header", with_ctes(F1_SQL, FILES_SQL, body="SELECT file, lines FROM fl WHERE NOT (session_id % 5 = 0 AND first = 0)"))
+def _(spark, d):
+    return lg.verify_header(_named_lines(spark, d)).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query(
-    "verify_header",
-    with_ctes(
-        F1_SQL,
-        """fl AS (SELECT 'f' || session_id || CASE WHEN session_id % 6 = 0 AND rn >= 10 THEN '-b' ELSE '' END AS file, session_id, count(*) AS lines, min(rn) AS first FROM f1 GROUP BY 1, 2)""",
-        body="SELECT file, lines FROM fl WHERE NOT ((session_id % 5 = 0 OR session_id % 7 = 0) AND first = 0)",
-    ),
+    "header_limit",
+    with_ctes(F1_SQL, FILES_SQL, body="SELECT file, lines FROM fl WHERE NOT ((session_id % 5 = 0 OR session_id % 7 = 0) AND first = 0)"),
 )
 def _(spark, d):
-    return lg.verify_header(_named_lines(spark, d)).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+    kept = lg.verify_header(_named_lines(spark, d), limit=64 * 1024)
+    return kept.groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query(
@@ -159,9 +164,9 @@ def _(spark, d):
 
 
 PRED_SQL = """fr AS (SELECT session_id % 4 AS dir, session_id, ord, rn, stamp, CASE WHEN k % 25 = 7 AND session_id % 3 > 0 THEN session_id + 4 * (k % 3) END AS named, k = 3 AND session_id % 5 = 0 AS malformed FROM f1),
-hd AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS r FROM fr WHERE rn < 30 AND (malformed OR named IS NOT NULL)),
+hd AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS r FROM fr WHERE malformed OR named IS NOT NULL),
 fm AS (SELECT dir, session_id, max(stamp) AS m, count(*) AS n FROM fr GROUP BY 1, 2),
-st AS (SELECT fm.dir, fm.session_id, fm.m, CASE WHEN hd.session_id IS NULL THEN CASE WHEN n < 30 THEN 'ended' ELSE 'unknown' END WHEN hd.malformed THEN 'unknown' ELSE 'named' END AS state,
+st AS (SELECT fm.dir, fm.session_id, fm.m, CASE WHEN hd.session_id IS NULL THEN 'ended' WHEN hd.malformed THEN 'unknown' ELSE 'named' END AS state,
   CASE WHEN NOT hd.malformed THEN hd.named END AS named FROM fm LEFT JOIN hd ON hd.session_id = fm.session_id AND hd.r = 1)"""
 
 
@@ -170,7 +175,7 @@ def _heads(spark, d):
         "session_id % 4 AS dir", "session_id", "ord", "stamp AS modified",
         "CASE WHEN k % 25 = 7 AND session_id % 3 > 0 THEN session_id + 4 * (k % 3) END AS named", "k = 3 AND session_id % 5 = 0 AS malformed",
     )
-    return lg.file_heads(x, bound=30)
+    return lg.file_heads(x)
 
 
 @query("file_heads", with_ctes(F1_SQL, PRED_SQL, body="SELECT dir, session_id, m AS modified, state, named FROM st"))

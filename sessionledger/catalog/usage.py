@@ -22,7 +22,7 @@ l3 AS (SELECT *, sum(new::INT) OVER (PARTITION BY session_id ORDER BY ord) AS is
     max(CASE WHEN new THEN ord END) OVER (PARTITION BY session_id ORDER BY ord) AS island_start FROM l2),
 ro AS (SELECT * FROM (SELECT session_id, island, message_id, ord,
     lag(island) OVER (PARTITION BY session_id, message_id ORDER BY ord) AS prev_island FROM l3 WHERE new)
-  WHERE island - prev_island BETWEEN 2 AND 32),
+  WHERE prev_island IS NOT NULL),
 l4 AS (SELECT l3.*, ro.island IS NOT NULL AS reopened,
     coalesce(input + output + cache_read + cache_write <= 9007199254740991, false) AS complete
   FROM l3 LEFT JOIN ro ON l3.session_id = ro.session_id AND l3.island = ro.island),
@@ -261,7 +261,7 @@ def _(spark, d):
     with_ctes(
         F1C_SQL,
         f"""r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord DESC) AS rr FROM f1c),
-n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord DESC) AS q FROM r WHERE rr <= 128 AND c_type = 'assistant'),
+n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord DESC) AS q FROM r WHERE c_type = 'assistant'),
 lv AS (SELECT session_id, max(stamp) AS ls, max(k) AS li, min(k) AS lo FROM f1c WHERE session_id % 3 = 0 AND k < 90 GROUP BY 1),
 j AS (SELECT s.session_id, n.stamp, n.input, n.output, ls, li, lo,
     coalesce(has_usage AND n.stamp <= {NOW_US}, false) AS m

@@ -20,7 +20,7 @@ def _rank(col: Column, table: dict[str, int]) -> Column:
 
 
 # ----------------------------------------------------------------- inventory
-def inventory_checks(df: DataFrame, limit: int | None = 64) -> DataFrame:
+def inventory_checks(df: DataFrame, limit: int | None = None) -> DataFrame:
     """One verdict row: an inventory with any invalid or repeated row is
     rejected whole. Counting is a distributed aggregate over ids."""
     c = F.col

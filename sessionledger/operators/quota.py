@@ -171,8 +171,7 @@ def credits_summary(df: DataFrame, now, pass_type: str = PASS_TYPE) -> DataFrame
     ids = F.transform(listed, lambda x: x.id)
     times = F.transform(listed, lambda x: g.safe_counter(x.expiresAt))
     sound = (
-        (F.size(credits.credits) <= 1000)
-        & (F.size(listed) == count)
+        (F.size(listed) == count)
         & ~F.exists(ids, lambda i: i.isNull() | (i == ""))
         & (F.size(F.array_distinct(ids)) == F.size(ids))
         & ~F.exists(listed, lambda x: x.expiresAt.isNotNull() & g.safe_counter(x.expiresAt).isNull())

@@ -41,15 +41,16 @@ def message_islands(df: DataFrame, span: int | None = None) -> DataFrame:
     it, and how many runs came earlier, so two passes over the lines are enough.
     """
     c = F.col
-    rows = with_chunk(_lines(df), "ord", span)
-    parts = ["session_id", CHUNK]
+    # As a struct the session is never NULL, so that lines without one join too.
+    rows = with_chunk(_lines(df), "ord", span).withColumn("_key", F.struct("session_id"))
+    parts = ["_key", CHUNK]
     inside = Window.partitionBy(*parts).orderBy("ord")
     past = inside.rowsBetween(Window.unboundedPreceding, -1)
     future = Window.partitionBy(*parts).orderBy(c("ord").desc()).rowsBetween(Window.unboundedPreceding, -1)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(c("part"), F.struct("message_id", *COUNTERS))
     differs = lambda other: ~F.coalesce(other == c("message_id"), F.lit(False))
-    base = rows.columns
+    base = [n for n in rows.columns if n != "_key"]
     local = rows.select(
         "*",
         F.last(mark, ignorenulls=True).over(past).alias("_prev"),
@@ -67,10 +68,10 @@ def message_islands(df: DataFrame, span: int | None = None) -> DataFrame:
         F.sum(c("_new").cast("long")).alias("_runs"),
         F.max(F.when(c("_new"), c("ord"))).alias("_last_start"),
     )
-    order = Window.partitionBy("session_id").orderBy(CHUNK)
+    order = Window.partitionBy("_key").orderBy(CHUNK)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = (
-        Window.partitionBy("session_id").orderBy(c(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_key").orderBy(c(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     )
     chunks = chunks.select(
         "*",
@@ -98,17 +99,21 @@ def message_islands(df: DataFrame, span: int | None = None) -> DataFrame:
     )
 
 
-def reopened_groups(lines: DataFrame, ring: int = 32) -> DataFrame:
-    """Islands whose message id closed before, within the last ``ring`` islands.
+def reopened_groups(lines: DataFrame, ring: int | None = None, span: int | None = None) -> DataFrame:
+    """Islands whose message id closed before; with ``ring``, within that many
+    islands before it, which is all a source of so short a memory can tell.
 
-    Island numbers are cut into blocks of ``ring`` and every group start is also
+    Without it the islands of an id are looked through in chunks. With it, island numbers are cut into blocks of ``ring`` and every group start is also
     shown to the next block, so an earlier group within reach always shares a
     block and no window group holds more than two blocks of starts.
     """
-    block = chunk_number("island", ring)
+    starts = lines.filter("new").select("session_id", "message_id", "ord", "island")
+    if ring is None:
+        past = Run("last", F.col("island"), before=True)
+        rows = running(starts, ["session_id", "message_id"], "ord", {"prev_island": past}, span)
+        return rows.filter("prev_island IS NOT NULL").select("session_id", "island", "message_id", "ord", "prev_island")
     starts = (
-        lines.filter("new")
-        .select("session_id", "message_id", "ord", "island", block.alias("_own"))
+        starts.withColumn("_own", chunk_number("island", ring))
         .withColumn("_block", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
     )
     w = Window.partitionBy("session_id", "message_id", "_block").orderBy("island")
@@ -120,20 +125,20 @@ def reopened_groups(lines: DataFrame, ring: int = 32) -> DataFrame:
     )
 
 
-def usage_lines(df: DataFrame, ring: int = 32, span: int | None = None) -> DataFrame:
+def usage_lines(df: DataFrame, ring: int | None = None, span: int | None = None) -> DataFrame:
     """Islands with ``reopened`` and ``complete`` decided per line."""
     lines = message_islands(df, span)
-    hits = reopened_groups(lines, ring).select(
-        "session_id", "island", F.lit(True).alias("_hit")
-    )
+    place = F.struct("session_id", "island").alias("_place")
+    hits = reopened_groups(lines, ring, span).select(place, F.lit(True).alias("_hit"))
     whole = F.lit(0)
     for name in COUNTERS:
         whole = whole + F.col(name)
     return (
-        lines.join(hits, ["session_id", "island"], "left")
+        lines.select("*", place)
+        .join(hits, "_place", "left")
         .withColumn("reopened", F.coalesce("_hit", F.lit(False)) & F.col("part"))
         .withColumn("complete", F.coalesce(whole <= SAFE, F.lit(False)))
-        .drop("_hit")
+        .drop("_hit", "_place")
     )
 
 
@@ -144,7 +149,7 @@ def _session_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def usage_totals(df: DataFrame, ring: int = 32, span: int | None = None) -> DataFrame:
+def usage_totals(df: DataFrame, ring: int | None = None, span: int | None = None) -> DataFrame:
     """Totals per session: the last line of every group counts, once."""
     lines = usage_lines(df, ring, span)
     ok = F.count_if(~F.col("part") | F.col("reopened") | ~F.col("complete")) == 0
@@ -169,7 +174,7 @@ def usage_totals(df: DataFrame, ring: int = 32, span: int | None = None) -> Data
     )
 
 
-def last_response(df: DataFrame, ring: int = 32, span: int | None = None) -> DataFrame:
+def last_response(df: DataFrame, ring: int | None = None, span: int | None = None) -> DataFrame:
     """Latest response of a group begun after the last failure.
 
     Group starts rise with ``ord``, so only the latest candidate can qualify
@@ -206,7 +211,7 @@ def last_response(df: DataFrame, ring: int = 32, span: int | None = None) -> Dat
     )
 
 
-def running_usage(df: DataFrame, ring: int = 32, span: int | None = None) -> DataFrame:
+def running_usage(df: DataFrame, ring: int | None = None, span: int | None = None) -> DataFrame:
     """Totals the source would publish after each usage line."""
     lines = usage_lines(df, ring, span)
     same = F.col("_prev.message_id") == F.col("message_id")
@@ -240,7 +245,7 @@ def running_usage(df: DataFrame, ring: int = 32, span: int | None = None) -> Dat
     )
 
 
-def dedup_stats(df: DataFrame, ring: int = 32, span: int | None = None) -> DataFrame:
+def dedup_stats(df: DataFrame, ring: int | None = None, span: int | None = None) -> DataFrame:
     """Counted lines, merged lines, groups and reopened groups per session."""
     lines = usage_lines(df, ring, span).filter("part")
     return lines.groupBy("session_id").agg(
@@ -357,27 +362,23 @@ def adapter_totals(df: DataFrame, cap: int | None = None) -> DataFrame:
 
 
 def adapter_latest_usage(
-    df: DataFrame, live: DataFrame, now_us: int, depth: int = 128
+    df: DataFrame, live: DataFrame, now_us: int, depth: int | None = None
 ) -> DataFrame:
-    """Usage of the newest assistant entry among the last ``depth`` entries.
+    """Usage of the newest assistant entry, of the last ``depth`` entries where
+    one is given.
 
     ``live`` holds one already measured value per session; it stays only while
     its stamp is newer than the log's, or the log has none. The ranking filter
     is a per-task group limit before the shuffle, so a hot session is cheap.
     """
-    recent = (
-        df.withColumn(
-            "_r",
-            F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("ord").desc())),
-        )
-        .filter(F.col("_r") <= depth)
-        .groupBy("session_id")
-        .agg(
-            F.max_by(
-                F.struct("stamp", *COUNTERS, "has_usage"),
-                F.when(F.col("c_type") == "assistant", F.col("ord")),
-            ).alias("n")
-        )
+    if depth is not None:
+        newest = Window.partitionBy("session_id").orderBy(F.col("ord").desc())
+        df = df.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= depth)
+    recent = df.groupBy("session_id").agg(
+        F.max_by(
+            F.struct("stamp", *COUNTERS, "has_usage"),
+            F.when(F.col("c_type") == "assistant", F.col("ord")),
+        ).alias("n")
     )
     joined = recent.join(live, "session_id", "left")
     measured = F.col("n.has_usage") & (F.col("n.stamp") <= now_us)
@@ -436,7 +437,7 @@ def window_reading(usage: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ roll-ups
-def seq_rollup(df: DataFrame, now_us: int, ring: int = 32) -> DataFrame:
+def seq_rollup(df: DataFrame, now_us: int, ring: int | None = None) -> DataFrame:
     """Coverage, usage and child stamps per session, and the newest usable."""
     usage = (
         usage_lines(df, ring)

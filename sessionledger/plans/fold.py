@@ -5,8 +5,8 @@ replayed in parallel from a guessed entry state. A chunk whose guess differs
 from its predecessor's exit state is replayed again, until every entry equals
 the exit before it; by induction over the chunks the result is then exactly
 the sequential one. Machines that forget (a closed turn resets them) settle
-after one or two passes whatever the number of chunks. Keys with one chunk,
-the usual case, are never replayed twice.
+after one or two passes whatever the number of chunks; what a machine never
+forgets moves on one chunk a pass. Keys with one chunk are never replayed twice.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ class Machine(NamedTuple):
     high: str
 
 
+KEY = "_key"  # the keys as one struct, which is never NULL: NULL keys join like others
 STATE = "state"  # the event that carries a chunk's exit state
 EVENT_FIELDS = [
     T.StructField("ord", T.LongType()),
@@ -127,10 +128,11 @@ def _replay(rows: DataFrame, keys: list[str], machine: Machine, events: bool) ->
         close()
         yield flush()
 
-    number = F.row_number().over(Window.partitionBy(*lead).orderBy(ord))
+    number = F.row_number().over(Window.partitionBy(KEY, CHUNK).orderBy(ord))
     return (
-        rows.select(*lead, "entry", "entry_hi", *inputs)
+        rows.select(*lead, KEY, "entry", "entry_hi", *inputs)
         .withColumn("_n", number)
+        .drop(KEY)
         .mapInArrow(run, schema)
     )
 
@@ -154,16 +156,17 @@ def chunked_fold(
     ship_package(spark)
     span = span or int(spark.conf.get(SPAN_CONF, str(DEFAULT_SPAN)))
     ord = machine.inputs[0]
+    whole = F.struct(*keys)
     rows = df.select(
-        *keys, chunk_number(ord, span).alias(CHUNK), *machine.inputs
+        *keys, whole.alias(KEY), chunk_number(ord, span).alias(CHUNK), *machine.inputs
     )
-    at = [*keys, CHUNK]
+    at = [KEY, CHUNK]
     long_keys = (
         (rows if extent is None else extent)
-        .groupBy(*keys)
+        .groupBy(whole.alias(KEY))
         .agg(chunk_number(F.min(ord), span).alias("_lo"), chunk_number(F.max(ord), span).alias("_hi"))
         .filter("_lo < _hi")
-        .select(*keys)
+        .select(KEY)
     )
     none = rows.withColumns(
         {"entry": F.lit(None).cast("string"), "entry_hi": F.lit(None).cast("long")}
@@ -172,12 +175,12 @@ def chunked_fold(
         return _replay(none, keys, machine, events=True)
 
     ensure_checkpoint_dir(spark)
-    hot = rows.join(long_keys, keys, "left_semi").checkpoint()
+    hot = rows.join(long_keys, KEY, "left_semi").checkpoint()
     guess = hot.withColumns(
         {"entry": F.lit(None).cast("string"), "entry_hi": F.lit(None).cast("long")}
     )
-    cur = _replay(guess, keys, machine, events=False).checkpoint()
-    order = Window.partitionBy(*keys).orderBy(CHUNK)
+    cur = _replay(guess, keys, machine, events=False).withColumn(KEY, whole).checkpoint()
+    order = Window.partitionBy(KEY).orderBy(CHUNK)
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     while True:
         todo = (
@@ -190,7 +193,7 @@ def chunked_fold(
         )
         if todo.isEmpty():
             break
-        redo = _replay(hot.join(todo, at), keys, machine, events=False)
+        redo = _replay(hot.join(todo, at), keys, machine, events=False).withColumn(KEY, whole)
         cur = cur.join(todo.select(*at), at, "left_anti").unionByName(redo).checkpoint()
     entries = cur.select(*at, "entry", "entry_hi")
     return _replay(rows.join(entries, at, "left"), keys, machine, events=True)

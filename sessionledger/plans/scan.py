@@ -4,7 +4,9 @@ A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here each
 key is cut into chunks of at most ``span`` consecutive order values, windows
 run per ``(key, chunk)``, and only one summary row per chunk is ordered per
 key. The summary is a map-side combined aggregate, so a key holding a third of
-all rows costs ``rows / span`` summary rows in its largest task.
+all rows costs ``rows / span`` summary rows in its largest task. What earlier
+chunks hand on enters a chunk as a row before its first, so no join is needed
+and a NULL key is carried like any other.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 SPAN_CONF = "sessionledger.scan.span"
 DEFAULT_SPAN = 1 << 24
 CHUNK = "_chunk"
+ROW = "_row"  # false on the row that brings in what earlier chunks hand on
 
 
 class Run(NamedTuple):
@@ -53,18 +56,19 @@ def with_chunk(df: DataFrame, ord: str, span: int | None = None) -> DataFrame:
 
 
 def _local(run: Run, parts: list[str], ord: str) -> Column:
-    asc = Window.partitionBy(*parts).orderBy(F.col(ord))
+    asc = Window.partitionBy(*parts).orderBy(F.col(ROW), F.col(ord))
+    value = F.when(F.col(ROW), run.value)
     frame = asc.rowsBetween(Window.unboundedPreceding, -1 if run.before else 0)
     # A frame that ends at unbounded following is re-read for every row, so
     # "next" looks back over the reversed order instead.
-    back = Window.partitionBy(*parts).orderBy(F.col(ord).desc())
+    back = Window.partitionBy(*parts).orderBy(F.col(ROW).desc(), F.col(ord).desc())
     return {
-        "sum": lambda: F.coalesce(F.sum(run.value).over(frame), F.lit(0)),
-        "max": lambda: F.max(run.value).over(frame),
-        "min": lambda: F.min(run.value).over(frame),
-        "last": lambda: F.last(run.value, ignorenulls=True).over(frame),
-        "first": lambda: F.first(run.value, ignorenulls=True).over(frame),
-        "next": lambda: F.last(run.value, ignorenulls=True).over(
+        "sum": lambda: F.coalesce(F.sum(value).over(frame), F.lit(0)),
+        "max": lambda: F.max(value).over(frame),
+        "min": lambda: F.min(value).over(frame),
+        "last": lambda: F.last(value, ignorenulls=True).over(frame),
+        "first": lambda: F.first(value, ignorenulls=True).over(frame),
+        "next": lambda: F.last(value, ignorenulls=True).over(
             back.rowsBetween(Window.unboundedPreceding, -1)
         ),
     }[run.how]()
@@ -119,10 +123,17 @@ def running(
     carry = {n: f"_c_{n}" for n in outs}
     summary = df.groupBy(*parts).agg(*[_summary(r, ord).alias(carry[n]) for n, r in outs.items()])
     carried = summary.select(
-        *parts, *[_carry(r.how, carry[n], keys).alias(carry[n]) for n, r in outs.items()]
+        *parts, F.lit(False).alias(ROW), *[_carry(r.how, carry[n], keys).alias(carry[n]) for n, r in outs.items()]
     )
-    local = df.select("*", *[_local(r, parts, ord).alias(f"_l_{n}") for n, r in outs.items()])
-    return local.join(carried, parts, "left").select(
+    rows = df.withColumn(ROW, F.lit(True)).unionByName(carried, allowMissingColumns=True)
+    head = Window.partitionBy(*parts).orderBy(F.col(ROW), F.col(ord)).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select(
+        *base,
+        ROW,
+        *[_local(r, parts, ord).alias(f"_l_{n}") for n, r in outs.items()],
+        *[F.first(carry[n]).over(head).alias(carry[n]) for n in outs],
+    )
+    return local.filter(ROW).select(
         *base,
         *[_combine(r.how, F.col(f"_l_{n}"), F.col(carry[n])).alias(n) for n, r in outs.items()],
     )

@@ -9,7 +9,6 @@ from ..functions import guards as g
 from ..functions.scalars import turn_key
 from ..operators import classify as cl
 
-LINE_LIMIT = 64 * 1024  # a header line longer than this is not trusted
 _SEGMENT = 1 << 40
 _ROW = (1 << 33) - 1
 SESSION_FROM_NAME = {"A": r"-([A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)*)\.jsonl$", "B": r"([A-Za-z0-9_-]+)\.jsonl$"}
@@ -359,8 +358,9 @@ def parse_rollout(lines: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------- whole-file rules
-def verify_header(lines: DataFrame, fmt: str = "B") -> DataFrame:
-    """Keep logs whose first line is short enough and names the session."""
+def verify_header(lines: DataFrame, fmt: str = "B", limit: int | None = None) -> DataFrame:
+    """Keep logs whose first line names the session and, where ``limit`` is
+    given, has no more bytes."""
     first = lines.groupBy("file", "session_id").agg(F.min_by("value", "ord").alias("_h"))
     if fmt == "A":
         ok = (F.get_json_object("_h", "$.type") == "session_meta") & (
@@ -368,7 +368,9 @@ def verify_header(lines: DataFrame, fmt: str = "B") -> DataFrame:
         )
     else:
         ok = F.get_json_object("_h", "$.sessionId") == F.col("session_id")
-    good = first.filter(ok & (F.octet_length("_h") <= LINE_LIMIT)).select("file")
+    if limit is not None:
+        ok = ok & (F.octet_length("_h") <= limit)
+    good = first.filter(ok).select("file")
     return lines.join(good, "file", "left_semi")
 
 
@@ -382,23 +384,27 @@ def unique_binding(files: DataFrame) -> DataFrame:
     )
 
 
-def file_heads(records: DataFrame, bound: int = 512) -> DataFrame:
-    """What the first ``bound`` records of a file say about another session.
+def file_heads(records: DataFrame, bound: int | None = None) -> DataFrame:
+    """What the records of a file, or the first ``bound`` of them where that is
+    given, say about another session.
 
     Input: dir, session_id, ord, modified, named, malformed. State is
     ``named`` with the first name, ``unknown`` when a malformed record comes
     first or the bound runs out, and ``ended`` when the file stops before.
     """
-    w = Window.partitionBy("dir", "session_id").orderBy("ord")
-    head = records.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= bound)
+    head = records
+    if bound is not None:
+        w = Window.partitionBy("dir", "session_id").orderBy("ord")
+        head = records.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= bound)
     speaks = F.col("malformed") | F.col("named").isNotNull()
     agg = head.groupBy("dir", "session_id").agg(
         F.min_by(F.struct("malformed", "named"), F.when(speaks, F.col("ord"))).alias("_s"),
         F.count(F.lit(1)).alias("_n"),
     )
     modified = records.groupBy("dir", "session_id").agg(F.max("modified").alias("modified"))
+    silent = F.lit("ended") if bound is None else F.when(F.col("_n") < bound, "ended").otherwise("unknown")
     state = (
-        F.when(F.col("_s").isNull(), F.when(F.col("_n") < bound, "ended").otherwise("unknown"))
+        F.when(F.col("_s").isNull(), silent)
         .when(F.col("_s.malformed"), "unknown")
         .otherwise("named")
     )

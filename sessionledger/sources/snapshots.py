@@ -50,20 +50,22 @@ def explode_snapshot(df: DataFrame) -> DataFrame:
     )
 
 
-def nest_snapshot(agents: DataFrame, limit: int = 4096, max_hosts: int = 16) -> DataFrame:
+def nest_snapshot(agents: DataFrame, limit: int | None = None, max_hosts: int | None = None) -> DataFrame:
     """Snapshot documents, one per ``at``: hosts in order, agents in order.
 
-    A host sample beyond ``limit`` agents is invalid and comes without agents
-    and offline, as the sample guard rules, and a fleet beyond ``max_hosts`` is
-    no valid snapshot, so no array outgrows the limits.
+    A document holds its whole fleet, so it is as large as the fleet at one
+    instant. Where ``limit`` is given, a host sample of more agents is invalid
+    and comes without agents and offline; where ``max_hosts`` is, a fleet of
+    more hosts is no valid snapshot.
     """
     size = agents.groupBy("at", "host").agg(F.count(F.lit(1)).alias("_n"))
-    fits = size.groupBy("at").agg(F.count(F.lit(1)).alias("_h")).filter(F.col("_h") <= max_hosts)
-    size = size.join(fits, "at", "left_semi")
-    small = size.filter(F.col("_n") <= limit)
+    if max_hosts is not None:
+        fits = size.groupBy("at").agg(F.count(F.lit(1)).alias("_h")).filter(F.col("_h") <= max_hosts)
+        size = size.join(fits, "at", "left_semi")
+    if limit is not None:
+        agents = agents.join(size.filter(F.col("_n") <= limit), ["at", "host"], "left_semi")
     lists = (
-        agents.join(small, ["at", "host"], "left_semi")
-        .groupBy("at", "host")
+        agents.groupBy("at", "host")
         .agg(F.array_sort(F.collect_list(F.struct("agent", "status", "project"))).alias("agents"))
     )
     hosts = size.join(lists, ["at", "host"], "left").select(

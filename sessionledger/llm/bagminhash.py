@@ -22,6 +22,7 @@ from .shingles import bags, shingles, word_hashes
 
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no band once in 20,000 pairs
 BLOCK = 1024  # texts outside a group's main component compared at a time
+SLICE = 1024  # texts of the group they are compared with in one task
 TEXT_BYTES = 4 << 20  # texts hashed at a time
 
 
@@ -243,17 +244,25 @@ def block_links(groups: DataFrame, features: DataFrame, threshold: float) -> Dat
     """Links (tid, leader) that tie the components of each group.
 
     ``groups`` (leader, tid, comp). All texts outside a group's largest
-    component are compared with all texts of the group, in blocks of BLOCK of
-    the former; a block yields one link for two components at most.
+    component are compared with all texts of the group, in blocks of about BLOCK
+    of the former by slices of about SLICE of the latter, so a task's share is
+    bounded whatever the group; it yields one link for two components at most.
     """
     sizes = groups.groupBy("leader", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("leader").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("top"))
-    placed = groups.join(largest.filter("top < total").withColumn("blocks", F.ceil((F.col("total") - F.col("top")) / BLOCK).cast("int")), "leader")
-    block = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
-    full = landed(placed.select("leader", "tid", "comp", "main", "blocks", block.alias("own")), "mixed").join(features, "tid")
-    strays = full.filter("comp <> main").select("leader", F.col("own").alias("block"), F.lit(0).alias("kind"), "tid", "comp", "bag")
-    others = full.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "tid", "comp", "bag")
-    rows = strays.unionByName(others).repartition("leader", "block").sortWithinPartitions("leader", "block", "kind")
+    mixed = largest.filter("top < total").withColumns(
+        {"blocks": F.ceil((F.col("total") - F.col("top")) / BLOCK).cast("int"), "slices": F.ceil(F.col("total") / SLICE).cast("int")}
+    )
+    own = {"block": F.pmod(F.xxhash64("tid"), F.col("blocks")), "slice": F.pmod(F.hash("tid"), F.col("slices"))}
+    placed = groups.join(mixed, "leader").select(
+        "leader", "tid", "comp", "main", "blocks", "slices", *[c.cast("int").alias(n) for n, c in own.items()]
+    )
+    full = landed(placed, "mixed").join(features, "tid")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = full.filter("comp <> main").select("leader", "block", each("slices").alias("slice"), F.lit(0).alias("kind"), "tid", "comp", "bag")
+    others = full.select("leader", each("blocks").alias("block"), "slice", F.lit(1).alias("kind"), "tid", "comp", "bag")
+    place = ["leader", "block", "slice"]
+    rows = strays.unionByName(others).repartition(*place).sortWithinPartitions(*place, "kind")
 
     def run(batches):
         state = {"at": None, "held": [], "block": None, "tids": [], "comps": None, "done": set()}
@@ -274,15 +283,16 @@ def block_links(groups: DataFrame, features: DataFrame, threshold: float) -> Dat
 
         for batch in batches:
             found = []
-            leader, block, kind = (batch.column(c).to_pylist() for c in ("leader", "block", "kind"))
+            at = list(zip(*(batch.column(c).to_pylist() for c in place)))
+            kind = batch.column("kind").to_pylist()
             tid, comp, bag = (batch.column(c).to_pylist() for c in ("tid", "comp", "bag"))
             lo = 0
             while lo < len(kind):
                 hi = lo + 1
-                while hi < len(kind) and (leader[hi], block[hi], kind[hi]) == (leader[lo], block[lo], kind[lo]):
+                while hi < len(kind) and (at[hi], kind[hi]) == (at[lo], kind[lo]):
                     hi += 1
-                if state["at"] != (leader[lo], block[lo]):
-                    state.update(at=(leader[lo], block[lo]), held=[], block=None, done=set())
+                if state["at"] != at[lo]:
+                    state.update(at=at[lo], held=[], block=None, done=set())
                 if kind[lo] == 0:
                     state["held"] += zip(tid[lo:hi], comp[lo:hi], bag[lo:hi])
                 elif state["held"] or state["block"] is not None:

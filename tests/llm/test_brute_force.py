@@ -186,7 +186,10 @@ def test_op9(spark, texts):
     assert got == classes(texts)
 
 
-def test_edited_copies_of_one_text(spark):
+@pytest.mark.parametrize("share", [1024, 16])
+def test_edited_copies_of_one_text(spark, monkeypatch, share):
+    monkeypatch.setattr(bagminhash, "BLOCK", share)
+    monkeypatch.setattr(bagminhash, "SLICE", share)
     rng = random.Random(9)
     base = [f"w{rng.randint(0, 999)}" for _ in range(300)]
     texts = {0: " ".join(base)}

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sessionledger.llm import QUERIES, bagminhash, common, decontaminate, materialise, packing, parsing, quality
+from sessionledger.llm import QUERIES, bagminhash, common, decontaminate, language, materialise, packing, parsing, quality
 from sessionledger.llm.tokens import token_ids
 
 from ..conftest import SF
@@ -228,3 +230,52 @@ def test_pipeline(spark, texts):
     named = classes(kept)
     kept = {i: t for i, t in kept.items() if named[i] == i}
     assert {r.doc_id for r in rows} <= set(kept) and len({r.doc_id for r in rows}) > 0.8 * len(kept)
+
+
+def plain_kneser_ney(texts):
+    """Probability of the last of four characters, by dictionaries."""
+    tables = [collections.Counter()]
+    for t in texts:
+        s = "\2\2\2" + plain_letters(t)
+        tables[0].update(s[i - 3 : i + 1] for i in range(3, len(s)))
+    for _ in range(3):
+        tables.append(collections.Counter(g[1:] for g in tables[-1]))
+
+    def prob(gram, level=0):
+        if not gram:
+            return 1 / 0x110000
+        counts = tables[level]
+        ones, twos = (sum(n == k for n in counts.values()) for k in (1, 2))
+        d = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.9)
+        after = [n for g, n in counts.items() if g[:-1] == gram[:-1]]
+        lower = prob(gram[1:], level + 1)
+        if not after:
+            return lower
+        return max(counts[gram] - d, 0) / sum(after) + d * len(after) / sum(after) * lower
+
+    return prob
+
+
+def plain_letters(t):
+    s = "".join(c if c.isalpha() else " " for c in t.lower() + " ")
+    return re.sub(" +", " ", s).removeprefix(" ")
+
+
+def test_op2(spark):
+    learn = [("a", "the cat sat on the mat"), ("a", "a dog, and the other dog"), ("b", "le chat est sur le tapis"), ("b", "un chien et le chien"), ("b", "")]
+    asked = ["the rat sat", "le rat est là", "xyz xyz", " 12 ", "", None, "the rat sat"]
+    labelled = spark.createDataFrame(learn, "lang string, text string")
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    probs = [plain_kneser_ney([t for lang, t in learn if lang == own]) for own in "ab"]
+    for cells in (language.CELLS, 40):
+        model = language.fitted(labelled, cells=cells)
+        assert (len(model.blocks) > 1) == (cells == 40)
+        got = {r.doc_id: r for r in language.with_entropy(docs, model, "text", ["doc_id"]).collect()}
+        assert len(got) == len(asked)
+        for i, t in enumerate(asked):
+            s = "\2\2\2" + plain_letters(t or "")
+            grams = [s[k - 3 : k + 1] for k in range(3, len(s))]
+            want = [-sum(math.log(p(g)) for g in grams) / max(len(grams), 1) for p in probs]
+            assert np.allclose(got[i]["_entropy"], want, rtol=1e-5)
+        langs = [r.lang_pred for r in language.predicted(docs, model).orderBy("doc_id").collect()]
+        assert langs[:2] == ["a", "b"] and langs[3:] == ["und", "und", "und", "a"]

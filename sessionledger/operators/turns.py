@@ -13,60 +13,69 @@ SKEW = 2  # seconds by which an end record may disagree with the saved start
 
 
 # ------------------------------------------------------- format A: keyed turns
+# What a record does: does it cost the total, and what becomes of the current turn.
+KEEP, OPEN, CLOSED, UNKNOWN = "keep", "open", "closed", "unknown"
+EFFECTS = {
+    "repeat": (False, KEEP),  # says what is known already
+    "conflict": (True, UNKNOWN),  # contradicts what is known, or cannot be read
+    "late": (True, KEEP),  # a start from before the current turn
+    "opens": (False, OPEN),
+    "replaces": (True, OPEN),  # a start while another turn has not ended
+    "ends": (False, CLOSED),
+    "ends_overlapping": (True, CLOSED),
+    "outlasts": (True, UNKNOWN),  # the end of an unseen turn that hides what is current
+    "strays": (True, KEEP),  # the end of an unseen turn from before
+}
+
+
 def a_start() -> dict:
-    return {"key": None, "start": None, "known": False, "seen": False, "last_end": 0}
+    return {"key": None, "start": None, "known": False, "last_end": 0}
+
+
+def start_effect(s: dict, key: str, start: int) -> str:
+    if key == s["key"]:
+        return "repeat" if start == s["start"] else "conflict"
+    running = s["key"] is not None
+    if running and start < s["start"]:
+        return "late"
+    if start < s["last_end"]:
+        return "conflict"
+    return "replaces" if running else "opens"
+
+
+def end_effect(s: dict, key: str, start: int, end: int) -> str:
+    overlapping = start < s["last_end"]
+    if (key, start) == (s["key"], s["start"]):
+        return "ends_overlapping" if overlapping else "ends"
+    # Whatever it came after or covers is no longer the newest thing known.
+    newest = [x for x in (s["start"], s["last_end"] if overlapping else None) if x is not None]
+    return "outlasts" if any(end > x for x in newest) else "strays"
 
 
 def a_step(s: dict, row: tuple, emit) -> None:
     """Advance over one start or end record.
 
-    ``prev_*`` is the interval already finished for this key, if any; knowing
-    it from the data keeps the state small. Anything that cannot be placed
-    emits ``lost``: the total is then unknown, the intervals stay recorded.
+    The last three values are the interval already finished for this key, if
+    any; knowing it from the data keeps the state small. ``lost`` tells that the
+    total is unknown from here; the intervals stay recorded.
     """
-    ord, opens, ok, key, start, end, outcome, p_start, p_end, p_outcome = row
-    s["seen"] = True
-    open_key, open_start, last_end = s["key"], s["start"], s["last_end"]
-
-    def close(known):
-        s.update(key=None, start=None, known=known)
-
-    def reset():
+    ord, opens, ok, key, start, end, outcome, *past = row
+    if ok and past[0] is None:
+        what = start_effect(s, key, start) if opens else end_effect(s, key, start, end)
+    else:
+        same = past[:1] == [start] if opens else past == [start, end, outcome]
+        what = "repeat" if ok and same else "conflict"
+    lost, current = EFFECTS[what]
+    if lost:
         emit(ord, "lost", None, None, None)
-        close(False)
-
-    if not ok:
-        return reset()
-    if opens:
-        if p_start is not None or open_key == key:
-            if (p_start if p_start is not None else open_start) != start:
-                reset()
-            return
-        if open_key is not None and start < open_start:
-            return emit(ord, "lost", None, None, None)
-        if last_end and start < last_end:
-            return reset()
-        if open_key is not None:
-            emit(ord, "lost", None, None, None)
-        s.update(key=key, start=start, known=True)
-        return
-    if p_start is not None:
-        if (p_start, p_end, p_outcome) != (start, end, outcome):
-            reset()
-        return
-    matched = open_key == key and open_start == start
-    overlaps = bool(last_end) and start < last_end
-    if not matched or overlaps:
-        emit(ord, "lost", None, None, None)
-    if matched:
-        close(True)
-    elif open_key is not None and end > open_start:
-        close(False)
-    if not matched and overlaps and last_end < end:
-        close(False)
-    elif not last_end or (end > last_end and (matched or not overlaps)):
+    newer = not opens and past[0] is None and ok and end > s["last_end"]
+    if newer and (current == CLOSED or start >= s["last_end"]):
         emit(ord, "last", end - start, end, outcome)
         s["last_end"] = end
+    if current == OPEN:
+        s.update(key=key, start=start, known=True)
+    elif current != KEEP:
+        s.update(key=None, start=None, known=current == CLOSED)
 
 
 MACHINE_A = Machine(

@@ -69,8 +69,8 @@ def coh(src: str) -> list[str]:
     return [c.replace("{src}", src) for c in _COH]
 
 
-_HOOK = "NOT coalesce(subagent_starts <= 999 AND subagent_stops <= 999 AND coalesce(subagent_seq <= seq, true) AND (subagent_starts = 0 AND subagent_stops = 0 OR subagent_seq IS NOT NULL), false)"
-_DONE = "coalesce(subagent_done <= subagent_total AND subagent_total <= 128 AND subagent_status_seq > 0 AND subagent_status_seq <= seq, false)"
+_HOOK = "NOT coalesce(subagent_starts IS NOT NULL AND subagent_stops IS NOT NULL AND coalesce(subagent_seq <= seq, true) AND (subagent_starts = 0 AND subagent_stops = 0 OR subagent_seq IS NOT NULL), false)"
+_DONE = "coalesce(subagent_done <= subagent_total AND subagent_status_seq > 0 AND subagent_status_seq <= seq, false)"
 _WHOLE = "subagent_running + subagent_completed + subagent_interrupted + subagent_failed + subagent_unknown = subagent_total AND subagent_completed = subagent_done"
 _CHILD = ["subagent_total", "subagent_done", "subagent_status_seq"]
 

@@ -119,10 +119,12 @@ def context_percent_view(context: Column, window: Column, reported: Column) -> C
 
 
 # ---------------------------------------------------------------------- pace
-def pacing_window(windows: Column) -> Column:
-    """The one flagged window of at most eight, when its fields are valid."""
+def pacing_window(windows: Column, limit: int | None = None) -> Column:
+    """The one flagged window, when its fields are valid; none of more than
+    ``limit`` windows, where one is given."""
     flagged = F.filter(windows, lambda w: F.coalesce(w.pacing, F.lit(False)))
-    one = F.when((F.size(windows) <= 8) & (F.size(flagged) == 1), F.element_at(flagged, 1))
+    few = F.lit(True) if limit is None else F.size(windows) <= limit
+    one = F.when(few & (F.size(flagged) == 1), F.element_at(flagged, 1))
     ok = (
         one.duration_s.between(1, 31_622_400)
         & full(one.kind, "[a-z0-9_]{1,24}")

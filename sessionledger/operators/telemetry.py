@@ -54,33 +54,40 @@ def usage_coherence(df: DataFrame, now_us) -> DataFrame:
     return _blank(df, over, ["context", "window", "context_percent"])
 
 
-def outcome_partition(df: DataFrame, limit: int = 128) -> DataFrame:
-    """Completion counts hold only when bounded and stamped; the breakdown only
-    when it also adds up."""
+def _within(name: str, limit: int | None) -> Column:
+    """The count is there, and at most ``limit`` if one is given."""
+    return F.col(name).isNotNull() if limit is None else F.col(name) <= limit
+
+
+def outcome_partition(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Completion counts hold only when stamped; the breakdown only when it also
+    adds up. Counts above ``limit``, where one is given, are unknown."""
     c = F.col
     done = (
         (c("subagent_done") <= c("subagent_total"))
-        & (c("subagent_total") <= limit)
+        & _within("subagent_total", limit)
         & (c("subagent_status_seq") > 0)
         & (c("subagent_status_seq") <= c("seq"))
     )
     done = F.coalesce(done, F.lit(False))
     total = c(OUTCOMES[0])
-    small = c(OUTCOMES[0]) <= limit
+    small = _within(OUTCOMES[0], limit)
     for name in OUTCOMES[1:]:
         total = total + c(name)
-        small = small & (c(name) <= limit)
+        small = small & _within(name, limit)
     whole = done & small & (total == c("subagent_total")) & (c("subagent_completed") == c("subagent_done"))
     df = df.withColumns({"_done": done, "_whole": F.coalesce(whole, F.lit(False))})
     df = _blank(df, ~c("_done"), ["subagent_total", "subagent_done", "subagent_status_seq"])
     return _blank(df, ~c("_whole"), OUTCOMES).drop("_done", "_whole")
 
 
-def hook_counters_valid(df: DataFrame, limit: int = 999) -> DataFrame:
+def hook_counters_valid(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Counters hold when both are there and stamped. Counts above ``limit``,
+    where one is given, are unknown."""
     c = F.col
     ok = (
-        (c("subagent_starts") <= limit)
-        & (c("subagent_stops") <= limit)
+        _within("subagent_starts", limit)
+        & _within("subagent_stops", limit)
         & F.coalesce(c("subagent_seq") <= c("seq"), F.lit(True))
         & (((c("subagent_starts") == 0) & (c("subagent_stops") == 0)) | c("subagent_seq").isNotNull())
     )

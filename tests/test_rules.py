@@ -7,6 +7,7 @@ from sessionledger.functions import labels as lb
 from sessionledger.functions import scalars as sc
 from sessionledger.operators import quota as q
 from sessionledger.operators import samples as sm
+from sessionledger.operators import telemetry as tm
 
 NOW = 1_700_000_000
 
@@ -132,3 +133,16 @@ def test_last_known_does_not_survive_a_generation(spark):
         got = sm.last_known(spark.createDataFrame(rows, schema), ["output"], span).orderBy("ord").collect()
         assert [r["output"] for r in got] == [7, 7, None, None, 0, None, None]
         assert [r["carried"] for r in got] == [False, True, False, False, False, False, False]
+
+
+def test_counts_have_no_default_limit(spark):
+    done = dict(subagent_total=5_000, subagent_done=5_000, subagent_status_seq=3, seq=9, subagent_running=0, subagent_completed=5_000)
+    rest = dict(subagent_interrupted=0, subagent_failed=0, subagent_unknown=0, subagent_starts=5_000, subagent_stops=2, subagent_seq=1)
+    row = {**done, **rest}
+    rows = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in row))
+    assert tm.hook_counters_valid(tm.outcome_partition(rows)).first().asDict() == row
+    capped = tm.hook_counters_valid(tm.outcome_partition(rows, 128), 999).first()
+    assert capped.subagent_total is None and capped.subagent_completed is None and capped.subagent_starts is None
+    flag = "transform(sequence(1, 20), i -> struct('weekly' AS kind, 'L' AS label, 60L AS duration_s, i = 17 AS pacing, i AS n))"
+    ws = spark.range(1).select(F.expr(flag).alias("ws"))
+    assert ws.select(sc.pacing_window("ws").n, sc.pacing_window("ws", 8).n).first()[:] == (17, None)

@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
-The words of all documents are searched for the n-grams of the test items; the
-rarer half of each item's n-grams that occur, by count over all documents, are
-its seeds.
-Around each seed a document holds, its passage is aligned with the item word by
-word, so copies with changed, added or lost words score too.
+The words of all documents are searched for the n-grams of the test items.
+Every n-gram a document shares with an item is a seed of that pair, so its
+rarest one is, and how often copies repeat it elsewhere does not matter.
+Around its seeds, a document's passage is aligned with the item word by word,
+so copies with changed, added or lost words score too. A pair is left out only
+where the words they share prove that no alignment reaches the threshold.
 
 Items come to the tasks in blocks of bounded size, so a benchmark of any size
 is searched, one pass over the documents for each block.
@@ -92,36 +93,35 @@ def blocks(benchmark: DataFrame, item: str, text: str):
         yield block()
 
 
-def gram_counts(docs: DataFrame, block: Block) -> np.ndarray:
-    """How often each n-gram of the block occurs in ``docs`` (key, text)."""
+class Postings(NamedTuple):
+    """Where the block's n-grams lie: the items of n-gram g are
+    ``item[start[g] : start[g + 1]]``, each once; those of item i, with their
+    first and last place in it, ``own[i]``."""
 
-    def run(batches):
-        total = np.zeros(len(block.codes), np.int64)
-        for batch in batches:
-            for value in batch.column(0):
-                total += np.bincount(block.grams(block.numbers(value.as_py()))[1], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["gram", "n"])
-
-    out = np.zeros(len(block.codes), np.int64)
-    for gram, n in in_arrow(docs.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
-        out[gram] = n
-    return out
-
-
-def seeds(block: Block, counts: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """Per n-gram number the (item number, place) it is a seed of: of each item
-    the n-grams no more frequent than the median of those that occur."""
-    found: dict[int, list[tuple[int, int]]] = {}
-    for i, text in enumerate(block.texts):
+    start: np.ndarray
+    item: np.ndarray
+    own: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def postings(block: Block) -> Postings:
+    own = []
+    for text in block.texts:
         at, gram = block.grams(text)
-        at, gram = at[counts[gram] > 0], gram[counts[gram] > 0]
-        if not len(gram):
-            continue
-        rare = counts[gram] <= np.median(counts[gram])
-        for p, g in zip(at[rare].tolist(), gram[rare].tolist()):
-            found.setdefault(g, []).append((i, p))
-    return found
+        known, first = np.unique(gram, return_index=True)
+        last = len(gram) - 1 - np.unique(gram[::-1], return_index=True)[1]
+        own.append((known, at[first], at[last]))
+    gram = np.concatenate([x[0] for x in own])
+    item = np.repeat(np.arange(len(own)), [len(x[0]) for x in own])
+    order = np.argsort(gram, kind="stable")
+    start = np.searchsorted(gram[order], np.arange(len(block.codes) + 1))
+    return Postings(start, item[order], own)
+
+
+def most(held: np.ndarray) -> float:
+    """No alignment scores more, if ``held`` tells which words of the item the
+    passage holds: within it each such word matches at best, each other costs."""
+    total = np.cumsum(np.where(held, MATCH, max(MISMATCH, GAP)))
+    return float((total - np.minimum.accumulate(np.append(0, total[:-1]))).max())
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
@@ -170,46 +170,53 @@ def leaks(
     )
     found = None
     for block in blocks(items, "item", "text"):
-        part = in_arrow(narrow, _search(block, seeds(block, gram_counts(narrow, block)), threshold, schema), schema)
+        part = in_arrow(narrow, _search(block, threshold, schema), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
     return found.withColumnsRenamed({"key": key, "item": item})
 
 
-def _search(block: Block, seed_of: dict, threshold: float, schema: T.StructType):
-    wanted = np.zeros(len(block.codes) + 1, bool)
-    wanted[list(seed_of)] = True
+def _search(block: Block, threshold: float, schema: T.StructType):
+    full = [MATCH * min(len(t), ENOUGH) for t in block.texts]
 
-    def passages(numbers: np.ndarray):
-        """(item number, first word, last word) around seeds, near ones joined."""
+    def passages(numbers: np.ndarray, where: Postings, holds: np.ndarray):
+        """(item number, [first word, last word] around seeds, near ones joined)."""
         at, gram = block.grams(numbers)
-        pick = wanted[gram]
-        spans: dict[int, list[list[int]]] = {}
-        for p, g in zip(at[pick].tolist(), gram[pick].tolist()):
-            for i, q in seed_of[g]:
-                size = len(block.texts[i])
-                lo, hi = p - q - size // 2, p - q + size + size // 2
-                own = spans.setdefault(i, [])
-                if own and lo <= own[-1][1]:
-                    own[-1][0] = min(own[-1][0], lo)
-                    own[-1][1] = max(own[-1][1], hi)
-                else:
-                    own.append([lo, hi])
-        return spans
+        if not len(at):
+            return
+        shared = np.unique(gram)
+        items = np.unique(np.concatenate([where.item[where.start[g] : where.start[g + 1]] for g in shared]))
+        holds[numbers] = True
+        holds[0] = False
+        items = [i for i in items.tolist() if most(holds[block.texts[i]]) >= threshold * full[i]]
+        holds[numbers] = False
+        for i in items:
+            known, first, last = where.own[i]
+            k = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+            seed = known[k] == gram
+            p, k, size = at[seed], k[seed], len(block.texts[i])
+            lo, hi = p - last[k] - size // 2, p - first[k] + size + size // 2
+            order = np.argsort(lo, kind="stable")
+            lo, hi = lo[order], np.maximum.accumulate(hi[order])
+            cut = np.flatnonzero(lo[1:] > hi[:-1])
+            yield i, zip(lo[np.append(0, cut + 1)].tolist(), hi[np.append(cut, len(hi) - 1)].tolist())
 
     def run(batches):
+        where, holds = postings(block), np.zeros(block.base, bool)
         for batch in batches:
             rows, items, scores, ends = [], [], [], []
             for r, value in enumerate(batch.column(1)):
                 numbers = block.numbers(value.as_py())
-                for i, spans in passages(numbers).items():
-                    full = MATCH * min(len(block.texts[i]), ENOUGH)
+                for i, spans in passages(numbers, where, holds):
                     best = (0.0, 0)
                     for lo, hi in spans:
                         lo = max(lo, 0)
-                        score, end = align(block.texts[i], numbers[lo:hi])
-                        best = max(best, (min(score / full, 1.0), lo + end))
+                        passage = numbers[lo:hi]
+                        if most(np.isin(block.texts[i], passage)) < threshold * full[i]:
+                            continue
+                        score, end = align(block.texts[i], passage)
+                        best = max(best, (min(score / full[i], 1.0), lo + end))
                     if best[0] >= threshold:
                         rows.append(r)
                         items.append(block.items[i])

@@ -155,6 +155,26 @@ def test_op6_finds_edited_copies(spark, duck):
     assert exact <= found
 
 
+
+def test_op6_finds_copies_that_recur(spark):
+    """Copies make their own n-grams frequent; they are found all the same."""
+    item = [f"w{k}" for k in range(40)]
+    edited = list(item)
+    for at in (3, 7, 12, 18, 22, 27, 33, 37):  # every 4th, 5th or 6th
+        edited[at] = f"x{at}"
+    rows = [(0, " ".join(item))] + [(i, " ".join(edited)) for i in range(1, 1001)]
+    rows += [(2000, "a b c " + " ".join(item[:18])), (2001, " ".join(item[:3]) + " far from it"), (2002, "w1 w2 w3 " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "w0 w1 w2 z"), (9, "q r s t")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, bench).collect()}
+    assert {d for d, i in got if i == 7} == {*range(1001), 2000}
+    assert got[2000, 7].score == 18 * 2 / 50 and got[2000, 7].end_word == 21
+    assert {d for d, i in got if i == 8} == {0, *range(1, 1001), 2000, 2001}
+    alone = [r for r in rows if r[0] in (0, 2000)]
+    few = decontaminate.leaks(spark.createDataFrame(alone, "doc_id long, text string"), bench).filter("item_id = 7")
+    assert {r.doc_id for r in few.collect()} == {0, 2000}
+
+
 def bag(text):
     w = (text or "").encode().split()
     return collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else collections.Counter()

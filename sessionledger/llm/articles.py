@@ -2,7 +2,8 @@
 
 Each page is cut into blocks of text, each with the hashes of the element
 subtrees that hold it. Spark counts, per host, the distinct contents a subtree
-occurs in; subtrees that recur across many of them are template and go. Parts
+occurs in; subtrees that recur across many of them are template and go, also
+where sections, languages or layouts of the host each have their own. Parts
 that markup itself names as menu, footer, advert and the like go on any page.
 """
 
@@ -13,14 +14,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import in_arrow, landed
 from .urls import split_url
 
-MIN_PAGES, MIN_SHARE = 10, 0.5
+#: Pages that make a subtree template: a few if they are much of a small host,
+#: many if they are not just stray ones of a large host, and ALWAYS on any host.
+MIN_PAGES, MIN_SHARE = 3, 0.3
+MANY, MANY_SHARE = 10, 0.02
+ALWAYS = 100
 
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^"'>])*)(?P<close>>|\Z)|<[!?][^>]*(?:>|\Z)""",
@@ -192,20 +197,23 @@ def blocks_of(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return landed(in_arrow(narrow, run, schema), "blocks")
 
 
+def is_template(n: Column, pages: Column, min_pages: int, min_share: float) -> Column:
+    """Whether ``n`` distinct contents of a host's ``pages`` make a template."""
+    few = (n >= min_pages) & (n >= min_share * pages)
+    many = (n >= MANY) & (n >= MANY_SHARE * pages)
+    return few | many | (n >= ALWAYS)
+
+
 def templates(blocks: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """(host, trees): per host the subtrees of its template. Pages with equal
-    content count once, so copies of an article do not make it a template."""
+    """(host, content, template): the template subtrees a page holds. Pages with
+    equal content count once, so copies of an article do not make it a template."""
     contents = blocks.filter("size(blocks) > 0").select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    held = (
-        blocks.select("host", "content", F.explode(F.array_distinct(F.flatten("blocks.trees"))).alias("tree"))
-        .distinct()
-        .groupBy("host", "tree")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= min_pages)
-    )
-    often = held.join(contents, "host").filter(F.col("n") >= min_share * F.col("pages"))
-    # At most 1 / min_share times the subtrees of an average page of the host.
-    return landed(often.groupBy("host").agg(F.collect_set("tree").alias("template")), "templates")
+    held = blocks.select("host", "content", F.explode(F.array_distinct(F.flatten("blocks.trees"))).alias("tree"))
+    counts = held.distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).filter(F.col("n") >= min(min_pages, MANY))
+    often = counts.join(contents, "host").filter(is_template(F.col("n"), F.col("pages"), min_pages, min_share)).select("host", "tree")
+    # By page: what a large host has of templates in all may be too much for a row.
+    found = held.join(often, ["host", "tree"]).groupBy("host", "content").agg(F.collect_set("tree").alias("template"))
+    return landed(found, "templates")
 
 
 def main_text(
@@ -213,14 +221,14 @@ def main_text(
 ) -> DataFrame:
     """Per row: key, url, text, n_chars.
 
-    A subtree is template if at least ``min_pages`` distinct contents of its
-    host hold it and these are at least ``min_share`` of the host's. NULL and
-    empty html give an empty text; a NULL url or one without a host belongs to
+    A subtree is template if enough distinct contents of its host hold it:
+    ``min_pages`` and ``min_share`` of the host's, or MANY and MANY_SHARE, or
+    ALWAYS. NULL and empty html give an empty text; a NULL url or one without a host belongs to
     the host of empty name. Broken markup is read as far as it goes. Repeated
     rows give equal results; other columns are not read.
     """
     blocks = blocks_of(pages, key, url, html)
-    marked = blocks.join(templates(blocks, min_pages, min_share), "host", "left")
+    marked = blocks.join(templates(blocks, min_pages, min_share), ["host", "content"], "left")
     own = F.when(
         F.col("template").isNull(), F.col("blocks.text")
     ).otherwise(F.transform(F.filter("blocks", lambda b: ~F.arrays_overlap(b["trees"], F.col("template"))), lambda b: b["text"]))

@@ -130,3 +130,23 @@ def test_articles(spark):
     assert got[2].text == got[3].text == "" and got[4].text == "open text"
     assert got[12].text == "Own text 12 of it"
     assert articles.main_text(pages.limit(0)).count() == 0
+
+
+def test_articles_of_layouts_and_small_hosts(spark):
+    """No menu is on half of the large host's pages; the small one has five pages."""
+    body = "<body><div><p>Menu {0} a<p>Menu {0} b</div><div><p>Own {1} text {2}</p></div><div><p>Notice {0}</div></body>"
+    rows = [(i, f"http://big.org/{i}", body.format(i % 3, "big", i)) for i in range(60)]
+    rows += [(i, f"http://huge.org/{i}", body.format(i % 60, "huge", i)) for i in range(1000, 7600)]
+    rows += [(i, f"http://tiny.org/{i}", body.format(9, "tiny", i)) for i in range(8000, 8005)]
+    # Two pages are no template, nor copies of one; nor are few of a larger host.
+    rows += [(i, f"http://two.org/{i}", body.format(8, "two", i)) for i in (8100, 8101)]
+    rows += [(i, f"http://copy.org/{i}", body.format(7, "copy", 0)) for i in range(8200, 8230)]
+    rows += [(i, f"http://some.org/{i}", f"<body><div><p>Own some text {i}</div>{'<div><p>Quote</div>' * (i < 8305)}</body>") for i in range(8300, 8330)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in articles.main_text(pages).collect()}
+    assert len(got) == len(rows)
+    for name, ids in (("big", range(60)), ("huge", range(1000, 7600)), ("tiny", range(8000, 8005))):
+        assert all(got[i] == f"Own {name} text {i}" for i in ids)
+    assert got[8100] == "Menu 8 a\nMenu 8 b\nOwn two text 8100\nNotice 8"
+    assert all(got[i] == "Menu 7 a\nMenu 7 b\nOwn copy text 0\nNotice 7" for i in range(8200, 8230))
+    assert got[8304] == "Own some text 8304\nQuote" and got[8305] == "Own some text 8305"

@@ -21,7 +21,6 @@ from ..plans import STATE, Machine
 from ..plans.fold import EVENT_FIELDS
 from ..plans.ship import ship_package
 
-RING = 32
 SAFE = 9_007_199_254_740_991
 
 
@@ -29,7 +28,7 @@ def stream_fold(
     records: DataFrame, key: str, machine: Machine, idle_timeout_ms: int | None = None
 ) -> DataFrame:
     """Append-mode events of ``machine`` per ``key``, and its state after every
-    micro-batch. With a timeout, a key idle that long loses its state."""
+    micro-batch, without its memory. With a timeout, a key idle that long loses its state."""
     ship_package(records.sparkSession)
     fields = [records.schema[key], *EVENT_FIELDS]
     out = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
@@ -50,8 +49,8 @@ def stream_fold(
         events: list[tuple] = []
         for row in rows:
             machine.step(current, _plain(row), lambda *e: events.append((group[0], *e)))
-        text = json.dumps(current, sort_keys=True)
-        state.update((text,))
+        state.update((json.dumps(current, sort_keys=True),))
+        text = json.dumps({k: v for k, v in current.items() if k != machine.memory}, sort_keys=True)
         if idle_timeout_ms is not None:
             state.setTimeoutDuration(idle_timeout_ms)
         events.append((group[0], int(rows[-1][0]), STATE, None, current.get(machine.high), text))
@@ -91,7 +90,8 @@ def u_start() -> dict:
     return {
         "sums": [0, 0, 0, 0],
         "open": None,
-        "ring": [],
+        "closed": {},  # message id: number of its group
+        "groups": 0,
         "known": True,
         "last": None,
         "seq": 0,
@@ -99,8 +99,9 @@ def u_start() -> dict:
     }
 
 
-def u_step(s: dict, row: tuple, emit) -> None:
-    """One record: the last line of a message counts, a reopened one poisons."""
+def u_step(s: dict, row: tuple, emit, ring: int | None = None) -> None:
+    """One record: the last line of a message counts, a reopened one poisons;
+    with ``ring``, one that closed within that many groups."""
     r = dict(zip(USAGE_INPUTS, row))
     if s["foreign"]:
         return
@@ -122,9 +123,12 @@ def u_step(s: dict, row: tuple, emit) -> None:
         if group is not None:
             s["sums"] = [a + b for a, b in zip(s["sums"], group["usage"])]
             s["last"] = group["response"] or s["last"]
-            s["ring"] = (s["ring"] + [group["id"]])[-RING:]
+            s["groups"] += 1
+            s["closed"][group["id"]] = s["groups"]
+            if ring is not None:
+                s["closed"] = {k: n for k, n in s["closed"].items() if n > s["groups"] - ring}
             s["open"] = None
-        if r["message_id"] in s["ring"]:
+        if r["message_id"] in s["closed"]:
             return fail()
         group = s["open"] = {"id": r["message_id"], "usage": [0] * 4, "response": None, "tainted": False}
     usage = [r["input"], r["output"], r["cache_read"], r["cache_write"]]
@@ -137,7 +141,12 @@ def u_step(s: dict, row: tuple, emit) -> None:
     group["response"] = {"usage": usage, "model": r["model"]} if answered else None
 
 
-MACHINE_USAGE = Machine(USAGE_INPUTS, u_start, u_step, "seq")
+def usage_machine(ring: int | None = None) -> Machine:
+    """Every closed message id of a session is remembered, or the last ``ring``."""
+    return Machine(USAGE_INPUTS, u_start, lambda s, row, emit: u_step(s, row, emit, ring), "seq", "closed")
+
+
+MACHINE_USAGE = usage_machine()
 
 
 def usage_view(events: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from sessionledger.operators import usage as us
 from sessionledger.plans import Run, chunked_fold, running
 from sessionledger.sources import logs as lg
 from sessionledger.sources import snapshots as sn
+from sessionledger.streaming import folds as fo
+from sessionledger.streaming import runs as ru
 
 from .test_rules import NOW, reply
 
@@ -65,6 +67,23 @@ def test_reopened_after_a_hundred_groups(spark, span, session):
     assert us.dedup_stats(df, ring=200, span=span).first().reopened_groups == 1
 
 
+@pytest.mark.parametrize("again", ["m0", "z"])
+def test_stream_remembers_closed_messages(spark, again):
+    """A message that reopens a hundred groups later, in another micro-batch."""
+    df = usage_rows(spark, [*[f"m{i}" for i in range(100)], again, "end"], "s")
+    df = df.unionByName(usage_rows(spark, ["a", "b"], "t"))
+    path = ru.land_segments(df, "session_id", "ord")
+    stream = lambda: ru.stream_segments(spark, path, df.schema, files_per_trigger=1)
+    total = ["session_id", "total_input", "total_cache_read", "total_cache_write", "total_uncached_input", "total_output", "usage_seq"]
+    events = ru.run_to_table(fo.stream_fold(stream(), "session_id", fo.MACHINE_USAGE), "whole-usage")
+    want = us.usage_totals(df).select(total).sort("session_id").collect()
+    assert fo.usage_view(events).select(total).sort("session_id").collect() == want
+    assert (want[0].total_output is None) == (again == "m0")
+    assert not any('"m50"' in e.text for e in events.filter("event = 'state'").collect())
+    ringed = ru.run_to_table(fo.stream_fold(stream(), "session_id", fo.usage_machine(ring=32)), "ring-usage")
+    assert fo.usage_view(ringed).filter("session_id = 's'").first().total_output == 2 * 102
+
+
 @pytest.mark.parametrize("span", [10, WHOLE])
 def test_fold_carries_null_keys(spark, span):
     rows = [(None if k % 2 else 5, 2 * k + e, e == 0, f"t{k}", 10 * k + 10, 10 * k + 15, "completed") for k in range(40) for e in (0, 1)]

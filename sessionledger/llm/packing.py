@@ -19,6 +19,7 @@ from .common import in_arrow, landed, numbered
 from .tokens import token_ids
 
 LIMIT = 2048
+STEPS = 32
 
 
 def lower_bound(counts: dict[int, int], limit: int) -> int:
@@ -39,36 +40,54 @@ def lower_bound(counts: dict[int, int], limit: int) -> int:
 def fillings(room: int, counts: dict[int, int], width: int) -> list[tuple[int, ...]]:
     """Undominated ways to fill ``room``, least waste first, at most ``width``.
 
-    One piece that fits exactly dominates all others. Else: the largest single
-    piece, and sets of two and three that exceed it, each ended by the largest
-    piece that still fits, so that no piece in them can be made larger."""
-    lengths = np.array(sorted((n for n, c in counts.items() if c and n <= room), reverse=True))
-    if not len(lengths):
+    One piece that fits exactly dominates all others, and a filling is closed
+    only when nothing more fits, since one with a further piece dominates it.
+    Of any number of pieces: each of the 8 ``width`` largest lengths begins up
+    to ``width`` that differ in their last pieces, looked for in STEPS steps
+    each after the greedy one, and one whose second piece takes half the rest."""
+    lengths = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
+    if not lengths:
         return [()]
-    single = int(lengths[0])
-    if single == room:
-        return [(single,)]
-    asc = lengths[::-1]
-    found = {(single,): single}
-
-    def largest(rest: int, used: tuple[int, ...]) -> int:
-        i = int(np.searchsorted(asc, rest, "right")) - 1
-        while i >= 0 and used.count(int(asc[i])) >= counts[int(asc[i])]:
-            i -= 1
-        return int(asc[i]) if i >= 0 else 0
-
-    for a in map(int, lengths[: 8 * width]):
-        b = largest(room - a, (a,))
-        if not b:
-            continue
-        pair = (a, b) if a >= b else (b, a)
-        if a + b > single:
-            found[pair] = a + b
-        for b in {b, largest((room - a) // 2, (a,))}:
-            c = largest(room - a - b, (a, b)) if b else 0
-            if c and a + b + c > single:
-                found[tuple(sorted((a, b, c), reverse=True))] = a + b + c
-    ranked = sorted(found, key=lambda s: (room - found[s], len(s), [-x for x in s]))
+    if lengths[0] == room:
+        return [(room,)]
+    down = -np.array(lengths)
+    found: set[tuple[int, ...]] = set()
+
+    def first(rest: int) -> int:
+        """Place of the largest length that fits."""
+        return int(np.searchsorted(down, -rest))
+
+    def begun(chosen: list[tuple[int, int]], rest: int, at: int, most: int):
+        """Fillings that go on with pieces from place ``at``, the greedy one
+        first: of each length as many as fit, then ever fewer."""
+        # One frame per length: its pieces so far, the room left, the next place.
+        stack, n_found, after = [(chosen, rest, at)], 0, None
+        while stack and n_found < most and after != 0:
+            chosen, rest, at = stack.pop()
+            after = after and after - 1
+            at = max(at, first(rest))
+            if at == len(lengths):
+                after = STEPS * most if after is None else after
+                taken: dict[int, int] = {}
+                for n, k in chosen:
+                    taken[n] = taken.get(n, 0) + k
+                if all(counts[n] <= taken.get(n, 0) for n in lengths[first(rest) :]):
+                    filling = tuple(sorted((n for n, k in chosen for _ in range(k)), reverse=True))
+                    n_found += 1
+                    found.add(filling)
+                    if not rest:
+                        return
+                continue
+            n = lengths[at]
+            free = counts[n] - sum(k for m, k in chosen if m == n)
+            for k in range(max(min(rest // n, free), 0) + 1):
+                stack.append(([*chosen, (n, k)] if k else chosen, rest - n * k, at + 1))
+
+    for at, n in enumerate(lengths[: 8 * width]):
+        begun([(n, 1)], room - n, at, width)
+        for half in {first((room - n) // 2)} - {at, len(lengths)}:
+            begun([(n, 1), (lengths[half], 1)], room - n - lengths[half], 0, 1)
+    ranked = sorted(found, key=lambda s: (room - sum(s), len(s), [-x for x in s]))
     return ranked[:width]
 
 

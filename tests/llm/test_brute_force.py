@@ -119,6 +119,21 @@ def test_bin_completion_is_optimal_on_small_sets():
         assert packing.n_bins(plan) == best
 
 
+def test_bin_completion_of_short_pieces():
+    """Bins of six and more pieces, where best fit is one bin above the bound."""
+    better = 0
+    for seed in range(12):
+        rng = random.Random(seed)
+        counts = collections.Counter(rng.randint(250, 410) for _ in range(60))
+        plan = packing.complete_bins(counts, 2048)
+        assert collections.Counter(n for p, t in plan for n in p * t) == counts and all(sum(p) <= 2048 for p, _ in plan)
+        assert packing.n_bins(plan) == packing.lower_bound(counts, 2048)
+        better += packing.n_bins(packing.best_fit(counts, 2048)) > packing.n_bins(plan)
+    assert better > 0
+    room = {100: 9, 90: 1}
+    assert packing.fillings(1000, room, 6) == [(100,) * 9 + (90,)]
+
+
 def test_op5(spark, texts):
     import re
 

@@ -15,6 +15,12 @@ from sessionledger.plans.ship import ship_package
 from sessionledger.plans.store import ensure_checkpoint_dir
 
 
+#: DuckDB SQL: crc32 of the bytes of the hex string ``{hex}``, bit by bit.
+CRC32_SQL = """xor(list_reduce([4294967295::bigint] || list_transform(range(0, length({hex}) // 2),
+      lambda i: ('0x' || substr({hex}, 2 * i + 1, 2))::bigint),
+    lambda c, b: list_reduce([xor(c, b)] || range(0, 8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import articles, bagminhash, decontaminate, language, packing, parsing, quality, ring, urls
+from . import articles, bagminhash, chat, decontaminate, language, merkle, packing, parsing, quality, ring, urls, variants
 from . import materialise as mat
 from .common import shared_folder, table
 
@@ -82,6 +82,29 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return variants.spelling_variants(variants.worn_vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op12_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that quotes the marks, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"))))
+    odd = spark.range(1).select(F.lit(-7).alias("conv_id"), said.alias("t")).select("conv_id", "t.turn", "t.role", F.lit(chat.ODD).alias("text"))
+    return chat.digests(chat.format_chats(rows.unionByName(odd)))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, checked with some texts tampered with."""
+    docs = merkle.tampered(table(spark, sf_dir, "documents"))
+    proofs = merkle.manifest(docs, merkle.leaf(*[F.col(c) for c in merkle.FIELDS]), "lang", "doc_id", ["tampered"])
+    found = merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), found.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,7 +118,15 @@ QUERIES = {
         op8_site_templates,
         op9_bagminhash,
         op10_ring,
+        op11_trie_pairs,
+        op12_grammar_round_trip,
+        op13_merkle_manifest,
     )
 }
 
-ORACLES = {"op7_url_rules": urls.oracle(URL_RULES)}
+ORACLES = {
+    "op7_url_rules": urls.oracle(URL_RULES),
+    "op11_trie_pairs": variants.ORACLE,
+    "op12_grammar_round_trip": chat.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
+}

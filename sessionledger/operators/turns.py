@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import STATE, Machine, Run, chunked_fold, running, with_chunk
+from ..plans import STATE, Machine, Prefix, Run, chunked_fold, running, with_chunk
+from . import inferred
 from .children import launches, lost_roster, status_of
 
-SECOND = 1_000_000
-SKEW = 2  # seconds by which an end record may disagree with the saved start
+SECOND = inferred.SECOND
 
 
 # ------------------------------------------------------- format A: keyed turns
@@ -159,275 +159,21 @@ def turn_summary_a(
 
 
 # -------------------------------------------------- format B: inferred turns
-IDLE, PENDING, RUNNING, UNSURE = "idle", "pending", "running", "unsure"
-
-
-def b_start() -> dict:
-    return {
-        "phase": IDLE,
-        "key": None,
-        "start": None,
-        "command": False,  # the pending trigger is a slash command
-        "taken": None,  # newest stamp of input taken since the trigger
-        "silent": False,  # the running turn may already be over
-        "gap": False,  # a record was lost while idle
-        "local": False,  # idle, but something unseen may be running
-        "after_abort": False,
-        "clean": False,  # the current state is dated
-        "known": False,
-        "seen": False,
-        "foreign": False,
-        "again": False,  # the current key occurs more than once in the log
-        "repeats": [],  # finished keys among those
-        "children_ok": True,
-        "children_running": 0,
-        "last_end": None,
-        "floor": 0,  # newest proven end; no later turn started before it
-    }
-
-
-class _Fold:
-    """One record's effect on the state of a format B session."""
-
-    def __init__(self, state: dict, ord: int, emit):
-        self.s, self.ord, self.emit = state, ord, emit
-
-    # -- shared moves
-    def lost(self):
-        self.emit(self.ord, "lost", None, None, None)
-
-    def gate(self, what):
-        self.emit(self.ord, "gate", None, None, what)
-
-    def busy(self):
-        return self.s["phase"] in (PENDING, RUNNING)
-
-    def drop(self):
-        """Coverage is lost: nothing is running as far as we can tell."""
-        s = self.s
-        self.lost()
-        if s["phase"] != UNSURE:
-            s["phase"] = IDLE
-        s.update(key=None, start=None, command=False, taken=None, silent=False, clean=False, known=False)
-
-    def unsure(self):
-        """A turn of unknown start may be running until an end is proven."""
-        self.drop()
-        self.s.update(phase=UNSURE, gap=False, local=False)
-
-    def lost_record(self):
-        s = self.s
-        if self.busy() or s["gap"]:
-            return self.unsure()
-        self.drop()
-        s["gap"] = s["gap"] or s["phase"] != UNSURE
-
-    def untimed(self):
-        """Something ended or began at an unknown time."""
-        if self.s["phase"] == IDLE:
-            self.drop()
-            self.s["gap"] = True
-
-    def confirm(self):
-        """A response or an abort turns the pending trigger into a turn."""
-        s = self.s
-        s["command"] = False
-        if s["phase"] != PENDING:
-            return
-        s["seen"] = True
-        if s["start"] < s["floor"] or s["key"] in s["repeats"]:
-            return self.unsure()
-        s.update(phase=RUNNING, known=True)
-
-    def finish(self, second, outcome):
-        """Close the running turn; True when its interval is recorded."""
-        s = self.s
-        if second is None:
-            self.drop()
-            return False
-        s["taken"] = None
-        if second < s["start"]:
-            self.drop()
-            return False
-        self.emit(self.ord, "turn", s["start"], second, outcome)
-        if s["again"]:
-            s["repeats"] = sorted({*s["repeats"], s["key"]})
-        s.update(phase=IDLE, key=None, start=None, known=True, seen=True, last_end=second)
-        return True
-
-    def dated(self):
-        s = self.s
-        return s["clean"] and s["children_ok"] and s["children_running"] == 0
-
-    def settle(self, second):
-        s = self.s
-        s["floor"] = max(s["floor"], second or 0)
-        if s["phase"] == UNSURE:
-            s["phase"] = IDLE
-        s.update(silent=False, gap=False, local=False)
-
-    # -- one move per role
-    def ignored(self, r):
-        s = self.s
-        if r["prompt"] and (not self.busy() or s["silent"]):
-            return self.unsure()
-        if r["local_command"]:
-            s["clean"] = False
-        if s["command"] and (r["local_output"] or r["local_command"]):
-            if s["taken"] is not None:
-                return self.unsure()
-            s.update(phase=IDLE, key=None, start=None, command=False, local=True, clean=False)
-
-    def queue(self, r, second):
-        s = self.s
-        if not r["take"]:
-            return
-        if self.busy() and not s["silent"]:
-            stamp = r["stamp"] if second else None
-            if stamp is None and s["command"]:
-                return self.unsure()
-            if stamp is not None:
-                s["taken"] = max(s["taken"] or 0, stamp)
-            return
-        if not self.busy():
-            s["floor"] = max(s["floor"], second or 0)
-            s["after_abort"] = False
-        if s["gap"]:
-            self.unsure()
-        elif not second:
-            self.untimed()
-
-    def silent(self):
-        s = self.s
-        s["taken"] = None
-        s["silent"] = s["phase"] == RUNNING
-        s["clean"] = s["clean"] and not s["silent"]
-
-    def assistant(self, r):
-        s = self.s
-        excused, s["after_abort"] = s["after_abort"], False
-        if s["phase"] == IDLE and (s["gap"] or not excused):
-            return self.unsure()
-        self.confirm()
-        if r["final_stop"]:
-            self.silent()
-
-    def trigger(self, r, second):
-        s = self.s
-        was_local = s["local"]
-        s.update(after_abort=False, silent=False, local=False, seen=True)
-        if (was_local and r["injected"]) or r["key"] is None or not second:
-            return self.unsure()
-        joins = s["taken"] is not None and r["stamp"] <= s["taken"]
-        s["taken"] = None
-        if joins and s["phase"] == RUNNING:
-            self.emit(self.ord, "joined", s["start"], second, r["key"])
-            return self.gate("join")
-        s["clean"] = s["clean"] and not r["injected"]
-        if self.busy() or s["gap"] or second < s["floor"]:
-            self.unsure()
-        if s["phase"] == IDLE:
-            s.update(phase=PENDING, key=r["key"], start=second, command=r["command"], gap=False)
-            s["again"] = r["repeated"]
-
-    def abort(self, r, second):
-        s = self.s
-        dated = self.dated()
-        if s["local"]:
-            self.drop()
-        self.confirm()
-        ran = s["phase"] == RUNNING
-        self.settle(second)
-        s.update(after_abort=True, clean=False)
-        kept = False
-        if ran and dated:
-            kept = self.finish(second, "aborted")
-            self.lost()  # nothing checks the bounds of an aborted turn
-        elif ran:
-            self.drop()
-        if ran:
-            self.gate("abort.kept" if kept else "abort.rejected")
-        if not second:
-            self.untimed()
-
-    def end(self, r, second):
-        s = self.s
-        excused = s["after_abort"]
-        pending = s["phase"] == PENDING
-        s.update(after_abort=False, seen=True)
-        ran = s["phase"] == RUNNING
-        start = s["start"]
-        self.settle(second)
-        if ran:
-            if r["elapsed_ms"] is None:
-                self.gate("end.missing")
-            agrees = (
-                r["elapsed_ms"] is not None
-                and r["stamp"] is not None
-                and r["stamp"] >= r["elapsed_ms"] * 1000
-                and abs((r["stamp"] - r["elapsed_ms"] * 1000) // SECOND - start) <= SKEW
-            )
-            kept = agrees and self.finish(second, "completed")
-            if kept:
-                s["clean"] = True
-                s["clean"] = self.dated() and not r["background"]
-            elif s["phase"] == RUNNING:
-                self.drop()
-            if r["elapsed_ms"] is not None:
-                self.gate("end.kept" if kept else "end.rejected")
-        else:
-            if pending or not excused:
-                self.drop()
-            s.update(local=True, clean=False)
-        if not second:
-            self.untimed()
-
-
-B_INPUTS = [
-    "ord", "role", "lost", "foreign", "key", "repeated", "stamp", "injected", "command", "final_stop",
-    "local_output", "local_command", "prompt", "take", "elapsed_ms", "background", "masks", "children_ok",
-    "children_running",
-]
-
-
-def b_step(s: dict, row: tuple, emit) -> None:
-    if s["foreign"]:
-        return
-    r = dict(zip(B_INPUTS, row))
-    fold = _Fold(s, r["ord"], emit)
-    s["children_ok"] = r["children_ok"]
-    s["children_running"] = r["children_running"]
-    if r["foreign"]:
-        s["foreign"] = True
-        return fold.lost_record()
-    if r["lost"] == "queue":
-        # A lost take can only matter where it could hide a start.
-        return fold.unsure() if s["gap"] or s["command"] else fold.untimed()
-    if r["lost"] is not None:
-        return fold.lost_record()
-    if r["masks"]:
-        s["clean"] = False
-    second = r["stamp"] // SECOND if r["stamp"] is not None else None
-    role = r["role"]
-    if role == "ignored":
-        fold.ignored(r)
-    elif role == "unknown":
-        fold.unsure()
-    elif role == "queue":
-        fold.queue(r, second)
-    elif role == "silent":
-        fold.silent()
-    elif role == "assistant":
-        fold.assistant(r)
-    elif role == "trigger":
-        fold.trigger(r, second)
-    elif role == "abort":
-        fold.abort(r, second)
-    elif role == "end":
-        fold.end(r, second)
-
-
-MACHINE_B = Machine(B_INPUTS, b_start, b_step, "floor")
+B_INPUTS = inferred.INPUTS
+
+
+def proven_second() -> Column:
+    """Only these records can raise the newest proven end."""
+    return F.when(F.col("role").isin("abort", "end", "queue"), F.call_function("div", F.col("stamp"), F.lit(SECOND)))
+
+
+MACHINE_B = Machine(
+    B_INPUTS,
+    inferred.start,
+    inferred.step,
+    "floor",
+    prefix=Prefix(inferred.Stretch, inferred.composed, inferred.walked, proven_second, "repeated", "key", "used", inferred.SPENT),
+)
 
 
 def turn_records_b(df: DataFrame, span: int | None = None) -> DataFrame:
@@ -511,12 +257,14 @@ def turn_summary_b(events: DataFrame) -> DataFrame:
     )
     flag = lambda n: F.get_json_object("s", f"$.{n}") == "true"
     text = lambda n: F.get_json_object("s", f"$.{n}")
-    foreign = flag("foreign")
-    complete = ~c("lost") & flag("seen") & ~flag("silent") & ~foreign
-    dated = flag("clean") & flag("children_ok") & (text("children_running").cast("long") == 0)
+    fact = lambda n: f"control[{inferred.Control._fields.index(n)}]"
+    phase = text(fact("phase"))
+    foreign = phase == inferred.GONE
+    complete = ~c("lost") & flag("seen") & ~flag(fact("silent")) & ~foreign
+    dated = flag(fact("clean")) & flag("children_ok") & (text("children_running").cast("long") == 0)
     known = (
-        flag("known") & dated & ~flag("silent") & ~flag("gap") & ~flag("local")
-        & (text("phase") != PENDING) & ~foreign
+        flag(fact("known")) & dated & ~flag(fact("silent")) & ~flag(fact("gap")) & ~flag(fact("local"))
+        & (phase != inferred.PENDING) & ~foreign
     )
     put = lambda col: F.when(~foreign, col)
     return folded.select(
@@ -524,7 +272,7 @@ def turn_summary_b(events: DataFrame) -> DataFrame:
         put(c("turns")).alias("turns"),
         F.when(complete, c("total")).alias("total_s"),
         complete.alias("complete"),
-        F.when(known, text("phase") == RUNNING).alias("active"),
+        F.when(known, phase == inferred.RUNNING).alias("active"),
         F.when(known, text("start").cast("long")).alias("started_at_s"),
         put(c("l.b") - c("l.a")).alias("last_duration_s"),
         put(c("l.b")).alias("last_end_s"),

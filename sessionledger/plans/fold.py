@@ -1,12 +1,17 @@
 """Sequential state machines over ordered keys, split so no key sits in one task.
 
-Rows of a key are cut into chunks of at most ``span`` order values. Chunks are
-replayed in parallel from a guessed entry state. A chunk whose guess differs
-from its predecessor's exit state is replayed again, until every entry equals
-the exit before it; by induction over the chunks the result is then exactly
-the sequential one. Machines that forget (a closed turn resets them) settle
-after one or two passes whatever the number of chunks; what a machine never
-forgets moves on one chunk a pass. Keys with one chunk are never replayed twice.
+Rows of a key are cut into chunks of at most ``span`` consecutive order values. Keys
+of one chunk are replayed once; of longer keys each chunk's entry state is found
+first, in one of two ways, and then all chunks are replayed side by side.
+
+* A machine with a ``Prefix`` reads every chunk once as a function from any entry state
+  to its exit state. Functions of neighbouring chunks are composed ``FAN`` at a time
+  up to one per key, and entry states are handed down again: twice the logarithm of
+  the number of chunks in steps, over rows as small as one function.
+* Any other machine replays chunks from a guessed entry state. A chunk whose guess
+  differs from its predecessor's exit is replayed again, until every entry equals the
+  exit before it; by induction over the chunks the result is then exactly the
+  sequential one. What such a machine never forgets moves on one chunk a pass.
 """
 
 from __future__ import annotations
@@ -15,8 +20,9 @@ import json
 from collections.abc import Callable
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,6 +35,31 @@ SPAN_CONF = "sessionledger.fold.span"
 DEFAULT_SPAN = 1 << 20
 
 
+FAN = 16
+
+
+class Prefix(NamedTuple):
+    """Chunks as functions of their entry state, as text.
+
+    ``stretch(highest)`` makes a reader with ``step(row)`` and ``text()``; ``composed(texts)`` is
+    the function of chunks in order; ``walked(entry, high, texts)`` gives each chunk's
+    entry and its ``high``. ``bound()`` is a column whose running maximum bounds the ``high`` entry.
+
+    What a machine must know of a key's whole past is no state but a fact of the data: rows where
+    ``asks`` is true ask whether an event ``event`` with their ``key`` as its text came earlier,
+    and get the answer as the input ``answer``, NULL where the state itself knows.
+    """
+
+    stretch: Callable
+    composed: Callable[[list[str]], str]
+    walked: Callable
+    bound: Callable[[], Column]
+    asks: str
+    key: str
+    event: str
+    answer: str
+
+
 class Machine(NamedTuple):
     """A replayable machine.
 
@@ -45,6 +76,7 @@ class Machine(NamedTuple):
     step: Callable[[dict, tuple, Callable], None]
     high: str
     memory: str | None = None
+    prefix: Prefix | None = None
 
 
 KEY = "_key"  # the keys as one struct, which is never NULL: NULL keys join like others
@@ -71,16 +103,37 @@ def load_state(machine: Machine, text: str | None, high: int | None) -> dict:
     return state
 
 
-def _replay(rows: DataFrame, keys: list[str], machine: Machine, events: bool) -> DataFrame:
-    """Replay every (key, chunk) group; yield its events, or its exit state.
+def _inputs(machine: Machine) -> list[str]:
+    return [*machine.inputs, machine.prefix.answer] if machine.prefix else machine.inputs
+
+
+def _grouped(rows: DataFrame, keys: list[str], machine: Machine, schema: T.StructType, run: Callable) -> DataFrame:
+    """``run`` over the rows of every (key, chunk) group, in order.
 
     The row number is what keeps a chunk whole: its window obliges Spark to
     bring each group to one task in order, where an explicit repartition may be
     planned away by an adaptive join. Tasks stream through many groups, a new
     one starting at each number 1.
     """
-    lead = [*keys, CHUNK]
-    ord, inputs = machine.inputs[0], machine.inputs
+    number = F.row_number().over(Window.partitionBy(KEY, CHUNK).orderBy(machine.inputs[0]))
+    return (
+        rows.select(*keys, CHUNK, KEY, "entry", "entry_hi", *_inputs(machine))
+        .withColumn("_n", number)
+        .drop(KEY)
+        .mapInArrow(run, schema)
+    )
+
+
+def _rows(batch: pa.RecordBatch, lead: list[str], inputs: list[str]):
+    """Per row: its number in the group, the group, what it is entered with, the inputs."""
+    data = batch.to_pydict()
+    entries = zip(data["entry"], data["entry_hi"])
+    return zip(data["_n"], zip(*[data[k] for k in lead]), entries, zip(*[data[c] for c in inputs]))
+
+
+def _replay(rows: DataFrame, keys: list[str], machine: Machine, events: bool) -> DataFrame:
+    """Replay every (key, chunk) group; yield its events, or its exit state."""
+    lead, inputs = [*keys, CHUNK], _inputs(machine)
     spark_keys = [T.StructField(k, rows.schema[k].dataType) for k in lead]
     if events:
         schema = T.StructType([*spark_keys, *EVENT_FIELDS])
@@ -117,10 +170,7 @@ def _replay(rows: DataFrame, keys: list[str], machine: Machine, events: bool) ->
             return pa.RecordBatch.from_arrays(arrays, schema=out_schema)
 
         for batch in batches:
-            data = batch.to_pydict()
-            groups = zip(*[data[k] for k in lead])
-            entries = zip(data["entry"], data["entry_hi"])
-            for n, g, e, row in zip(data["_n"], groups, entries, zip(*[data[c] for c in inputs])):
+            for n, g, e, row in _rows(batch, lead, inputs):
                 if n == 1:
                     close()
                     group, entry, state = g, e, load_state(machine, *e)
@@ -130,13 +180,100 @@ def _replay(rows: DataFrame, keys: list[str], machine: Machine, events: bool) ->
         close()
         yield flush()
 
-    number = F.row_number().over(Window.partitionBy(KEY, CHUNK).orderBy(ord))
-    return (
-        rows.select(*lead, KEY, "entry", "entry_hi", *inputs)
-        .withColumn("_n", number)
-        .drop(KEY)
-        .mapInArrow(run, schema)
-    )
+    return _grouped(rows, keys, machine, schema, run)
+
+
+def _functions(rows: DataFrame, keys: list[str], machine: Machine) -> DataFrame:
+    """Of every (key, chunk) group its function: (keys, chunk, text)."""
+    lead, inputs = [*keys, CHUNK], _inputs(machine)
+    schema = T.StructType([*[T.StructField(k, rows.schema[k].dataType) for k in lead], T.StructField("text", T.StringType())])
+    out_schema = to_arrow_schema(schema)
+
+    def run(batches):
+        group, stretch, out = None, None, []
+
+        def flush():
+            columns = list(zip(*out)) if out else [[] for _ in out_schema]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out_schema.types)], schema=out_schema)
+
+        for batch in batches:
+            for n, g, (_, highest), row in _rows(batch, lead, inputs):
+                if n == 1:
+                    if group is not None:
+                        out.append((*group, stretch.text()))
+                    group, stretch = g, machine.prefix.stretch(highest)
+                stretch.step(row)
+            yield flush()
+        if group is not None:
+            out.append((*group, stretch.text()))
+        yield flush()
+
+    return _grouped(rows, keys, machine, schema, run)
+
+
+def _prefix_entries(hot: DataFrame, keys: list[str], machine: Machine, long_keys: DataFrame, chunks: int) -> DataFrame:
+    """What each chunk of the long keys is entered with: (key, chunk, entry, entry_hi)."""
+    composed = F.pandas_udf(lambda texts: texts.map(lambda t: machine.prefix.composed(list(t))), T.StringType())
+    entry_type = T.ArrayType(T.StructType([T.StructField("entry", T.StringType()), T.StructField("entry_hi", T.LongType())]))
+
+    @F.pandas_udf(entry_type)
+    def walked(entry: pd.Series, high: pd.Series, texts: pd.Series) -> pd.Series:
+        found = [machine.prefix.walked(None if pd.isna(e) else e, int(h), list(t)) for e, h, t in zip(entry, high, texts)]
+        return pd.Series([[{"entry": a, "entry_hi": b} for a, b in x] for x in found])
+
+    at = [KEY, CHUNK]
+    past = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    bounds = (
+        hot.groupBy(*at).agg(F.max(machine.prefix.bound()).alias("_top"))
+        .select(*at, F.greatest(F.coalesce(F.max("_top").over(past), F.lit(0)), F.lit(0)).alias("entry_hi"))
+    )
+    read = _functions(hot.join(bounds, at).withColumn("entry", F.lit(None).cast("string")), keys, machine)
+    level = read.withColumn(KEY, F.struct(*keys)).join(long_keys, KEY).select(KEY, (F.col(CHUNK) - F.col("_lo")).alias("pos"), "text").checkpoint()
+    levels = []
+    while chunks > 1:
+        members = F.array_sort(F.collect_list(F.struct("pos", "text")))
+        groups = level.groupBy(KEY, F.floor(F.col("pos") / FAN).alias("_g")).agg(members.alias("members"))
+        level = groups.select(KEY, F.col("_g").alias("pos"), "members", composed("members.text").alias("text")).checkpoint()
+        levels.append(level)
+        chunks = -(-chunks // FAN)
+    entries = level.select(KEY, "pos", F.lit(None).cast("string").alias("entry"), F.lit(0).cast("long").alias("entry_hi"))
+    for level in reversed(levels):
+        found = walked("entry", "entry_hi", "members.text")
+        each = level.join(entries, [KEY, "pos"]).select(KEY, F.explode(F.arrays_zip(F.col("members.pos").alias("pos"), found.alias("at"))).alias("m"))
+        entries = each.select(KEY, "m.pos", "m.at.entry", "m.at.entry_hi")
+    return entries.join(long_keys, KEY).select(KEY, (F.col("pos") + F.col("_lo")).alias(CHUNK), "entry", "entry_hi").checkpoint()
+
+
+def _prefix_fold(rows: DataFrame, keys: list[str], machine: Machine, long_keys: DataFrame, chunks: int) -> DataFrame:
+    """Events of a machine with a ``Prefix``. Answers are found by asking again with those of the
+    last round until none changes; without rows that ask there is one round."""
+    how, ord, whole = machine.prefix, machine.inputs[0], F.struct(*keys)
+    hot = rows.join(long_keys.select(KEY), KEY, "left_semi").checkpoint()
+    asking = hot.filter(F.coalesce(F.col(how.asks), F.lit(False))).select(KEY, ord, F.col(how.key).alias("_asked"))
+    answered = None
+    while True:
+        ready = hot
+        if answered is not None:
+            ready = hot.drop(how.answer).join(answered, [KEY, ord], "left")
+        ready = ready.withColumn(how.answer, F.coalesce(how.answer, F.lit(False)))
+        entries = _prefix_entries(ready, keys, machine, long_keys, chunks)
+        if asking.isEmpty():
+            break
+        told = _replay(ready.join(entries, [KEY, CHUNK]), keys, machine, events=True).filter(F.col("event") == how.event)
+        first = told.groupBy(whole.alias(KEY), F.col("text").alias("_asked")).agg(F.min("ord").alias("_first"))
+        now = asking.join(first, [KEY, "_asked"]).filter(F.col("_first") < F.col(ord)).select(KEY, ord, F.lit(True).alias(how.answer)).checkpoint()
+        before = hot.limit(0).select(KEY, ord, how.answer) if answered is None else answered
+        if now.exceptAll(before).isEmpty() and before.exceptAll(now).isEmpty():
+            break
+        answered = now
+    if answered is not None:
+        rows = rows.drop(how.answer).join(answered, [KEY, ord], "left")
+    at = entries.withColumn("_long", F.lit(True))
+    ready = rows.join(at, [KEY, CHUNK], "left")
+    # The state of a short key knows the key's whole past; that of a chunk does not.
+    answer = F.when(F.col("_long"), F.coalesce(how.answer, F.lit(False)))
+    return _replay(ready.withColumn(how.answer, answer), keys, machine, events=True)
 
 
 def chunked_fold(
@@ -162,22 +299,26 @@ def chunked_fold(
     rows = df.select(
         *keys, whole.alias(KEY), chunk_number(ord, span).alias(CHUNK), *machine.inputs
     )
+    if machine.prefix:
+        rows = rows.withColumn(machine.prefix.answer, F.lit(None).cast("boolean"))
     at = [KEY, CHUNK]
     long_keys = (
         (rows if extent is None else extent)
         .groupBy(whole.alias(KEY))
         .agg(chunk_number(F.min(ord), span).alias("_lo"), chunk_number(F.max(ord), span).alias("_hi"))
         .filter("_lo < _hi")
-        .select(KEY)
     )
     none = rows.withColumns(
         {"entry": F.lit(None).cast("string"), "entry_hi": F.lit(None).cast("long")}
     )
-    if long_keys.isEmpty():
+    chunks = long_keys.agg(F.max(F.col("_hi") - F.col("_lo") + 1)).first()[0]
+    if chunks is None:
         return _replay(none, keys, machine, events=True)
 
     ensure_checkpoint_dir(spark)
-    hot = rows.join(long_keys, KEY, "left_semi").checkpoint()
+    if machine.prefix:
+        return _prefix_fold(rows, keys, machine, long_keys.select(KEY, "_lo").checkpoint(), chunks)
+    hot = rows.join(long_keys.select(KEY), KEY, "left_semi").checkpoint()
     guess = hot.withColumns(
         {"entry": F.lit(None).cast("string"), "entry_hi": F.lit(None).cast("long")}
     )

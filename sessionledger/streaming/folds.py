@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.turns import B_INPUTS, MACHINE_B, a_start, a_step, b_start, b_step
+from ..operators import inferred
+from ..operators.turns import B_INPUTS, MACHINE_B, a_start, a_step
 from ..plans import STATE, Machine
 from ..plans.fold import EVENT_FIELDS
 from ..plans.ship import ship_package
@@ -289,7 +290,7 @@ B_STREAM = [n for n in B_INPUTS if n not in ("repeated", "children_ok", "childre
 
 
 def _b_stream_start() -> dict:
-    return {**b_start(), "roster": {}, "roster_ok": True}
+    return {**inferred.start(), "roster": {}, "roster_ok": True}
 
 
 def _b_stream_step(s: dict, row: tuple, emit) -> None:
@@ -302,7 +303,7 @@ def _b_stream_step(s: dict, row: tuple, emit) -> None:
     r["repeated"] = True
     r["children_ok"] = s["roster_ok"]
     r["children_running"] = sum(v == "running" for v in s["roster"].values())
-    b_step(s, tuple(r[n] for n in B_INPUTS), emit)
+    inferred.step(s, tuple(r[n] for n in B_INPUTS), emit)
 
 
 MACHINE_B_STREAM = Machine(B_STREAM, _b_stream_start, _b_stream_step, MACHINE_B.high)

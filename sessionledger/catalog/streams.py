@@ -13,12 +13,16 @@ from .registry import query
 from .sources import transcript_lines
 from .turns import _B, TRIG_SQL, _summary_a, records_a
 from .turns_oracle import summary_sql
-from .usage import LINES_SQL, USAGE_TOTALS_SQL, _outcomes_sql
+from .usage import LAST_RESPONSE_SQL, USAGE_TOTALS_SQL, _outcomes_sql
+
+
+SEGMENT_FILES = 4
 
 
 def follow(spark, df, key="session_id", ord="ord"):
-    path = ru.land_segments(df, key, ord)
-    return ru.stream_segments(spark, path, df.schema)
+    """A stream over ``df`` as four segments; each micro-batch takes the files of about one."""
+    path = ru.land_segments(df, key, ord, files=SEGMENT_FILES)
+    return ru.stream_segments(spark, path, df.schema, files_per_trigger=SEGMENT_FILES)
 
 
 def fold(spark, df, machine, name, key="session_id"):
@@ -26,10 +30,12 @@ def fold(spark, df, machine, name, key="session_id"):
     return ru.run_to_table(fo.stream_fold(follow(spark, keep, key), key, machine), name)
 
 
-@query("stream_usage", USAGE_TOTALS_SQL)
+@query(
+    "stream_usage",
+    f"SELECT t.*, r.context, r.model FROM ({USAGE_TOTALS_SQL}) t JOIN ({LAST_RESPONSE_SQL}) r ON r.session_id IS NOT DISTINCT FROM t.session_id",
+)
 def _(spark, d):
-    events = fold(spark, f1(spark, d), fo.MACHINE_USAGE, "usage")
-    return fo.usage_view(events).drop("context", "model")
+    return fo.usage_view(fold(spark, f1(spark, d), fo.MACHINE_USAGE, "usage"))
 
 
 @query("stream_children", _outcomes_sql("ok"))

@@ -80,12 +80,10 @@ def _(spark, d):
     return us.reopened_groups(us.message_islands(f1(spark, d)))
 
 
-@query(
-    "last_response",
-    with_ctes(
-        F1_SQL,
-        LINES_SQL,
-        """bf AS (SELECT session_id, max(ord) AS f FROM (
+LAST_RESPONSE_SQL = with_ctes(
+    F1_SQL,
+    LINES_SQL,
+    """bf AS (SELECT session_id, max(ord) AS f FROM (
     SELECT session_id, ord FROM l0 WHERE NOT part
     UNION ALL SELECT session_id, ord FROM l4 WHERE reopened OR NOT complete) GROUP BY 1),
 sn AS (SELECT session_id, max(stamp) AS seen FROM l4 WHERE NOT reopened GROUP BY 1),
@@ -95,11 +93,13 @@ j AS (SELECT fl.session_id, c.input + c.cache_read + c.cache_write AS ctx, c.out
    c.model, NOT foreign_ AND seen IS NOT NULL AND c.island_start > coalesce(bf.f, -1) AS good
   FROM fl LEFT JOIN (SELECT * FROM cand WHERE r = 1) c ON c.session_id = fl.session_id
   LEFT JOIN bf ON bf.session_id = fl.session_id LEFT JOIN sn ON sn.session_id = fl.session_id)""",
-        body="""SELECT session_id, CASE WHEN good THEN ctx END AS context, CASE WHEN good THEN output END AS output_tokens,
+    body="""SELECT session_id, CASE WHEN good THEN ctx END AS context, CASE WHEN good THEN output END AS output_tokens,
   CASE WHEN good THEN cache_read END AS cache_read, CASE WHEN good THEN cache_write END AS cache_write,
   CASE WHEN good THEN model END AS model FROM j""",
-    ),
 )
+
+
+@query("last_response", LAST_RESPONSE_SQL)
 def _(spark, d):
     return us.last_response(f1(spark, d))
 

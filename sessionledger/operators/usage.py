@@ -149,6 +149,12 @@ def _session_flags(df: DataFrame) -> DataFrame:
     )
 
 
+def _with_flags(df: DataFrame, sums: DataFrame) -> DataFrame:
+    """Every session's flags and, where it has lines, its ``sums``; the NULL session too."""
+    own = sums.withColumnRenamed("session_id", "_session")
+    return _session_flags(df).join(own, F.col("session_id").eqNullSafe(F.col("_session")), "left").drop("_session")
+
+
 def usage_totals(df: DataFrame, ring: int | None = None, span: int | None = None) -> DataFrame:
     """Totals per session: the last line of every group counts, once."""
     lines = usage_lines(df, ring, span)
@@ -159,7 +165,7 @@ def usage_totals(df: DataFrame, ring: int | None = None, span: int | None = None
         F.max(F.when(F.col("part") & ~F.col("reopened"), F.col("stamp"))).alias("usage_seq"),
         *[poison_sum(F.col(n), used).alias(f"_{n}") for n in COUNTERS],
     )
-    joined = _session_flags(df).join(sums, "session_id", "left")
+    joined = _with_flags(df, sums)
     known = ~F.col("foreign") & ~F.col("lost") & F.col("_ok") & F.col("usage_seq").isNotNull()
     put = lambda c: F.when(known, c)
     total = F.col("_input") + F.col("_cache_read") + F.col("_cache_write")
@@ -193,7 +199,7 @@ def last_response(df: DataFrame, ring: int | None = None, span: int | None = Non
         F.max_by(best, F.when(candidate, F.col("ord"))).alias("_best"),
         F.max(F.when(F.col("part") & ~F.col("reopened"), F.col("stamp"))).alias("_seen"),
     )
-    joined = _session_flags(df).join(agg, "session_id", "left")
+    joined = _with_flags(df, agg)
     good = (
         ~F.col("foreign")
         & F.col("_seen").isNotNull()

@@ -67,15 +67,16 @@ class Machine(NamedTuple):
     advances it over ``row`` (values of ``inputs`` in order, ``ord`` first) and
     calls ``emit(ord, event, a, b, text)``. ``high`` names the one state entry
     that only ever rises; it is carried as a running maximum over chunks, so it
-    settles in one pass. ``memory`` names an entry that grows with the key; a
-    stream keeps it in its state and leaves it out of its state events.
+    settles in one pass. ``memory`` names mappings that grow with the key, which ``start()`` leaves
+    out: a stream gives them to ``step`` as parts of the state and keeps each
+    of their entries as a row of its state store.
     """
 
     inputs: list[str]
     start: Callable[[], dict]
     step: Callable[[dict, tuple, Callable], None]
     high: str
-    memory: str | None = None
+    memory: tuple[str, ...] = ()
     prefix: Prefix | None = None
 
 

@@ -1,20 +1,24 @@
-"""Stateful streams: the batch machines, one JSON state per key.
-
-Each machine sees the rows of a key in ``ord`` order within a micro-batch;
-micro-batches follow file order. A key's share of one micro-batch is bounded by
-the source's trigger limit, whatever the size of the key. The event rows are
-those of the batch fold, so the same summaries read both.
+"""Stateful streams: the batch machines, over state of constant size per key.
+
+What a machine remembers of a key is one small state, and *memories*: maps such as
+message id to group or child to status, which grow with the key. A memory is a map
+state, so each entry is a row of the state store; a step reads and writes only the
+entries it names. Each machine sees the rows of a key in ``ord`` order
+within a micro-batch; micro-batches follow file order. A key's share of one
+micro-batch is bounded by the source's trigger limit, whatever the size of the key.
+The event rows are those of the batch fold, so the same summaries read both.
 """
 
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import inferred
 from ..operators.turns import B_INPUTS, MACHINE_B, a_start, a_step
@@ -25,43 +29,95 @@ from ..plans.ship import ship_package
 SAFE = 9_007_199_254_740_991
 
 
+class Memory:
+    """A map state as a mapping. Entries are read when first asked for and written at the end of a micro-batch."""
+
+    def __init__(self, store):
+        self.store, self.read, self.changed = store, {}, set()
+
+    def get(self, key: str):
+        if key not in self.read:
+            found = self.store.getValue((key,))
+            self.read[key] = json.loads(found[0]) if found is not None else None
+        return self.read[key]
+
+    def __contains__(self, key: str) -> bool:
+        return self.get(key) is not None
+
+    def __setitem__(self, key: str, value) -> None:
+        self.read[key] = value
+        self.changed.add(key)
+
+    def flush(self) -> None:
+        for key in self.changed:
+            if self.read[key] is None:
+                self.store.removeKey((key,))
+            else:
+                self.store.updateValue((key,), (json.dumps(self.read[key]),))
+
+
+class FoldProcessor(StatefulProcessor):
+    """Runs a machine over the rows of a key, micro-batch after micro-batch."""
+
+    def __init__(self, machine: Machine, names: list[str], idle_ms: int | None):
+        self.machine, self.names, self.idle_ms = machine, names, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "text string")
+        self.memories = {m: handle.getMapState(m, "id string", "text string") for m in self.machine.memory}
+
+    def handleInputRows(self, key, rows, timerValues):
+        machine = self.machine
+        current = machine.start()
+        if self.state.exists():
+            current.update(json.loads(self.state.get()[0]))
+        memories = {m: Memory(store) for m, store in self.memories.items()}
+        current.update(memories)
+        taken: list[tuple] = []
+        for frame in rows:
+            clean = frame[machine.inputs].astype(object).where(frame[machine.inputs].notna(), None)
+            taken.extend(clean.itertuples(index=False, name=None))
+        taken.sort(key=lambda r: r[0])
+        events: list[tuple] = []
+        for row in taken:
+            machine.step(current, _plain(row), lambda *e: events.append((key[0], *e)))
+        text = json.dumps({k: v for k, v in current.items() if k not in memories}, sort_keys=True)
+        self.state.update((text,))
+        for memory in memories.values():
+            memory.flush()
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        events.append((key[0], int(taken[-1][0]), STATE, None, current.get(machine.high), text))
+        yield pd.DataFrame(events, columns=self.names).astype({"ord": "Int64", "a": "Int64", "b": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        for store in self.memories.values():
+            store.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def stream_fold(
     records: DataFrame, key: str, machine: Machine, idle_timeout_ms: int | None = None
 ) -> DataFrame:
     """Append-mode events of ``machine`` per ``key``, and its state after every
-    micro-batch, without its memory. With a timeout, a key idle that long loses its state."""
+    micro-batch, without its memories. With a timeout, a key idle that long loses its state.
+    The stream needs the RocksDB state store, which ``run_to_table`` sets."""
     ship_package(records.sparkSession)
     fields = [records.schema[key], *EVENT_FIELDS]
     out = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
     names = [key, *[f.name for f in EVENT_FIELDS]]
-
-    def run(group, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        current = machine.start()
-        if state.exists:
-            current.update(json.loads(state.get[0]))
-        rows: list[tuple] = []
-        for frame in frames:
-            clean = frame[machine.inputs].astype(object).where(frame[machine.inputs].notna(), None)
-            rows.extend(clean.itertuples(index=False, name=None))
-        rows.sort(key=lambda r: r[0])
-        events: list[tuple] = []
-        for row in rows:
-            machine.step(current, _plain(row), lambda *e: events.append((group[0], *e)))
-        state.update((json.dumps(current, sort_keys=True),))
-        text = json.dumps({k: v for k, v in current.items() if k != machine.memory}, sort_keys=True)
-        if idle_timeout_ms is not None:
-            state.setTimeoutDuration(idle_timeout_ms)
-        events.append((group[0], int(rows[-1][0]), STATE, None, current.get(machine.high), text))
-        yield pd.DataFrame(events, columns=names).astype({"ord": "Int64", "a": "Int64", "b": "Int64"})
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
+    mode = "None" if idle_timeout_ms is None else "ProcessingTime"
     return (
         records.select(key, *machine.inputs)
         .groupBy(key)
-        .applyInPandasWithState(run, out, "state string", "append", timeout)
+        .transformWithStateInPandas(FoldProcessor(machine, names, idle_timeout_ms), out, "Append", mode)
     )
 
 
@@ -81,79 +137,128 @@ def final_state(events: DataFrame, key: str, schema: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- usage
+COUNTS = ["input", "output", "cache_read", "cache_write"]
 USAGE_INPUTS = [
-    "ord", "kind", "stamp", "message_id", "input", "output", "cache_read", "cache_write", "stop", "model",
+    "ord", "kind", "stamp", "message_id", *COUNTS, "stop", "model",
     "bad", "forked", "synthetic", "mismatch",
 ]
+SELECTED = [f"selected_{c}" for c in COUNTS]  # counters of the iteration that a response reports
+
+
+def with_selected(records: DataFrame) -> DataFrame:
+    """``records`` with the counters of ``selected`` as columns, for ``usage_machine(selected=True)``."""
+    return records.select("*", *[F.col(f"selected.{c}").alias(f"selected_{c}") for c in COUNTS])
+
+
+class Line(NamedTuple):
+    """A line that feeds usage."""
+
+    id: str | None
+    stamp: int | None
+    usage: list
+    answer: dict | None  # what the line reports as a response
+
+    @property
+    def complete(self) -> bool:
+        return None not in self.usage and sum(self.usage) <= SAFE
 
 
 def u_start() -> dict:
     return {
-        "sums": [0, 0, 0, 0],
-        "open": None,
-        "closed": {},  # message id: number of its group
-        "groups": 0,
-        "known": True,
-        "last": None,
-        "seq": 0,
+        "known": True,  # no line has spoilt the totals
         "foreign": False,
+        "seq": 0,
+        "sums": [0, 0, 0, 0],  # over closed messages
+        "open": None,  # the message whose lines are coming in
+        "last": None,  # the newest response of a closed message since the last failure
+        "groups": 0,
+        "recent": [],  # with a ring, the messages it holds
     }
 
 
-def u_step(s: dict, row: tuple, emit, ring: int | None = None) -> None:
-    """One record: the last line of a message counts, a reopened one poisons;
-    with ``ring``, one that closed within that many groups."""
-    r = dict(zip(USAGE_INPUTS, row))
-    if s["foreign"]:
-        return
-    if r["mismatch"]:
-        s.update(foreign=True, known=False, last=None)
-        return
-    if r["forked"] or r["synthetic"] or r["kind"] != "assistant":
+def u_close(s: dict, line: Line, ring: int | None) -> None:
+    """The open message counts with its last line and is remembered as closed."""
+    done = s["open"]
+    if done is None:
         return
+    s["open"] = None
+    s["groups"] += 1
+    s["sums"] = [a + b for a, b in zip(s["sums"], done["usage"])]
+    s["last"] = done["answer"] or s["last"]
+    s["closed"][done["id"]] = s["groups"]
+    if ring is not None:
+        s["recent"].append([done["id"], s["groups"]])
+        for old, number in s["recent"][:-ring]:
+            if s["closed"].get(old) == number:
+                s["closed"][old] = None
+        s["recent"] = s["recent"][-ring:]
+
+
+def u_open(s: dict, line: Line, ring: int | None) -> None:
+    s["open"] = {"id": line.id, "usage": [0, 0, 0, 0], "answer": None, "spoilt": False}
+
+
+def u_take(s: dict, line: Line, ring: int | None) -> None:
+    """Each line of a message replaces what the one before it said."""
+    now = s["open"]
+    s["seq"] = max(s["seq"], line.stamp)
+    if line.complete:
+        now.update(usage=line.usage, answer=None if now["spoilt"] else line.answer)
+    else:
+        now["usage"] = [0, 0, 0, 0]
+        u_fail(s, line, ring)
+
+
+def u_fail(s: dict, line: Line | None, ring: int | None) -> None:
+    """Totals are unknown for good, responses until the next whole message."""
+    s.update(known=False, last=None)
+    if s["open"] is not None:
+        s["open"].update(spoilt=True, answer=None)
+
 
-    def fail():
-        s.update(known=False, last=None)
-        if s["open"]:
-            s["open"].update(tainted=True, response=None)
-
-    if r["bad"] or r["message_id"] is None or r["stamp"] is None:
-        return fail()
-    group = s["open"]
-    if group is None or group["id"] != r["message_id"]:
-        if group is not None:
-            s["sums"] = [a + b for a, b in zip(s["sums"], group["usage"])]
-            s["last"] = group["response"] or s["last"]
-            s["groups"] += 1
-            s["closed"][group["id"]] = s["groups"]
-            if ring is not None:
-                s["closed"] = {k: n for k, n in s["closed"].items() if n > s["groups"] - ring}
-            s["open"] = None
-        if r["message_id"] in s["closed"]:
-            return fail()
-        group = s["open"] = {"id": r["message_id"], "usage": [0] * 4, "response": None, "tainted": False}
-    usage = [r["input"], r["output"], r["cache_read"], r["cache_write"]]
-    s["seq"] = max(s["seq"], r["stamp"])
-    if any(v is None for v in usage) or sum(usage) > SAFE:
-        group["usage"] = [0] * 4
-        return fail()
-    group["usage"] = usage
-    answered = r["stop"] is not None and not group["tainted"]
-    group["response"] = {"usage": usage, "model": r["model"]} if answered else None
-
-
-def usage_machine(ring: int | None = None) -> Machine:
-    """Every closed message id of a session is remembered, or the last ``ring``."""
-    return Machine(USAGE_INPUTS, u_start, lambda s, row, emit: u_step(s, row, emit, ring), "seq", "closed")
+LINE_EFFECTS = {
+    "unreadable": [u_fail],
+    "goes_on": [u_take],
+    "opens": [u_close, u_open, u_take],
+    "reopens": [u_close, u_fail],
+}
+
+
+def line_effect(s: dict, line: Line, ring: int | None) -> str:
+    if line.id is None or line.stamp is None:
+        return "unreadable"
+    if s["open"] is not None and s["open"]["id"] == line.id:
+        return "goes_on"
+    return "reopens" if line.id in s["closed"] else "opens"
+
+
+def usage_machine(ring: int | None = None, selected: bool = False) -> Machine:
+    """Every closed message id of a session is remembered, or the last ``ring``. With ``selected``
+    a response reports the counters of its selected iteration."""
+    inputs = [*USAGE_INPUTS, *SELECTED] if selected else USAGE_INPUTS
+
+    def step(s: dict, row: tuple, emit) -> None:
+        r = dict(zip(inputs, row))
+        if s["foreign"] or r["mismatch"]:
+            s.update(foreign=True, known=False, last=None)
+            return
+        if r["kind"] != "assistant" or r["forked"] or r["synthetic"]:
+            return
+        answer = {"usage": [r[c] for c in (SELECTED if selected else COUNTS)], "model": r["model"]}
+        line = Line(None if r["bad"] else r["message_id"], r["stamp"], [r[c] for c in COUNTS], answer if r["stop"] is not None else None)
+        for effect in LINE_EFFECTS[line_effect(s, line, ring)]:
+            effect(s, line, ring)
+
+    return Machine(inputs, u_start, step, "seq", ("closed",))
 
 
 MACHINE_USAGE = usage_machine()
 
 
 def usage_view(events: DataFrame) -> DataFrame:
-    """Totals and last response from the newest usage states."""
+    """Totals and last response from the newest usage states. A sum beyond what is exact is unknown."""
     schema = (
-        "sums array<bigint>, open struct<usage:array<bigint>,response:struct<usage:array<bigint>,model:string>>, "
+        "sums array<bigint>, open struct<usage:array<bigint>,answer:struct<usage:array<bigint>,model:string>>, "
         "known boolean, last struct<usage:array<bigint>,model:string>, seq bigint, foreign boolean"
     )
     x = final_state(events, "session_id", schema)
@@ -162,13 +267,14 @@ def usage_view(events: DataFrame) -> DataFrame:
         s.sums, F.coalesce(s.open.usage, F.array(*[F.lit(0)] * 4).cast("array<bigint>")), lambda a, b: a + b
     )
     known = s.known & (s.seq > 0)
-    at = lambda i: F.get(total, F.lit(i))
+    exact = lambda c: F.when(c <= SAFE, c)
+    at = lambda i: exact(F.get(total, F.lit(i)))
     put = lambda c: F.when(known, c)
-    response = F.when(~s.foreign, F.coalesce(s.open.response, s.last))
+    response = F.when(~s.foreign, F.coalesce(s.open.answer, s.last))
     use = lambda i: F.get(response.usage, F.lit(i))
     return x.select(
         "session_id",
-        put(at(0) + at(2) + at(3)).alias("total_input"),
+        put(exact(at(0) + at(2) + at(3))).alias("total_input"),
         put(at(2)).alias("total_cache_read"),
         put(at(3)).alias("total_cache_write"),
         put(at(0)).alias("total_uncached_input"),
@@ -187,18 +293,21 @@ _RUNNING = ("launch", "resume")
 
 
 def c_start() -> dict:
-    return {"roster": {}, "valid": True, "seq": 0}
+    return {"counts": {}, "valid": True, "seq": 0}
 
 
-def apply_child(roster: dict, key: str, event: str) -> None:
-    """Update one child; only launched children exist."""
-    if event in ("launch", "sync") or key in roster:
-        if event in _RUNNING:
-            roster[key] = "running"
-        elif event == "sync":
-            roster[key] = "completed"
-        else:
-            roster[key] = event
+def apply_child(s: dict, key: str | None, event: str) -> None:
+    """Update one child and how many there are of each status; only launched children exist."""
+    name = json.dumps(key)
+    old = s["roster"].get(name)
+    if old is None and event not in ("launch", "sync"):
+        return
+    new = "running" if event in _RUNNING else "completed" if event == "sync" else event
+    if new != old:
+        s["roster"][name] = new
+        for status, change in ((old, -1), (new, 1)):
+            if status is not None:
+                s["counts"][status] = s["counts"].get(status, 0) + change
 
 
 def c_step(s: dict, row: tuple, emit) -> None:
@@ -211,24 +320,24 @@ def c_step(s: dict, row: tuple, emit) -> None:
     if r["bad"]:
         s["valid"] = s["valid"] and r["kind"] not in ("user", "attachment")
     elif r["child_event"] is not None:
-        apply_child(s["roster"], r["child_key"], r["child_event"])
+        apply_child(s, r["child_key"], r["child_event"])
 
 
-MACHINE_CHILDREN = Machine(CHILD_INPUTS, c_start, c_step, "seq")
+MACHINE_CHILDREN = Machine(CHILD_INPUTS, c_start, c_step, "seq", ("roster",))
 
 
 def children_view(events: DataFrame) -> DataFrame:
     from ..operators.children import STATUSES
 
-    x = final_state(events, "session_id", "roster map<string,string>, valid boolean")
-    values = F.map_values(F.col("s.roster"))
-    count = lambda st: F.size(F.filter(values, lambda v: v == st)).cast("long")
+    x = final_state(events, "session_id", "counts map<string,bigint>, valid boolean")
+    count = lambda st: F.coalesce(F.try_element_at("s.counts", F.lit(st)), F.lit(0).cast("long"))
+    total = F.aggregate(F.map_values("s.counts"), F.lit(0).cast("long"), lambda a, b: a + b)
     valid = F.col("s.valid")
     return x.select(
         "session_id",
         valid.alias("valid"),
         *[F.when(valid, count(st)).alias(st) for st in STATUSES],
-        F.when(valid, F.size(values).cast("long")).alias("total"),
+        F.when(valid, total).alias("total"),
         F.when(valid, count("completed")).alias("done"),
     )
 
@@ -240,24 +349,25 @@ A_STREAM = [
 
 
 def turn_machine_a(cap: int | None = None) -> Machine:
-    """Format A with its finished turns kept in state, as the batch form has
-    them. Beyond ``cap`` of them, where one is given, the total is unknown."""
+    """Format A with its finished turns as a memory. Beyond ``cap`` of them, where one is given,
+    the total is unknown."""
 
     def start():
-        return {**a_start(), "finished": {}}
+        return {**a_start(), "turns": 0}
 
     def step(s, row, emit):
         ord, opens, ok, key, begin, end, outcome = row
-        past = s["finished"].get(key) or [None, None, None]
+        past = (s["finished"].get(key) if key is not None else None) or [None, None, None]
         a_step(s, (*row, *past), emit)
         if ok and not opens and past[0] is None:
-            if cap is None or len(s["finished"]) < cap:
+            if cap is None or s["turns"] < cap:
+                s["turns"] += 1
                 s["finished"][key] = [begin, end, outcome]
                 emit(ord, "turn", begin, end, outcome)
             else:
                 emit(ord, "lost", None, None, None)
 
-    return Machine(A_STREAM, start, step, "last_end")
+    return Machine(A_STREAM, start, step, "last_end", ("finished",))
 
 
 def turn_view_a(events: DataFrame) -> DataFrame:
@@ -290,7 +400,7 @@ B_STREAM = [n for n in B_INPUTS if n not in ("repeated", "children_ok", "childre
 
 
 def _b_stream_start() -> dict:
-    return {**inferred.start(), "roster": {}, "roster_ok": True}
+    return {**inferred.start(), "counts": {}, "roster_ok": True}
 
 
 def _b_stream_step(s: dict, row: tuple, emit) -> None:
@@ -298,15 +408,25 @@ def _b_stream_step(s: dict, row: tuple, emit) -> None:
     if r["mismatch"] or (r["bad"] and r["kind"] in ("user", "attachment")):
         s["roster_ok"] = False
     if r["child_event"] is not None and not r["bad"]:
-        apply_child(s["roster"], r["child_key"], r["child_event"])
+        apply_child(s, r["child_key"], r["child_event"])
     # A stream cannot see later repeats, so every finished key is remembered.
-    r["repeated"] = True
-    r["children_ok"] = s["roster_ok"]
-    r["children_running"] = sum(v == "running" for v in s["roster"].values())
-    inferred.step(s, tuple(r[n] for n in B_INPUTS), emit)
+    asks = r["role"] == "trigger" and r["key"] is not None
+    r |= {
+        "repeated": True, "children_ok": s["roster_ok"], "children_running": s["counts"].get("running", 0),
+        inferred.SPENT: asks and r["key"] in s["spent"],
+    }
+
+    def tell(ord, event, a, b, text):
+        if event == "used":
+            s["spent"][text] = True
+        else:
+            emit(ord, event, a, b, text)
+
+    inferred.step(s, tuple(r[n] for n in (*B_INPUTS, inferred.SPENT)), tell)
+    s["used"] = []
 
 
-MACHINE_B_STREAM = Machine(B_STREAM, _b_stream_start, _b_stream_step, MACHINE_B.high)
+MACHINE_B_STREAM = Machine(B_STREAM, _b_stream_start, _b_stream_step, MACHINE_B.high, ("roster", "spent"))
 
 
 # ----------------------------------------------------------------- last known

@@ -10,14 +10,15 @@ from ..plans.scan import chunk_number
 
 
 def land_segments(
-    df: DataFrame, key: str, ord: str, parts: int = 4, rows_per_segment: int = 50_000_000
+    df: DataFrame, key: str, ord: str, parts: int = 4, rows_per_segment: int = 50_000_000, files: int | None = None
 ) -> str:
     """Land ``df`` as segments in ``ord`` order, as producers would.
 
     One pass cuts the data by segment; each segment is then landed from its own
     folder, so no segment re-reads the rest. All rows of a key are in one file
     of a segment, so file order is log order, and a segment bounds what one key
-    can bring to a task. Returns the folder.
+    can bring to a task. A segment has ``files`` files at most, by default
+    what Spark makes of it. Returns the folder.
     """
     spark = df.sparkSession
     staging, path = scratch_path(spark, "staging"), scratch_path(spark, "landing")
@@ -29,7 +30,8 @@ def land_segments(
     cut.write.partitionBy("_segment").parquet(staging)
     for i in range(parts):
         piece = spark.read.schema(df.schema).parquet(f"{staging}/_segment={i}")
-        piece.repartition(key).write.mode("append").parquet(path)
+        piece = piece.repartition(files, key) if files else piece.repartition(key)
+        piece.write.mode("append").parquet(path)
     return path
 
 
@@ -54,19 +56,31 @@ def stream_session_log(spark: SparkSession, path: str, files_per_trigger: int =
     )
 
 
+STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def started(writer, spark: SparkSession):
+    """Start a stream whose state is in RocksDB: it may outgrow memory, and map states need it."""
+    before = spark.conf.get(STORE_CONF, None)
+    spark.conf.set(STORE_CONF, ROCKSDB)
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(STORE_CONF) if before is None else spark.conf.set(STORE_CONF, before)
+
+
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that has landed into a Parquet sink; read it back."""
     spark = stream.sparkSession
     out = scratch_path(spark, name)
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("path", out)
         .option("checkpointLocation", out + "-checkpoint")
-        .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    started(writer, spark).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 

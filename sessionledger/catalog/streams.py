@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import F0_SQL, F1_SQL, F2_SQL, F3_SQL, F4_SQL, f0, f1, f2, f4, table, with_ctes
 from ..operators import turns as tn
+from ..plans import scratch_path
 from ..streaming import folds as fo
 from ..streaming import runs as ru
 from .quota import SAN_SQL, sanitised
@@ -118,16 +119,28 @@ def _(spark, d):
 
 @query(
     "stream_session_log",
-    with_ctes(F1_SQL, body="SELECT CAST(session_id AS VARCHAR) AS session_id, count(*) AS lines FROM f1 GROUP BY 1"),
+    f"""SELECT t.*, n.lines FROM ({USAGE_TOTALS_SQL}) t
+  JOIN ({with_ctes(F1_SQL, body="SELECT session_id, count(*) AS lines FROM f1 GROUP BY 1")}) n ON n.session_id IS NOT DISTINCT FROM t.session_id""",
 )
 def _(spark, d):
-    from ..plans import scratch_path
+    """Text is landed in three rounds; after each the stream goes on from its byte positions."""
     from ..sources.logs import write_log_segments
-
-    path = scratch_path(spark, "text-segments")
-    write_log_segments(transcript_lines(spark, d), path)
-    lines = ru.run_to_table(ru.stream_session_log(spark, path), "lines")
-    return lines.groupBy(F.get_json_object("value", "$.log").alias("session_id")).agg(F.count(F.lit(1)).alias("lines"))
+    from ..streaming import growing as gr
+
+    text = transcript_lines(spark, d)
+    low, high = text.agg(F.min("ord"), F.max("ord")).first()
+    third = (high - low) // 3 + 1
+    path, out = (scratch_path(spark, n) for n in ("text-segments", "text-usage"))
+    for i in range(3):
+        begin = low + i * third
+        write_log_segments(text.filter(F.col("ord").between(begin, begin + third - 1)), f"{path}/{i}")
+        lines = gr.segment_lines(gr.follow_logs(spark, path, suffix=".txt"), F.get_json_object("value", "$.log"))
+        records = gr.record_stream(lines)
+        events = ru.run_to_table(fo.stream_fold(records, "session_id", fo.MACHINE_USAGE), "text-usage", out)
+    plain = ru.run_to_table(lines.select("session_id"), "text-lines")
+    n = plain.groupBy("session_id").agg(F.count(F.lit(1)).alias("lines"))
+    usage = fo.usage_view(events).drop("context", "model")
+    return usage.join(n, "session_id").withColumn("session_id", F.col("session_id").cast("long"))
 
 
 # ------------------------------------------------------------ order and repeats

@@ -45,15 +45,12 @@ def stream_segments(spark: SparkSession, path: str, schema, files_per_trigger: i
     )
 
 
-def stream_session_log(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Follow text logs landed as segments: ``value`` lines with their place."""
-    meta = F.col("_metadata")
-    return (
-        spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
-        .option("recursiveFileLookup", "true")
-        .text(path)
-        .select("value", meta.file_path.alias("file"), meta.file_modification_time.alias("modified"))
-    )
+def stream_session_log(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Follow text logs that grow, one file each: ``value`` lines with ``session_id``, ``ord`` and
+    ``file``; see :mod:`.growing`."""
+    from . import growing
+
+    return growing.session_lines(growing.follow_logs(spark, path, **options))
 
 
 STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
@@ -70,10 +67,11 @@ def started(writer, spark: SparkSession):
         spark.conf.unset(STORE_CONF) if before is None else spark.conf.set(STORE_CONF, before)
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all that has landed into a Parquet sink; read it back."""
+def run_to_table(stream: DataFrame, name: str, out: str | None = None) -> DataFrame:
+    """Run a stream over all that has landed into a Parquet sink; read it back. With the ``out`` of
+    an earlier run it goes on where that one ended."""
     spark = stream.sparkSession
-    out = scratch_path(spark, name)
+    out = out or scratch_path(spark, name)
     writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")

@@ -8,6 +8,7 @@ from ..fixtures import F0_SQL, F1_SQL, F2_SQL, F3_SQL, F4_SQL, f0, f1, f2, f4, t
 from ..operators import turns as tn
 from ..plans import scratch_path
 from ..streaming import folds as fo
+from ..streaming import liveness as lv
 from ..streaming import runs as ru
 from .quota import SAN_SQL, sanitised
 from .registry import query
@@ -265,9 +266,11 @@ def _(spark, d):
 x AS (SELECT *, coalesce(sampled_at - lag(sampled_at) OVER (PARTITION BY host ORDER BY sampled_at) > 345600, true) AS nw FROM dd),
 y AS (SELECT *, sum(nw::INT) OVER (PARTITION BY host ORDER BY sampled_at) AS s FROM x),
 z AS (SELECT host, min(sampled_at) AS live_from, max(sampled_at) + 345600 AS unreachable_at, CAST(sum(n) AS BIGINT) AS samples FROM y GROUP BY host, s)""",
-        body="SELECT * FROM z WHERE unreachable_at <= (SELECT max(sampled_at) - 30 * 86400 FROM f2)",
+        body="SELECT *, unreachable_at > (SELECT max(sampled_at) - 30 * 86400 FROM f2) AS open FROM z",
     ),
 )
 def _(spark, d):
+    """All stretches: those that the watermark, 30 days behind, has passed are closed, the rest open."""
     x = f2(spark, d).select("host", "ord", F.timestamp_seconds("sampled_at").alias("ts"))
-    return ru.run_to_table(ru.host_liveness(follow(spark, x, "host"), "4 days", "30 days"), "liveness")
+    gap = 4 * 86400
+    return lv.live_now(ru.run_to_table(lv.host_liveness(follow(spark, x, "host"), gap, "30 days"), "liveness"), gap)

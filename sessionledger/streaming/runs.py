@@ -118,16 +118,6 @@ def activity_sessions(df: DataFrame, at_us: str, gap_us: int, key: str, span: in
     )
 
 
-def host_liveness(df: DataFrame, gap: str, delay: str) -> DataFrame:
-    """Stream: closed stretches of a host's samples by session window."""
-    return (
-        df.withWatermark("ts", delay)
-        .groupBy(F.session_window("ts", gap).alias("w"), "host")
-        .agg(F.count(F.lit(1)).alias("samples"))
-        .select("host", F.unix_seconds("w.start").alias("live_from"), F.unix_seconds("w.end").alias("unreachable_at"), "samples")
-    )
-
-
 def dedup_stream(df: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
     """Repeats of a key within the watermark delay are no-ops."""
     return df.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..fixtures import F0_SQL, F1_SQL, F2_SQL, F3_SQL, F4_SQL, f0, f1, f2, f4, table, with_ctes
 from ..operators import turns as tn
+from ..operators.quota import newest_per_account
 from ..plans import scratch_path
 from ..streaming import folds as fo
 from ..streaming import liveness as lv
+from ..streaming import merge as mg
 from ..streaming import runs as ru
 from .quota import SAN_SQL, sanitised
 from .registry import query
@@ -40,6 +42,11 @@ def _(spark, d):
     return fo.usage_view(fold(spark, f1(spark, d), fo.MACHINE_USAGE, "usage"))
 
 
+def merge_table(spark, name, schema, key, rule):
+    path = scratch_path(spark, name)
+    return mg.MergeTable(spark, path, schema, key, rule), path + "-checkpoint"
+
+
 @query("stream_children", _outcomes_sql("ok"))
 def _(spark, d):
     return fo.children_view(fold(spark, f1(spark, d), fo.MACHINE_CHILDREN, "children"))
@@ -98,9 +105,11 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    x = sanitised(spark, d).select("account_key", F.col("seq").alias("ord"), "sampled_at", "seq", F.col("lifetime_tokens").alias("value"))
-    ev = fold(spark, x, fo.MACHINE_NEWEST, "newest", key="account_key").filter("event = 'newest'")
-    return ev.groupBy("account_key").agg(F.max("a").alias("sampled_at"))
+    """The table is the only state: each micro-batch is reduced to its newest rows and merged."""
+    x = sanitised(spark, d).select("account_key", F.col("seq").alias("ord"), "sampled_at", "seq")
+    stream = follow(spark, x, key="account_key").select("account_key", "sampled_at", "seq")
+    table, at = merge_table(spark, "newest", stream.schema, "account_key", mg.newest("account_key", ["sampled_at"]))
+    return mg.run_merged(stream, table, at, "append").select("account_key", "sampled_at")
 
 
 @query(
@@ -195,10 +204,13 @@ u AS (SELECT account_key, sampled_at, seq, 0 AS src FROM c UNION ALL SELECT acco
     ),
 )
 def _(spark, d):
-    from ..operators.quota import newest_per_account
-
+    """Two batches merged into a bucketed table; the second is given twice, which changes nothing."""
     s = sanitised(spark, d).select("account_key", "sampled_at", "seq")
-    return ru.upsert_latest(newest_per_account(s.filter("seq % 3 > 0")), s.filter("seq % 3 = 0"))
+    table, _ = merge_table(spark, "upsert", s.schema, "account_key", ru.upsert_latest)
+    table.merge(newest_per_account(s.filter("seq % 3 > 0")), 0)
+    for _ in range(2):
+        table.merge(s.filter("seq % 3 = 0"), 1)
+    return table.read()
 
 
 # -------------------------------------------------------------------- windows
@@ -249,13 +261,15 @@ def _(spark, d):
     "stream_activity",
     with_ctes(
         F1_SQL,
-        "w AS (SELECT stamp // 3600000000 * 3600000000 AS start_us, CAST(sum(k) AS BIGINT) AS tokens, count(*) FILTER (p = 0) AS turns, count(*) FILTER (abort) AS aborts FROM f1 GROUP BY 1)",
-        body="SELECT * FROM w WHERE start_us + 3600000000 <= (SELECT max(stamp) - 86400000000 * 2 FROM f1)",
+        body="SELECT stamp // 3600000000 * 3600000000 AS start_us, CAST(sum(k) AS BIGINT) AS tokens, count(*) FILTER (p = 0) AS turns, count(*) FILTER (abort) AS aborts FROM f1 GROUP BY 1",
     ),
 )
 def _(spark, d):
+    """Every window, open ones too: what a micro-batch updates replaces the table's row."""
     s = follow(spark, activity(spark, d)).withWatermark("ts", "2 days")
-    return ru.run_to_table(ru.activity_windows(s, "ts", "1 hour"), "activity")
+    windows = ru.activity_windows(s, "ts", "1 hour")
+    table, at = merge_table(spark, "activity", windows.schema, "start_us", mg.replaced("start_us"))
+    return mg.run_merged(windows, table, at)
 
 
 @query(

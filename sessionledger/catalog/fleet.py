@@ -67,10 +67,10 @@ def _(spark, d):
     return fl.fleet_union(config(spark, d).select("host", "target", "label"), found)
 
 
-@query("distinct_targets", with_ctes(F6_SQL, CONFIG_SQL, body="SELECT DISTINCT target FROM (SELECT target FROM f6 WHERE num % 5 = 0 UNION ALL SELECT target FROM eff WHERE transport = 'ssh')"))
+@query("distinct_targets", with_ctes(F6_SQL, CONFIG_SQL, body="SELECT DISTINCT target FROM (SELECT target FROM f6 UNION ALL SELECT target FROM eff WHERE transport = 'ssh')"))
 def _(spark, d):
     inv = f6(spark, d)
-    return fl.distinct_targets(inv.filter("num % 5 = 0"), fl.effective_fleet(config(spark, d), inv))
+    return fl.distinct_targets(inv, fl.effective_fleet(config(spark, d), inv))
 
 
 MONTH_SQL = """mk AS (SELECT DISTINCT month, agent AS key, host % 4 + month // 12 % 2 AS route FROM f2)"""
@@ -125,15 +125,15 @@ def _(spark, d):
     "join_workspace",
     with_ctes(
         F2_SQL,
-        """ws AS (SELECT c_custkey % 16 AS host, c_custkey % 200 AS workspace_id, arg_min(CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_name || chr(9) || c_mktsegment END, c_custkey) AS l,
-   bool_or(true) AS hit FROM customer WHERE c_custkey % 3 <> 1 GROUP BY 1, 2)""",
+        """ws AS (SELECT c_custkey % 16 AS host, c_custkey % 200 AS workspace_id, first(CASE WHEN c_custkey % 9 <> 0 THEN c_name || chr(9) || c_mktsegment END ORDER BY c_custkey) AS l
+   FROM customer GROUP BY 1, 2)""",
         body="""SELECT seq, substr(regexp_replace(coalesce(l, 'Untitled'), '[\\x00-\\x1f\\x7f]', '', 'g'), 1, 160) AS label FROM f2
  LEFT JOIN ws ON ws.host = f2.host AND ws.workspace_id = f2.agent % 200""",
     ),
 )
 def _(spark, d):
-    ws = table(spark, d, "customer").filter("c_custkey % 3 <> 1 AND c_custkey % 9 <> 0").selectExpr(
-        "c_custkey % 16 AS host", "c_custkey % 200 AS workspace_id", "concat(c_name, '\\t', c_mktsegment) AS label", "c_custkey AS ord"
+    ws = table(spark, d, "customer").selectExpr(
+        "c_custkey % 16 AS host", "c_custkey % 200 AS workspace_id", "CASE WHEN c_custkey % 9 <> 0 THEN concat(c_name, '\\t', c_mktsegment) END AS label", "c_custkey AS ord"
     )
     a = f2(spark, d).selectExpr("seq", "host", "agent % 200 AS workspace_id")
     return fl.join_workspace(a, ws).select("seq", "label")
@@ -168,7 +168,7 @@ _ROOT = "concat('/', split_part(split_part(split_part(url, '//', 2), '?', 1), '/
 
 @query(
     "path_category",
-    f"""WITH a AS (SELECT page_id AS agent, page_id % 3 AS host, {_P} AS path FROM pages), r AS (SELECT DISTINCT page_id % 3 AS host, rtrim({_ROOT}, '/') AS root, CASE WHEN page_id % 5 = 0 THEN 0 ELSE 1 END AS rk FROM pages WHERE page_id % 4 <> 3),
+    f"""WITH a AS (SELECT page_id AS agent, page_id % 3 AS host, {_P} AS path FROM pages), r AS (SELECT DISTINCT page_id % 3 AS host, rtrim({_ROOT}, '/') AS root, CASE WHEN page_id % 5 = 0 THEN 0 ELSE 1 END AS rk FROM pages),
 n AS (SELECT agent, host, path, path LIKE '/%' AND NOT regexp_matches(path, '(^|/)\\.\\.(/|$)') AS ok, '/' || trim(path, '/') AS norm FROM a)
 SELECT agent, n.host, path, CASE WHEN min(rk) = 1 THEN 'work' ELSE 'personal' END AS category FROM n
 LEFT JOIN r ON ok AND r.host = n.host AND (norm = root OR starts_with(norm, root || '/')) GROUP BY 1, 2, 3""",
@@ -176,7 +176,7 @@ LEFT JOIN r ON ok AND r.host = n.host AND (norm = root OR starts_with(norm, root
 def _(spark, d):
     p = table(spark, d, "pages")
     a = p.select(F.col("page_id").alias("agent"), F.expr("page_id % 3").alias("host"), F.expr(_P).alias("path"))
-    r = p.filter("page_id % 4 <> 3").select(
+    r = p.select(
         F.expr("page_id % 3").alias("host"), F.expr(_ROOT).alias("root"), F.expr("CASE WHEN page_id % 5 = 0 THEN 'personal' ELSE 'work' END").alias("category")
     )
     return fl.path_category(a, r.distinct())
@@ -184,14 +184,13 @@ def _(spark, d):
 
 # ------------------------------------------------------------------- liveness
 DAY = 86400
-HOST_SQL = f"""hn AS (SELECT host, max(sampled_at) AS sampled_at, host % 7 <> 3 AS online, CASE host % 11 WHEN 5 THEN 'setup_needed' WHEN 6 THEN 'connecting' ELSE 'connected' END AS connection_state FROM f2 WHERE seq % 40 = host GROUP BY 1),
+HOST_SQL = f"""hn AS (SELECT host, max(sampled_at) AS sampled_at, host % 7 <> 3 AS online, CASE host % 11 WHEN 5 THEN 'setup_needed' WHEN 6 THEN 'connecting' ELSE 'connected' END AS connection_state FROM f2 GROUP BY 1),
 hr AS (SELECT *, connection_state <> 'setup_needed' AND coalesce(online AND {SNAP_NOW} - sampled_at < 60 * {DAY}, false) AS reporting FROM hn)"""
 
 
 def hosts(spark, d):
     h = (
         f2(spark, d)
-        .filter("seq % 40 = host")
         .groupBy("host")
         .agg(F.max("sampled_at").alias("sampled_at"))
         .selectExpr("*", "host % 7 <> 3 AS online", "CASE host % 11 WHEN 5 THEN 'setup_needed' WHEN 6 THEN 'connecting' ELSE 'connected' END AS connection_state")
@@ -261,13 +260,13 @@ def _(spark, d):
     with_ctes(
         F2_SQL,
         ACK_SQL,
-        """j AS (SELECT th.thread % 300 AS grp, CASE WHEN status = 'blocked' THEN 3 WHEN status = 'working' THEN 2 WHEN status = 'done' AND ak.thread IS NULL THEN 1 ELSE 0 END AS r
-  FROM th LEFT JOIN ak ON ak.thread = th.thread AND ak.episode = th.episode WHERE NOT (th.thread % 300 < 200 AND th.status IN ('blocked', 'working') AND th.thread % 7 > 0))""",
+        """j AS (SELECT th.thread // 3 AS grp, CASE WHEN status = 'blocked' THEN 3 WHEN status = 'working' THEN 2 WHEN status = 'done' AND ak.thread IS NULL THEN 1 ELSE 0 END AS r
+  FROM th LEFT JOIN ak ON ak.thread = th.thread AND ak.episode = th.episode)""",
         body="SELECT grp, CASE max(r) WHEN 3 THEN 'blocked' WHEN 2 THEN 'working' WHEN 1 THEN 'done' ELSE 'idle' END AS state FROM j GROUP BY 1",
     ),
 )
 def _(spark, d):
-    t = threads(spark, d).filter("NOT (thread % 300 < 200 AND status IN ('blocked', 'working') AND thread % 7 > 0)").withColumn("grp", F.expr("thread % 300"))
+    t = threads(spark, d).withColumn("grp", F.expr("thread div 3"))
     return fl.dominant_state(t, acks(spark, d), "grp")
 
 
@@ -299,13 +298,13 @@ def _(spark, d):
         F2_SQL,
         HOST_SQL,
         ACK_SQL,
-        """t AS (SELECT host, count(*) AS t, count(*) FILTER (status <> 'done') AS m FROM th WHERE host <> 9 GROUP BY 1)""",
+        """t AS (SELECT host, count(*) AS t, count(*) FILTER (status <> 'done') AS m FROM th GROUP BY 1)""",
         body="""SELECT hr.host, CASE WHEN reporting THEN coalesce(t, 0) ELSE 0 END AS total, CASE WHEN reporting THEN coalesce(m, 0) ELSE 0 END AS matching, hr.host % 4 = 2 AS collapsed,
  CASE WHEN reporting AND hr.host % 4 <> 2 THEN coalesce(m, 0) ELSE 0 END AS shown FROM hr LEFT JOIN t ON t.host = hr.host""",
     ),
 )
 def _(spark, d):
-    return fl.group_by_host(threads(spark, d).filter("host <> 9"), hosts(spark, d), ["done"], F.col("host") % 4 == 2)
+    return fl.group_by_host(threads(spark, d), hosts(spark, d), ["done"], F.col("host") % 4 == 2)
 
 
 @query(

@@ -53,13 +53,13 @@ def _(spark, d):
     with_ctes(
         F3_SQL,
         SAN_SQL,
-        """u AS (SELECT seq, account_key, sampled_at, plan FROM sn WHERE seq % 2 = 0 UNION ALL SELECT seq, account_key, sampled_at, NULL FROM sn WHERE seq % 3 = 0)""",
+        """u AS (SELECT seq, account_key, sampled_at, plan FROM sn UNION ALL SELECT seq, account_key, sampled_at, NULL FROM sn)""",
         body="SELECT account_key, seq, sampled_at, plan FROM u",
     ),
 )
 def _(spark, d):
     s = sanitised(spark, d).select("account_key", "seq", "sampled_at", "plan")
-    return q.all_observations(s.filter("seq % 2 = 0"), s.filter("seq % 3 = 0").drop("plan"))
+    return q.all_observations(s, s.drop("plan"))
 
 
 ROWS_SQL = f"""ac AS (SELECT c_custkey AS account_key, lower(c_mktsegment) AS provider, c_name AS label, c_custkey * 7 % 1009 AS position FROM customer WHERE c_custkey % 3 = 0),

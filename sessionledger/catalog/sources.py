@@ -368,19 +368,17 @@ def _(spark, d):
     "publishable_sessions",
     with_ctes(
         F1_SQL,
-        "b AS (SELECT session_id FROM f1 GROUP BY 1 HAVING session_id % 6 > 0)",
+        "b AS (SELECT DISTINCT session_id FROM f1)",
         "cu AS (SELECT session_id FROM f1 GROUP BY 1 HAVING max(stamp) >= 1706400000000000)",
-        """u AS (SELECT session_id, max(stamp) FILTER (kind = 'assistant' AND NOT bad AND NOT forked AND NOT synthetic AND k < 12) AS q FROM f1 GROUP BY 1),
-j AS (SELECT cu.session_id IS NOT NULL AS up, q FROM b LEFT JOIN cu ON cu.session_id = b.session_id LEFT JOIN u ON u.session_id = b.session_id)""",
+        f"u AS (SELECT session_id, usage_seq AS q FROM ({USAGE_TOTALS_SQL}))",
+        """j AS (SELECT cu.session_id IS NOT NULL AS up, q FROM b LEFT JOIN cu ON cu.session_id = b.session_id LEFT JOIN u ON u.session_id = b.session_id)""",
         body="SELECT CASE WHEN up THEN 'yes' ELSE 'no' END AS caught_up, CASE WHEN up AND q IS NOT NULL THEN 'yes' ELSE 'no' END AS publishable, count(*) AS sessions FROM j GROUP BY 1, 2",
     ),
 )
 def _(spark, d):
     x = f1(spark, d)
-    usage = x.groupBy("session_id").agg(
-        F.max(F.expr("CASE WHEN kind = 'assistant' AND NOT bad AND NOT forked AND NOT synthetic AND k < 12 THEN stamp END")).alias("usage_seq")
-    )
-    bound = x.select("session_id").distinct().filter("session_id % 6 > 0")
+    usage = us.usage_totals(x)
+    bound = x.select("session_id").distinct()
     up = x.groupBy("session_id").agg(F.max("stamp").alias("m")).filter("m >= 1706400000000000")
     return rp.publishable_sessions(bound, up, usage)
 

@@ -23,7 +23,7 @@ _A = {
 
 
 def records_a(spark, d):
-    x = f1(spark, d).filter("p IN (0, 7) AND NOT (p = 7 AND k % 8 = 5)")
+    x = f1(spark, d).filter("p IN (0, 7)")
     exprs = {
         n: e.format(s="STRING", sec="trig div 1000000", sec2="stamp div 1000000") for n, e in _A.items()
     }
@@ -40,7 +40,7 @@ A_SQL = (
     + ", ".join(
         f'{e.format(s="VARCHAR", sec="trig // 1000000", sec2="stamp // 1000000")} AS "{n}"' for n, e in _A.items()
     )
-    + """ FROM tg WHERE p IN (0, 7) AND NOT (p = 7 AND k % 8 = 5)),
+    + """ FROM tg WHERE p IN (0, 7)),
 a1 AS (SELECT *, coalesce(key IS NOT NULL AND start > 0 AND start <= """
     + str(NOW_S)
     + """ AND (opens OR ("end" >= start AND "end" <= """

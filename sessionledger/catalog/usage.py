@@ -291,10 +291,10 @@ def _(spark, d):
     "merge_usage",
     with_ctes(
         F1_SQL,
-        """m AS (SELECT session_id, max(CASE WHEN k % 7 = 0 THEN stamp END) AS usage_seq, max(k) AS output, max(cache_read) AS cache_read
-  FROM f1 WHERE session_id % 4 <> 0 AND p < 4 GROUP BY 1),
-r AS (SELECT session_id, max(stamp) AS usage_seq, min(k) AS output, min(cache_read) AS cache_read
-  FROM f1 WHERE session_id % 5 <> 0 AND p >= 4 AND k > 50 GROUP BY 1),
+        """m AS (SELECT session_id, max(CASE WHEN session_id % 4 <> 0 AND k % 7 = 0 THEN stamp END) AS usage_seq, max(k) AS output, max(cache_read) AS cache_read
+  FROM f1 WHERE p < 4 GROUP BY 1),
+r AS (SELECT session_id, max(CASE WHEN session_id % 5 <> 0 AND k > 50 THEN stamp END) AS usage_seq, min(k) AS output, min(cache_read) AS cache_read
+  FROM f1 WHERE p >= 4 GROUP BY 1),
 b AS (SELECT coalesce(m.session_id, r.session_id) AS session_id, m.usage_seq AS ms, m.output AS mo, m.cache_read AS mc,
   r.usage_seq AS rs, r.output AS ro, r.cache_read AS rc, r.usage_seq IS NOT NULL AND (m.usage_seq IS NULL OR r.usage_seq >= m.usage_seq) AS newer
   FROM m FULL JOIN r ON m.session_id = r.session_id)""",
@@ -304,13 +304,13 @@ b AS (SELECT coalesce(m.session_id, r.session_id) AS session_id, m.usage_seq AS
 )
 def _(spark, d):
     rows = f1(spark, d)
-    m = rows.filter("session_id % 4 <> 0 AND p < 4").groupBy("session_id").agg(
-        F.max(F.expr("CASE WHEN k % 7 = 0 THEN stamp END")).alias("usage_seq"),
+    m = rows.filter("p < 4").groupBy("session_id").agg(
+        F.max(F.expr("CASE WHEN session_id % 4 <> 0 AND k % 7 = 0 THEN stamp END")).alias("usage_seq"),
         F.max("k").alias("output"),
         F.max("cache_read").alias("cache_read"),
     )
-    r = rows.filter("session_id % 5 <> 0 AND p >= 4 AND k > 50").groupBy("session_id").agg(
-        F.max("stamp").alias("usage_seq"),
+    r = rows.filter("p >= 4").groupBy("session_id").agg(
+        F.max(F.expr("CASE WHEN session_id % 5 <> 0 AND k > 50 THEN stamp END")).alias("usage_seq"),
         F.min("k").alias("output"),
         F.min("cache_read").alias("cache_read"),
     )

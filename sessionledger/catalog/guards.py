@@ -222,7 +222,7 @@ def _(spark, d):
         body="""SELECT ord, bind, CAST(('0x' || substr(bind, 1, 13)) AS BIGINT) AS generation,
   substr(sha256('turn-v1:' || session_id || ':' || uuid), 1, 24) AS turn_key,
   substr(sha256(message_id), 1, 16) AS group_key, sha256('account-v1:' || session_id) AS account_key,
-  sha256('["h' || session_id % 16 || '","ssh"]') AS route_key FROM b""",
+  sha256('["h' || session_id % 16 || '","ssh"]') AS route_key, CASE WHEN uuid <> 'u-dup' THEN sha256('session-v1:' || uuid) END AS session_key FROM b""",
     ),
 )
 def _(spark, d):
@@ -239,6 +239,8 @@ def _(spark, d):
         group_key=F.when(F.col("message_id").isNotNull(), sc.group_key(F.col("message_id"))),
         account_key=sc.account_key(sid),
         route_key=sc.route_key(host, F.lit("ssh")),
+        # An id with a dot is not safe.
+        session_key=sc.session_key(F.expr("CASE WHEN uuid = 'u-dup' THEN 'u.dup' ELSE uuid END")),
     )
 
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import F0_SQL, F1_SQL, F2_SQL, F6_SQL, f0, f1, f2, f6, table, with_ctes
+from ..fixtures import F0_SQL, F1_SQL, F2_SQL, F6_SQL, NOW_S, NOW_US, f0, f1, f2, f6, table, with_ctes
+from ..operators import children as ch
 from ..operators import report as rp
+from ..operators import turns as tn
 from ..operators import usage as us
 from ..plans import scratch_path
 from ..sources import logs as lg
 from ..sources import snapshots as sn
 from .records import TEL_SQL, telemetry
 from .registry import query
+from .turns import _summary_a
 from .usage import _FAIL_SQL, USAGE_TOTALS_SQL
 
 
@@ -125,6 +128,82 @@ def _(spark, d):
     )
 
 
+# --------------------------------------------------------------- rollout logs
+_EARLY = "p = 6 AND k = 23 AND session_id % 11 = 0"  # an event of a child that has not started
+_ODD = "p IN (4, 6) AND k = 19 AND session_id % 7 = 0"  # another thread, or a path elsewhere
+_TORN = "p IN (4, 6) AND k = 3 AND session_id % 5 = 0"  # a line cut short
+_CHILD_KIND = """CASE WHEN p = 4 THEN 'started' ELSE CASE ord % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'errored'
+  WHEN 2 THEN 'interrupted' WHEN 3 THEN 'failed' ELSE 'interacted' END END"""
+
+
+def rollout_lines(spark, d):
+    """F1 as rollout JSON lines: turns, children, and meta lines for the rest."""
+    e, text = F.expr, lambda x: F.col(x).cast("string")
+    x = f1(spark, d).withColumn("sid", text("session_id"))
+    path = e(f"concat(CASE WHEN {_ODD} AND p = 4 THEN '/else/' ELSE '/root/' END, CASE WHEN {_EARLY} THEN concat('late', ord) ELSE concat('ch', c % 4) END)")
+    ms = e("stamp div 1000")
+    turn = e("CASE WHEN k = 2 THEN NULL WHEN k = 7 THEN concat('t', c - 1) ELSE concat('t', c) END")
+    start = e("trig div 1000000 + CASE WHEN p = 7 AND k % 10 = 9 THEN 1 WHEN p = 0 AND k = 31 THEN -4000 ELSE 0 END")
+    payload = F.struct(
+        e("""CASE p WHEN 0 THEN 'task_started' WHEN 4 THEN 'sub_agent_activity' WHEN 6 THEN 'item_completed'
+          WHEN 7 THEN CASE WHEN event_type = 'error' THEN 'turn_aborted' ELSE 'task_complete' END ELSE 'note' END""").alias("type"),
+        F.when(e("p IN (0, 7)"), turn).alias("turn_id"),
+        F.when(e("p IN (0, 7)"), start).alias("started_at"),
+        F.when(e("p = 7"), e("stamp div 1000000")).alias("completed_at"),
+        F.when(e("p = 4"), path).alias("agent_path"),
+        F.when(e("p = 4"), e(_CHILD_KIND)).alias("kind"),
+        F.when(e("p = 4"), ms).alias("occurred_at_ms"),
+        F.when(e("p = 6"), e(f"CASE WHEN {_ODD} THEN 'elsewhere' ELSE sid END")).alias("thread_id"),
+        F.when(e("p = 6"), F.struct(F.lit("SubAgentActivity").alias("type"), path.alias("agent_path"), e(_CHILD_KIND).alias("kind"))).alias("item"),
+        F.when(e("p = 6"), ms).alias("completed_at_ms"),
+    )
+    line = F.to_json(F.struct(F.col("sid").alias("log"), F.lit("event_msg").alias("type"), payload.alias("payload")))
+    torn = F.concat(F.lit('{"log":"'), F.col("sid"), F.lit('","type":"event_msg'))
+    return x.select("session_id", "ord", F.when(e(_TORN), torn).otherwise(line).alias("value"))
+
+
+def rollout(spark, d):
+    """The lines written as text and read back. A torn line keeps its log's name."""
+    path = scratch_path(spark, "rollout")
+    lg.write_log_segments(rollout_lines(spark, d), path)
+    lines = lg.read_log_segments(spark, path, "$.log")
+    named = F.coalesce("session_id", F.regexp_extract("value", '^\\{"log":"([^"]*)"', 1))
+    return lines.withColumn("session_id", named)
+
+
+_ROLLOUT_SQL = f"""ev AS (SELECT session_id, ord, {_TORN} OR {_ODD} AS lost, CASE WHEN {_EARLY} THEN 'late' || ord ELSE 'ch' || c % 4 END AS child, {_CHILD_KIND} AS what, stamp // 1000 * 1000 AS micros
+  FROM f1 WHERE p IN (4, 6)),
+pc AS (SELECT session_id, child, arg_max(what, ord) AS last, arg_min(what, ord) <> 'started' AS early, bool_or(what = 'started') AS launched FROM ev WHERE NOT lost GROUP BY 1, 2),
+ps AS (SELECT session_id, count(*) FILTER (launched AND last IN ('started', 'interacted')) AS running, count(*) FILTER (launched AND last = 'completed') AS completed,
+   count(*) FILTER (launched AND last = 'interrupted') AS interrupted, count(*) FILTER (launched AND last IN ('errored', 'failed')) AS errored, count(*) FILTER (launched) AS total, bool_or(early) AS early FROM pc GROUP BY 1),
+v AS (SELECT f.session_id, NOT coalesce(bool_or(lost), false) AS fine, arg_max(micros, ev.ord) FILTER (NOT lost) AS seq FROM (SELECT DISTINCT session_id FROM f1) f LEFT JOIN ev ON ev.session_id = f.session_id GROUP BY 1),
+j AS (SELECT v.session_id, fine AND NOT coalesce(early, false) AS valid, seq, ps.* EXCLUDE (session_id, early) FROM v LEFT JOIN ps ON ps.session_id = v.session_id)"""
+
+
+@query(
+    "rollout_children",
+    with_ctes(
+        F1_SQL,
+        _ROLLOUT_SQL,
+        body="""SELECT session_id, valid, CASE WHEN valid THEN coalesce(running, 0) END AS running, CASE WHEN valid THEN coalesce(completed, 0) END AS completed,
+ CASE WHEN valid THEN coalesce(interrupted, 0) END AS interrupted, CASE WHEN valid THEN coalesce(errored, 0) END AS errored, CASE WHEN valid THEN 0 END AS unknown,
+ CASE WHEN valid THEN coalesce(total, 0) END AS total, CASE WHEN valid THEN coalesce(completed, 0) END AS done, CASE WHEN valid THEN seq END AS child_seq FROM j""",
+    ),
+)
+def _(spark, d):
+    out = ch.rollout_outcomes(lg.rollout_children(rollout(spark, d), NOW_US))
+    return out.withColumn("session_id", F.col("session_id").cast("long"))
+
+
+@query("rollout_turns", _summary_a("true"))
+def _(spark, d):
+    """Keyed turns from rollout text. Torn lines hold child records only."""
+    rec = lg.parse_rollout(rollout(spark, d)).filter("opens OR closes")
+    rec = rec.withColumn("session_id", F.col("session_id").cast("long"))
+    records = tn.turn_records_a(rec.select("session_id", "ord", "opens", "key", "start", "end", "outcome"), NOW_S)
+    return tn.turn_summary_a(records)
+
+
 # ------------------------------------------------------------ whole-file rules
 def _named_lines(spark, d):
     x = f1(spark, d)

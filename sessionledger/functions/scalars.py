@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .guards import safe_id
+
 from .guards import SAFE, bounded_label, full
 
 # Freshness limits in seconds.
@@ -28,6 +30,11 @@ def session_binding(harness: Column, kind: Column, value: Column) -> Column:
     return F.when(ok, hashed("", harness, kind, value))
 
 
+def session_key(session: Column) -> Column:
+    """Key of a log whose id is safe to look up by."""
+    return F.when(safe_id(session, 128).isNotNull(), hashed("session-v1", session))
+
+
 def turn_key(session: Column, turn: Column) -> Column:
     return hashed("turn-v1", session, turn, length=24)
 

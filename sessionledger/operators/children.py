@@ -70,7 +70,8 @@ def child_outcomes(df: DataFrame, strict: bool = False, cap: int | None = None)
         F.bool_or("early").alias("early"),
     )
     flags = df.groupBy("session_id").agg((~F.bool_or(lost_roster(df))).alias("valid"))
-    j = flags.join(per_session, "session_id", "left")
+    own = per_session.withColumnRenamed("session_id", "_session")
+    j = flags.join(own, F.col("session_id").eqNullSafe(F.col("_session")), "left")
     valid = F.col("valid")
     if strict:
         valid = valid & ~F.coalesce("early", F.lit(False))
@@ -84,3 +85,14 @@ def child_outcomes(df: DataFrame, strict: bool = False, cap: int | None = None)
         put("total"),
         F.when(valid, F.coalesce("completed", F.lit(0))).alias("done"),
     )
+
+
+def rollout_outcomes(events: DataFrame) -> DataFrame:
+    """Outcomes of rollout logs, where an event before its child's start breaks the roster, and
+    the stamp of the newest event in log order."""
+    newest = events.groupBy(F.col("session_id").alias("_s")).agg(
+        F.max_by("child_stamp", F.when(F.col("child_stamp").isNotNull(), F.col("ord"))).alias("child_seq")
+    )
+    counts = child_outcomes(events, strict=True)
+    j = counts.join(newest, F.col("session_id").eqNullSafe(F.col("_s")), "left")
+    return j.withColumn("child_seq", F.when(F.col("valid"), F.col("child_seq"))).drop("_s")

@@ -125,20 +125,34 @@ def reopened_groups(lines: DataFrame, ring: int | None = None, span: int | None
     )
 
 
+def _reopened(lines: DataFrame, ring: int | None, span: int | None) -> DataFrame:
+    """``lines`` with ``_hit`` on those of a reopened island. Without a ring that is any island but
+    the first of its message, and few messages have several, so nothing is ordered and
+    only those take part in the join."""
+    if ring is not None:
+        place = F.struct("session_id", "island").alias("_place")
+        hits = reopened_groups(lines, ring, span).select(place, F.lit(True).alias("_hit"))
+        return lines.select("*", place).join(hits, "_place", "left").drop("_place")
+    message = F.struct("session_id", "message_id").alias("_message")
+    several = (
+        lines.filter("new").groupBy(message).agg(F.min("island").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .filter("_n > 1").select("_message", "_first")
+    )
+    joined = lines.select("*", message).join(several, "_message", "left")
+    return joined.withColumn("_hit", F.col("island") > F.col("_first")).drop("_message", "_first")
+
+
 def usage_lines(df: DataFrame, ring: int | None = None, span: int | None = None) -> DataFrame:
     """Islands with ``reopened`` and ``complete`` decided per line."""
     lines = message_islands(df, span)
-    place = F.struct("session_id", "island").alias("_place")
-    hits = reopened_groups(lines, ring, span).select(place, F.lit(True).alias("_hit"))
     whole = F.lit(0)
     for name in COUNTERS:
         whole = whole + F.col(name)
     return (
-        lines.select("*", place)
-        .join(hits, "_place", "left")
+        _reopened(lines, ring, span)
         .withColumn("reopened", F.coalesce("_hit", F.lit(False)) & F.col("part"))
         .withColumn("complete", F.coalesce(whole <= SAFE, F.lit(False)))
-        .drop("_hit", "_place")
+        .drop("_hit")
     )
 
 

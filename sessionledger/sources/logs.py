@@ -357,6 +357,79 @@ def parse_rollout(lines: DataFrame) -> DataFrame:
     )
 
 
+_CHILD_SHAPE = (
+    "struct<"
+    + _leaves("type")
+    + ",payload:struct<"
+    + _leaves("type", "thread_id", "completed_at_ms", "occurred_at_ms", "agent_path", "kind")
+    + ",item:struct<"
+    + _leaves("type", "agent_path", "kind")
+    + ">>>"
+)
+#: What a child record says and the event it is.
+CHILD_KINDS = {
+    "started": "launch",
+    "interacted": "resume",
+    "completed": "completed",
+    "interrupted": "interrupted",
+    "errored": "errored",
+    "failed": "errored",
+}
+CHILD_ROOT = "/root/"
+
+
+def read_rollout_log(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of every rollout log under ``path``, one log a file; the session id stands behind the
+    time in its name, where there is one."""
+    return read_session_log(spark, path, "A", r"rollout-(?:[0-9-]{10}T[0-9-]{8}-)?([A-Za-z0-9_-]+)\.jsonl$")
+
+
+def rollout_children(lines: DataFrame, now_us: int) -> DataFrame:
+    """Child events of rollout logs, one row per line that has one or breaks the roster, and the
+    first line of each log so that logs without children are there too.
+
+    ``child_lost`` marks lines after which the roster is unknown: unreadable ones, and events
+    whose path, kind, time or thread cannot be trusted. The rest have ``child_key``,
+    ``child_event`` and ``child_stamp``; use :func:`child_outcomes` with ``strict``.
+    """
+    s, p, item = F.col("s"), F.col("s.payload"), F.col("s.payload.item")
+    no = lambda x: F.coalesce(x, F.lit(False))
+    rows = lines.withColumn("s", laid_out("value", _CHILD_SHAPE)).withColumn("inner", F.when(_text(s.type) == "event_msg", _text(p.type)))
+    done = no((F.col("inner") == "item_completed") & (_text(item.type) == "SubAgentActivity"))
+    live = no(F.col("inner") == "sub_agent_activity")
+    rows = rows.select(
+        "session_id", "ord", s.isNull().alias("unreadable"), (done | live).alias("event"),
+        (done & ~no(_text(p.thread_id) == F.col("session_id").cast("string"))).alias("foreign"),
+        F.when(done, _text(item.agent_path)).otherwise(_text(p.agent_path)).alias("path"),
+        F.when(done, _text(item.kind)).otherwise(_text(p.kind)).alias("what"),
+        (F.when(done, _count(p.completed_at_ms)).otherwise(_count(p.occurred_at_ms)) * 1000).alias("at"),
+    )
+    names = F.split(F.substring("path", F.lit(len(CHILD_ROOT) + 1), F.length("path")), "/")
+    good = (
+        ~F.col("foreign")
+        & no(F.col("path").startswith(CHILD_ROOT) & (F.octet_length("path") <= 512))
+        & no(F.forall(names, lambda n: g.safe_id(n, 512).isNotNull()))
+        & no(F.col("what").isin(*CHILD_KINDS))
+        & no(F.col("at").between(1, now_us))
+    )
+    events = F.create_map(*[F.lit(x) for pair in CHILD_KINDS.items() for x in pair])
+    rows = rows.withColumn("good", F.col("event") & good)
+    child = rows.filter("event OR unreadable").select(
+        "session_id", "ord",
+        F.when(F.col("good"), F.sha2("path", 256)).alias("child_key"),
+        F.when(F.col("good"), events[F.col("what")]).alias("child_event"),
+        F.when(F.col("good"), F.col("at")).alias("child_stamp"),
+        (~F.col("good")).alias("child_lost"),
+    )
+    none = F.lit(None).cast
+    heads = lines.groupBy("session_id").agg(F.min("ord").alias("ord")).select(
+        "session_id", "ord", none("string").alias("child_key"), none("string").alias("child_event"),
+        none("long").alias("child_stamp"), F.lit(False).alias("child_lost"),
+    )
+    fixed = {n: F.lit(False) for n in ("bad", "forked", "mismatch")}
+    return child.unionByName(heads).withColumns({"kind": F.lit("event"), **fixed})
+
+
 # -------------------------------------------------------------- whole-file rules
 def verify_header(lines: DataFrame, fmt: str = "B", limit: int | None = None) -> DataFrame:
     """Keep logs whose first line names the session and, where ``limit`` is

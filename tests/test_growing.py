@@ -14,7 +14,7 @@ from sessionledger.streaming import runs as ru
 
 from .test_logs import answer, prompt
 from .test_oracles import check
-from .test_streams import rows_of
+from .test_streams import few_partitions, rows_of  # noqa: F401
 
 
 @pytest.mark.parametrize("seed", range(30))

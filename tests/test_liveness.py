@@ -10,7 +10,7 @@ from sessionledger.streaming import liveness as lv
 from sessionledger.streaming import runs as ru
 
 from .test_oracles import check
-from .test_streams import landed_in, rows_of
+from .test_streams import few_partitions, landed_in, rows_of  # noqa: F401
 
 DAY = 86400
 

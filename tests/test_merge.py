@@ -9,7 +9,7 @@ from sessionledger.streaming import merge as mg
 from sessionledger.streaming import runs as ru
 
 from .test_oracles import check
-from .test_streams import landed_in, rows_of
+from .test_streams import few_partitions, landed_in, rows_of  # noqa: F401
 
 SCHEMA = "account_key string, sampled_at long, seq long"
 

@@ -22,6 +22,14 @@ SCHEMA = (
 )
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """State stores are opened per partition and micro-batch."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def landed_in(spark, df, parts):
     """``df`` as a stream of one file a micro-batch, ``parts`` of them."""
     path = ru.land_segments(df, "session_id", "ord", parts=parts, files=1)

@@ -24,9 +24,9 @@ SEGMENT_FILES = 4
 
 
 def follow(spark, df, key="session_id", ord="ord"):
-    """A stream over ``df`` as four segments; each micro-batch takes the files of about one."""
+    """A stream over ``df`` as four segments; each micro-batch takes the files of about two."""
     path = ru.land_segments(df, key, ord, files=SEGMENT_FILES)
-    return ru.stream_segments(spark, path, df.schema, files_per_trigger=SEGMENT_FILES)
+    return ru.stream_segments(spark, path, df.schema, files_per_trigger=2 * SEGMENT_FILES)
 
 
 def fold(spark, df, machine, name, key="session_id"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import pathlib
 import tempfile
 import zipfile
@@ -23,4 +24,7 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.PyZipFile(str(target), "w") as z:
         z.writepy(str(root))  # compiled once here rather than in every worker
     spark.sparkContext.addPyFile(str(target))
+    # Python processes beside the driver (of streams and their sources) read no such file.
+    env = spark.sparkContext.environment
+    env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), str(root.parent)]))
     _SHIPPED.add(app)

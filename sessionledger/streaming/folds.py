@@ -12,10 +12,10 @@ The event rows are those of the batch fold, so the same summaries read both.
 from __future__ import annotations
 
 import json
+import operator
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -74,14 +74,11 @@ class FoldProcessor(StatefulProcessor):
             current.update(json.loads(self.state.get()[0]))
         memories = {m: Memory(store) for m, store in self.memories.items()}
         current.update(memories)
-        taken: list[tuple] = []
-        for frame in rows:
-            clean = frame[machine.inputs].astype(object).where(frame[machine.inputs].notna(), None)
-            taken.extend(clean.itertuples(index=False, name=None))
-        taken.sort(key=lambda r: r[0])
-        events: list[tuple] = []
+        pick = operator.itemgetter(*machine.inputs)
+        taken = sorted((pick(r) for r in rows), key=operator.itemgetter(0))
+        events, event = [], Row(*self.names)
         for row in taken:
-            machine.step(current, _plain(row), lambda *e: events.append((key[0], *e)))
+            machine.step(current, row, lambda *e: events.append(event(key[0], *e)))
         text = json.dumps({k: v for k, v in current.items() if k not in memories}, sort_keys=True)
         self.state.update((text,))
         for memory in memories.values():
@@ -90,8 +87,8 @@ class FoldProcessor(StatefulProcessor):
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        events.append((key[0], int(taken[-1][0]), STATE, None, current.get(machine.high), text))
-        yield pd.DataFrame(events, columns=self.names).astype({"ord": "Int64", "a": "Int64", "b": "Int64"})
+        events.append(event(key[0], taken[-1][0], STATE, None, current.get(machine.high), text))
+        yield from events
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.state.clear()
@@ -112,20 +109,14 @@ def stream_fold(
     ship_package(records.sparkSession)
     fields = [records.schema[key], *EVENT_FIELDS]
     out = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-    names = [key, *[f.name for f in EVENT_FIELDS]]
     mode = "None" if idle_timeout_ms is None else "ProcessingTime"
     return (
         records.select(key, *machine.inputs)
         .groupBy(key)
-        .transformWithStateInPandas(FoldProcessor(machine, names, idle_timeout_ms), out, "Append", mode)
+        .transformWithState(FoldProcessor(machine, [f.name for f in out], idle_timeout_ms), out, "Append", mode)
     )
 
 
-def _plain(row: tuple) -> tuple:
-    """Nullable columns arrive as floats; every number here is an integer."""
-    return tuple(int(v) if isinstance(v, float) else v for v in row)
-
-
 def final_state(events: DataFrame, key: str, schema: str) -> DataFrame:
     """The newest state of every key, parsed."""
     at = F.when(F.col("event") == STATE, F.col("ord"))

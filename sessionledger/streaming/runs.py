@@ -53,18 +53,23 @@ def stream_session_log(spark: SparkSession, path: str, **options) -> DataFrame:
     return growing.session_lines(growing.follow_logs(spark, path, **options))
 
 
-STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A micro-batch uploads what it changed, not the whole store.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def started(writer, spark: SparkSession):
     """Start a stream whose state is in RocksDB: it may outgrow memory, and map states need it."""
-    before = spark.conf.get(STORE_CONF, None)
-    spark.conf.set(STORE_CONF, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     try:
+        for k, v in STATE_CONF.items():
+            spark.conf.set(k, v)
         return writer.trigger(availableNow=True).start()
     finally:
-        spark.conf.unset(STORE_CONF) if before is None else spark.conf.set(STORE_CONF, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_to_table(stream: DataFrame, name: str, out: str | None = None) -> DataFrame:

@@ -69,11 +69,18 @@ def usage_twin(df):
     return us.usage_totals(df).join(last, F.col("session_id").eqNullSafe(F.col("_s"))).drop("_s")
 
 
+@pytest.fixture(scope="module")
+def told(spark):
+    """Lines, and what the batch operators make of them."""
+    df = lines(spark, 1500, 1)
+    return df, rows_of(usage_twin(df))
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
-def test_usage_in_micro_batches(spark, parts):
-    df = lines(spark, 1500, parts)
+def test_usage_in_micro_batches(spark, told, parts):
+    df, want = told
     events = ru.run_to_table(fo.stream_fold(landed_in(spark, df, parts), "session_id", fo.MACHINE_USAGE), f"usage{parts}")
-    assert rows_of(fo.usage_view(events)) == rows_of(usage_twin(df))
+    assert rows_of(fo.usage_view(events)) == want
     assert batches(spark, f"usage{parts}") == parts
     sizes = events.filter(F.col("event") == STATE).agg(F.max(F.length("text"))).first()[0]
     assert sizes < 700  # whatever the number of messages
@@ -113,14 +120,20 @@ def test_children_in_micro_batches(spark, parts):
     assert events.filter(F.col("event") == STATE).agg(F.max(F.length("text"))).first()[0] < 200
 
 
+@pytest.fixture(scope="module")
+def turns(spark):
+    from sessionledger.catalog.turns import records_b
+
+    return rows_of(tn.turn_summary_b(tn.turn_events_b(records_b(spark, SF))))
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
-def test_inferred_turns_in_micro_batches(spark, parts):
+def test_inferred_turns_in_micro_batches(spark, turns, parts):
     from sessionledger.catalog.streams import b_stream_records
-    from sessionledger.catalog.turns import records_b
 
     df = b_stream_records(spark, SF).select("session_id", *fo.B_STREAM)
     events = ru.run_to_table(fo.stream_fold(landed_in(spark, df, parts), "session_id", fo.MACHINE_B_STREAM), f"turns{parts}")
-    assert rows_of(tn.turn_summary_b(events)) == rows_of(tn.turn_summary_b(tn.turn_events_b(records_b(spark, SF))))
+    assert rows_of(tn.turn_summary_b(events)) == turns
     assert batches(spark, f"turns{parts}") == parts
     assert events.filter(F.col("event") == STATE).agg(F.max(F.length("text"))).first()[0] < 500
 

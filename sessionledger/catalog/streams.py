@@ -11,6 +11,7 @@ from ..plans import scratch_path
 from ..streaming import folds as fo
 from ..streaming import liveness as lv
 from ..streaming import merge as mg
+from ..streaming import ordered as od
 from ..streaming import runs as ru
 from .quota import SAN_SQL, sanitised
 from .registry import query
@@ -213,6 +214,54 @@ def _(spark, d):
     return table.read()
 
 
+DISORDER = 1000  # how far a row may come behind its place
+
+
+def shuffled(df):
+    """``df`` with the place at which a row arrives, up to ``DISORDER`` behind its own."""
+    return df.withColumn("arrival", F.col("ord") + F.pmod(F.xxhash64("ord"), F.lit(DISORDER)))
+
+
+@query(
+    "stream_late_and_future",
+    with_ctes(
+        F0_SQL,
+        "x AS (SELECT session_id, ord, k, CASE WHEN k % 10 = 0 THEN stamp - 86400000000 WHEN k % 10 = 1 THEN stamp + 40 * 86400000000 ELSE stamp END AS stamp FROM f0)",
+        body="""SELECT session_id, ord, stamp <= 1706745600000000 AS accepted, max(CASE WHEN stamp <= 1706745600000000 THEN stamp END) OVER (PARTITION BY session_id ORDER BY ord) AS newest,
+  CASE WHEN stamp > 1706745600000000 THEN 'future' END AS refused FROM x
+UNION ALL SELECT session_id, ord, NULL, NULL, 'again' FROM x WHERE k % 10 = 2""",
+    ),
+)
+def _(spark, d):
+    """Rows come out of order and some of them twice; the refused ones are a side output."""
+    x = f0(spark, d).withColumn(
+        "stamp", F.expr("CASE WHEN k % 10 = 0 THEN stamp - 86400000000 WHEN k % 10 = 1 THEN stamp + 40 * 86400000000 ELSE stamp END")
+    )
+    rows = shuffled(x)
+    again = rows.filter("k % 10 = 2").withColumn("arrival", F.col("arrival") + 5 * DISORDER)
+    sent = rows.unionByName(again).select("session_id", "ord", "arrival", "stamp")
+    stream = follow(spark, sent, ord="arrival")
+    events = ru.run_to_table(od.ordered_stream(stream, "session_id", od.marks(1706745600000000), DISORDER), "marks")
+    told = od.standing(events, "session_id").withColumn("refused", F.when(~F.col("accepted"), "future"))
+    out = od.refused(events, "session_id").filter(F.col("refused").isin("late", "repeat"))
+    none = F.lit(None)
+    out = out.select("session_id", "ord", none.cast("boolean").alias("accepted"), none.cast("long").alias("newest"), F.lit("again").alias("refused"))
+    return told.select(out.columns).unionByName(out)
+
+
+@query(
+    "stream_generation_reset",
+    with_ctes(
+        F4_SQL,
+        body="""SELECT agent, generation, count(*) AS samples, CAST(sum(output) AS BIGINT) AS output, min(ord) AS first_ord FROM f4 GROUP BY 1, 2""",
+    ),
+)
+def _(spark, d):
+    x = shuffled(f4(spark, d)).select("agent", "ord", "arrival", "generation", "output")
+    stream = follow(spark, x, "agent", "arrival")
+    return od.generation_totals(ru.run_to_table(od.ordered_stream(stream, "agent", od.GENERATIONS, DISORDER), "generations"), "agent")
+
+
 # -------------------------------------------------------------------- windows
 _ACT = "k AS tokens, p = 0 AS is_turn, abort AS is_abort"
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .common import in_arrow, numbered
 
 SEED = 7
+PLACES = {"home": T.IntegerType(), "shard": T.IntegerType(), "slot": T.LongType()}
 
 
 def ring(n_shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +68,15 @@ def shard_rows(
     as one, so repeated rows are spread like others; a NULL key is a key; an
     empty input gives an empty result. With ``epsilon`` 0 counts are at most
     one apart; a larger one moves fewer rows. ``rows`` should be narrow.
-    The columns ``home``, ``shard``, ``slot`` must not be among its own.
+    Own columns named ``home``, ``shard`` or ``slot`` are replaced; other names
+    cannot clash, as columns go by their place in between. Rows equal in key and
+    all plain columns are placed in any order among themselves.
     """
     points, owner = ring(n_shards, vnodes)
     spark = rows.sparkSession
-    placed = rows.withColumn("_pos", F.xxhash64(F.lit(SEED), F.col(key)))
+    own = [c for c in rows.columns if c not in PLACES]
+    names = [f"c{i}" for i in range(len(own))]
+    placed = rows.select(*[rows[f"`{c}`"].alias(n) for c, n in zip(own, names)], F.xxhash64(F.lit(SEED), rows[f"`{key}`"]).alias("_pos"))
     schema = T.StructType([*placed.schema, T.StructField("_arc", T.LongType())])
 
     def arcs(batches):
@@ -80,7 +85,7 @@ def shard_rows(
             arc = np.searchsorted(points, pos) % len(points)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(arc, pa.int64())], names=[*batch.schema.names, "_arc"])
 
-    order = ["_pos", *[c for c in rows.columns if not isinstance(rows.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType))]]
+    order = ["_pos", *[n for n in names if not isinstance(placed.schema[n].dataType, (T.MapType, T.ArrayType, T.StructType))]]
     ranked = numbered(in_arrow(placed, arcs, schema), "_arc", order, "ring")
     demand = np.zeros(len(points), np.int64)
     for arc, n in ranked.groupBy("_arc").agg(F.max("rank") + 1).collect():
@@ -93,8 +98,7 @@ def shard_rows(
     for i, (_, count, shard) in enumerate(parts):
         base[i], used[shard] = used[shard], used[shard] + count
     begin = np.concatenate([[0], np.cumsum(demand)[:-1]])
-    out = T.StructType([*rows.schema, *[T.StructField(n, t) for n, t in (("home", T.IntegerType()), ("shard", T.IntegerType()), ("slot", T.LongType()))]])
-    names = rows.columns
+    out = T.StructType([*[placed.schema[n] for n in names], *[T.StructField(n, t) for n, t in PLACES.items()]])
 
     def assign(batches):
         for batch in batches:
@@ -108,9 +112,8 @@ def shard_rows(
                     pa.array(shard_of[i].astype(np.int32)),
                     pa.array(base[i] + at - first[i], pa.int64()),
                 ],
-                names=[*names, "home", "shard", "slot"],
+                names=[*names, *PLACES],
             )
 
-    if not parts:
-        return spark.createDataFrame([], out)
-    return in_arrow(ranked, assign, out)
+    result = in_arrow(ranked, assign, out) if parts else spark.createDataFrame([], out)
+    return result.toDF(*own, *PLACES)

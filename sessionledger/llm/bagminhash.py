@@ -357,9 +357,22 @@ def near_duplicates(
 
 
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that name their class:
-    those whose key is the class id; of rows with one key and several texts, or
-    repeated ones, the first by text hash stays. Rows with a NULL key stay."""
-    classes = near_duplicates(docs, key, text, **how)
-    drop = classes.filter(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(drop, docs[key] == drop["_gone"], "left_anti")
+    """Exactly one row of each class, all columns as they are: the one of least
+    key, NULL last, then of least text hash; of rows equal in both any one.
+
+    Rows are told apart by key and text, so rows that share a key, or have none,
+    do not stand for each other."""
+    tid = lambda c: F.unhex(F.md5(F.coalesce(c, F.lit("")).cast("binary")))
+    own = lambda d: F.struct(d[key].isNull().alias("none"), d[key].alias("key"), tid(d[text]).alias("tid"))
+    named = docs.select(own(docs).alias("id"), docs[text].alias("text"))
+    classes = near_duplicates(named, "id", "text", **how)
+    stays = classes.filter(F.col("id") == F.col("class_id")).groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    stays = landed(stays.select("id.*", "_n"), "stays")
+    same = docs[key].eqNullSafe(stays["key"]) & (tid(docs[text]) == stays["tid"])
+    kept = docs.join(stays, same, "left_semi")
+    if stays.filter("_n > 1").isEmpty():
+        return kept
+    # Repeated rows: one of each, combined before the shuffle.
+    whole = F.struct(*[kept[c] for c in kept.columns])
+    one = landed(kept.select(own(kept).alias("id"), whole.alias("row")), "kept").groupBy("id").agg(F.first("row").alias("row"))
+    return one.select("row.*")

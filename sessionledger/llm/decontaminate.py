@@ -1,11 +1,18 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
-
-The words of all documents are searched for the n-grams of the test items.
-Every n-gram a document shares with an item is a seed of that pair, so its
-rarest one is, and how often copies repeat it elsewhere does not matter.
-Around its seeds, a document's passage is aligned with the item word by word,
-so copies with changed, added or lost words score too. A pair is left out only
-where the words they share prove that no alignment reaches the threshold.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman.
+
+The words of all documents are searched for the word pairs of the test items:
+two words in order, next to each other or with one word between them. Every pair
+a document shares with an item is a seed, so its rarest one is, and how often
+copies repeat it elsewhere does not matter. Around its seeds, a document's
+passage is aligned with the item word by word, so copies with changed, added or
+lost words score too.
+
+No alignment that reaches the threshold is left out. Between two matches that
+follow each other, an alignment pays for the longer of the two stretches it
+skips. Where it pays at most 1, both sides hold the two words as a seed pair; where
+it pays more, the second match gains nothing. So a score of S has at least
+(S - MATCH) / MATCH seeds, and items that share fewer are not aligned, nor
+those whose shared words prove the score out of reach.
 
 Items come to the tasks in blocks of bounded size, so a benchmark of any size
 is searched, one pass over the documents for each block.
@@ -13,6 +20,7 @@ is searched, one pass over the documents for each block.
 
 from __future__ import annotations
 
+import math
 import re
 from typing import NamedTuple
 
@@ -21,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import in_arrow
 
 WORD = re.compile(r"\w+")
-GRAM = 3
+LEAST = 3  # words of the shortest item that is searched, and of what an alignment's score must be worth
+REACH = (1, 2)  # how far apart the words of a seed pair may be
 BLOCK_WORDS = 1_000_000  # words of test items sent to the tasks at a time
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 ENOUGH = 25  # words whose full match scores 1 also in a longer item
@@ -48,40 +58,29 @@ class Block(NamedTuple):
         return np.array([get(w, 0) for w in words(text)], np.int64)
 
     def grams(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the block's n-grams and their numbers."""
-        n = len(numbers) - GRAM + 1
-        if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        code, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(GRAM):
-            part = numbers[k : k + n]
-            code = code * self.base + part
-            known &= part > 0
-        at = np.flatnonzero(known)
-        i = np.searchsorted(self.codes, code[at])
-        hit = self.codes[np.minimum(i, len(self.codes) - 1)] == code[at]
+        """Places of the block's word pairs, ascending, and their numbers."""
+        at = [np.flatnonzero((numbers[:-d] > 0) & (numbers[d:] > 0)) for d in REACH]
+        code = np.concatenate([numbers[a] * self.base + numbers[a + d] for a, d in zip(at, REACH)])
+        at = np.concatenate(at)
+        i = np.searchsorted(self.codes, code)
+        hit = np.flatnonzero(self.codes[np.minimum(i, len(self.codes) - 1)] == code)
+        hit = hit[np.argsort(at[hit], kind="stable")]
         return at[hit], i[hit]
 
 
 def blocks(benchmark: DataFrame, item: str, text: str):
-    """Blocks of items in the order read. Items below GRAM words are too short
+    """Blocks of items in the order read. Items below LEAST words are too short
     to tell and match nothing."""
     items, texts, vocabulary, size = [], [], {}, 0
 
     def block():
         base = len(vocabulary) + 1
-        codes = set()
-        for t in texts:
-            for i in range(len(t) - GRAM + 1):
-                code = 0
-                for w in t[i : i + GRAM]:
-                    code = code * base + int(w)
-                codes.add(code)
-        return Block(items, texts, vocabulary, np.array(sorted(codes), np.int64), base)
+        codes = np.concatenate([t[:-d] * base + t[d:] for t in texts for d in REACH])
+        return Block(items, texts, vocabulary, np.unique(codes), base)
 
     for key, value in benchmark.select(item, text).toLocalIterator():
         found = words(value)
-        if len(found) < GRAM:
+        if len(found) < LEAST:
             continue
         items.append(key)
         texts.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in found], np.int64))
@@ -94,27 +93,29 @@ def blocks(benchmark: DataFrame, item: str, text: str):
 
 
 class Postings(NamedTuple):
-    """Where the block's n-grams lie: the items of n-gram g are
-    ``item[start[g] : start[g + 1]]``, each once; those of item i, with their
-    first and last place in it, ``own[i]``."""
+    """Where the block's word pairs lie: the items of pair g are
+    ``item[start[g] : start[g + 1]]``, each once, with how often each has it
+    (``times``); those of item i, with their first and last place in it, ``own[i]``."""
 
     start: np.ndarray
     item: np.ndarray
+    times: np.ndarray
     own: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def postings(block: Block) -> Postings:
-    own = []
+    own, times = [], []
     for text in block.texts:
         at, gram = block.grams(text)
-        known, first = np.unique(gram, return_index=True)
+        known, first, n = np.unique(gram, return_index=True, return_counts=True)
+        times.append(n)
         last = len(gram) - 1 - np.unique(gram[::-1], return_index=True)[1]
         own.append((known, at[first], at[last]))
     gram = np.concatenate([x[0] for x in own])
     item = np.repeat(np.arange(len(own)), [len(x[0]) for x in own])
     order = np.argsort(gram, kind="stable")
     start = np.searchsorted(gram[order], np.arange(len(block.codes) + 1))
-    return Postings(start, item[order], own)
+    return Postings(start, item[order], np.concatenate(times)[order], own)
 
 
 def most(held: np.ndarray) -> float:
@@ -153,8 +154,10 @@ def leaks(
     ``threshold`` to 1, and ``end_word``, where the passage ends.
 
     Score: the alignment's against a full match of the item, or of ENOUGH words
-    of a longer one. NULL and empty texts hold nothing; without items nothing is
-    found. Repeated documents and items are reported each. Other columns are
+    of a longer one. What is worth less than three matched words is no copy,
+    however short the item. NULL and empty texts hold nothing; without items nothing is
+    found. Repeated documents and items are reported each; keys and items are of
+    any plain type. Items below three words are not searched. Other columns are
     not read.
     """
     narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -179,6 +182,9 @@ def leaks(
 
 def _search(block: Block, threshold: float, schema: T.StructType):
     full = [MATCH * min(len(t), ENOUGH) for t in block.texts]
+    need = [max(threshold * f, LEAST * MATCH) for f in full]
+    seeds = np.array([max(1, math.ceil((n - MATCH) / MATCH)) for n in need])
+    item_type = to_arrow_type(schema["item"].dataType)
 
     def passages(numbers: np.ndarray, where: Postings, holds: np.ndarray):
         """(item number, [first word, last word] around seeds, near ones joined)."""
@@ -186,10 +192,12 @@ def _search(block: Block, threshold: float, schema: T.StructType):
         if not len(at):
             return
         shared = np.unique(gram)
-        items = np.unique(np.concatenate([where.item[where.start[g] : where.start[g + 1]] for g in shared]))
+        sizes = where.start[shared + 1] - where.start[shared]
+        place = np.repeat(where.start[shared] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        items = np.flatnonzero(np.bincount(where.item[place], where.times[place], len(seeds)) >= seeds)
         holds[numbers] = True
         holds[0] = False
-        items = [i for i in items.tolist() if most(holds[block.texts[i]]) >= threshold * full[i]]
+        items = [i for i in items.tolist() if most(holds[block.texts[i]]) >= need[i]]
         holds[numbers] = False
         for i in items:
             known, first, last = where.own[i]
@@ -200,7 +208,9 @@ def _search(block: Block, threshold: float, schema: T.StructType):
             order = np.argsort(lo, kind="stable")
             lo, hi = lo[order], np.maximum.accumulate(hi[order])
             cut = np.flatnonzero(lo[1:] > hi[:-1])
-            yield i, zip(lo[np.append(0, cut + 1)].tolist(), hi[np.append(cut, len(hi) - 1)].tolist())
+            begin, end = np.append(0, cut + 1), np.append(cut, len(hi) - 1)
+            enough = end - begin + 1 >= seeds[i]
+            yield i, zip(lo[begin[enough]].tolist(), hi[end[enough]].tolist())
 
     def run(batches):
         where, holds = postings(block), np.zeros(block.base, bool)
@@ -213,25 +223,29 @@ def _search(block: Block, threshold: float, schema: T.StructType):
                     for lo, hi in spans:
                         lo = max(lo, 0)
                         passage = numbers[lo:hi]
-                        if most(np.isin(block.texts[i], passage)) < threshold * full[i]:
+                        if most(np.isin(block.texts[i], passage)) < need[i]:
                             continue
                         score, end = align(block.texts[i], passage)
-                        best = max(best, (min(score / full[i], 1.0), lo + end))
-                    if best[0] >= threshold:
+                        best = max(best, (score, lo + end))
+                    if best[0] >= need[i]:
                         rows.append(r)
                         items.append(block.items[i])
-                        scores.append(best[0])
+                        scores.append(min(best[0] / full[i], 1.0))
                         ends.append(best[1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(scores, pa.float64()), pa.array(ends, pa.int64())],
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, item_type), pa.array(scores, pa.float64()), pa.array(ends, pa.int64())],
                 names=schema.names,
             )
 
     return run
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose key has no leak.
-    Rows with a NULL key stay unless another row with one leaks."""
-    gone = leaks(docs, benchmark, key, text, **how).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key].eqNullSafe(gone["_gone"]), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has no leak.
+
+    Each row is judged by its own text, whatever its key: rows without a key, or
+    that share one, do not drop each other. NULL and empty texts stay."""
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    narrow = docs.select(digest(docs[text]).alias("digest"), docs[text].alias("text"))
+    gone = leaks(narrow, benchmark, "digest", "text", **how).select(F.col("digest").alias("_gone")).distinct()
+    return docs.join(gone, digest(docs[text]) == gone["_gone"], "left_anti")

@@ -190,6 +190,47 @@ def test_op6_finds_copies_that_recur(spark):
     assert {r.doc_id for r in few.collect()} == {0, 2000}
 
 
+def edited(rng, words, step, how, vocabulary):
+    """Every ``step``-th word replaced, left out, or followed by another."""
+    out = []
+    for i, w in enumerate(words):
+        hit = i % step == step - 1
+        if hit and how == "replaced":
+            out.append(rng.choice(vocabulary))
+        elif not (hit and how == "lost"):
+            out.append(w)
+        if hit and how == "added":
+            out.append(rng.choice(vocabulary))
+    return out
+
+
+@pytest.mark.parametrize("size", [40, 4000])
+def test_op6_equals_alignment_of_all_pairs(spark, size):
+    """Every pair that Smith-Waterman scores at the threshold is found, with its score, for items of
+    a small and a large vocabulary and copies edited at every 2nd to 5th word."""
+    rng = random.Random(size)
+    vocabulary = [f"w{i}" for i in range(size)]
+    items = {i: rng.choices(vocabulary, k=rng.choice([3, 4, 6, 12, 25, 40, 60])) for i in range(16)}
+    docs = []
+    for _ in range(150):
+        item = items[rng.randrange(len(items))]
+        copy = edited(rng, item, rng.randrange(2, 6), rng.choice(["replaced", "lost", "added"]), vocabulary)
+        docs.append(rng.choices(vocabulary, k=rng.randrange(60)) + copy + rng.choices(vocabulary, k=rng.randrange(60)))
+    docs += [[], ["w1"], ["w1", "w2"]]
+    number = {w: i + 1 for i, w in enumerate(vocabulary)}
+    numbers = lambda ws: np.array([number[w] for w in ws], np.int64)
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, item in items.items():
+            score, full = decontaminate.align(numbers(item), numbers(doc))[0], 2 * min(len(item), 25)
+            if score >= max(0.5 * full, 6):
+                want[d, i] = min(score / full, 1.0)
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(frame, bench).collect()}
+    assert got == pytest.approx(want) and len(want) > 100
+
+
 def bag(text):
     w = (text or "").encode().split()
     return collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else collections.Counter()

@@ -48,10 +48,21 @@ def test_near_duplicates(docs, none):
     assert {r.class_id for r in got if r.doc_id in (1, 5)} == {1}
     assert {r.class_id for r in got if r.doc_id in (2, 3)} == {2}
     kept = sorted(str(r.doc_id) for r in bagminhash.one_per_class(docs).collect())
-    assert kept == sorted(["1", "2", "None", "6", "7", "8", "None"])
+    assert kept == sorted(["1", "2", "None", "6", "7", "8"])  # the second NULL key has the empty text of 2
     assert bagminhash.near_duplicates(none).count() == 0 and bagminhash.one_per_class(none).count() == 0
 
 
+def test_one_row_per_class(spark):
+    """Rows without a key, rows given more than once and one key with two texts."""
+    a, b = SENTENCE.format(1, 2), " ".join(LONG.split()[:40])
+    rows = [(None, a, 1), (None, a, 2), (4, b, 3), (4, b, 4), (4, "other words of the same key here", 5), (3, "other words of the same key here", 6), (9, None, 7), (None, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int")
+    got = bagminhash.one_per_class(docs)
+    assert got.columns == docs.columns
+    kept = sorted((str(r.doc_id), r.text) for r in got.collect())
+    assert kept == sorted([("None", a), ("4", b), ("3", "other words of the same key here"), ("9", None)])
+
+
 def test_parsing(docs, none):
     got = parsing.repeat_report(docs).collect()
     by = {r.doc_id: r for r in got if r.doc_id is not None}
@@ -82,6 +93,12 @@ def test_ring(docs, none):
     assert len(got) == len(rows()) and max(counts) - min(counts) <= 1
     for s in range(4):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
+    clash = docs.withColumnsRenamed({"lang": "_at", "kept": "_arc", "bucket": "_pos"}).selectExpr("*", "1 AS _n", "2 AS _base", "3 AS _tie", "4 AS home", "5 AS `a.b`")
+    placed = ring.shard_rows(clash, "doc_id", 4)
+    assert placed.columns == [c for c in clash.columns if c != "home"] + ["home", "shard", "slot"]
+    again = placed.collect()
+    assert {(r._n, r._base, r._tie, r["a.b"], r.rank) for r in again} == {(1, 2, 3, 5, 1)}
+    assert sorted((str(r.doc_id), r.home) for r in again) == sorted((str(r.doc_id), r.home) for r in got)
     assert ring.shard_rows(none.select("doc_id"), "doc_id", 4).count() == 0
 
 
@@ -100,6 +117,11 @@ def test_decontaminate(spark, docs, none):
     got = decontaminate.leaks(docs, items).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 4), (5, 4)}
     assert sorted(str(r.doc_id) for r in decontaminate.without_leaks(docs, items).collect()) == sorted(["2", "3", "None", "6", "7", "8", "None"])
+    named = decontaminate.leaks(docs, items.selectExpr("concat('i', item_id) AS item_id", "text")).collect()
+    assert {(r.doc_id, r.item_id) for r in named} == {(1, "i4"), (5, "i4")}
+    # A leak without a key, or under a shared one, takes no other row with it.
+    more = docs.unionByName(docs.filter("doc_id = 1").withColumn("doc_id", docs.doc_id * 0 + 8)).unionByName(docs.filter("doc_id = 1").selectExpr("CAST(NULL AS LONG) AS doc_id", *docs.columns[1:]))
+    assert sorted(str(r.doc_id) for r in decontaminate.without_leaks(more, items).collect()) == sorted(["2", "3", "None", "6", "7", "8", "None"])
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 

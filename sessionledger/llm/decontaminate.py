@@ -125,11 +125,15 @@ def most(held: np.ndarray) -> float:
     return float((total - np.minimum.accumulate(np.append(0, total[:-1]))).max())
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
-    """Best local alignment score, and the end of it in ``passage``."""
+def align(item: np.ndarray, passage: np.ndarray, need: float = 0.0) -> tuple[float, int]:
+    """Best local alignment score, and the end of it in ``passage``. Any score
+    below ``need`` may be told too low: the search ends where the item's words
+    still to come, as far as the passage holds them, cannot reach it."""
+    held = np.isin(item, passage)
+    rest = (MATCH * (held.sum() - np.cumsum(held))).tolist()
     steps = np.arange(len(passage) + 1) * -GAP
     row, best, end = np.zeros(len(passage) + 1), 0.0, 0
-    for w in item:
+    for w, more in zip(item.tolist(), rest):
         new = np.zeros(len(passage) + 1)
         new[1:] = np.maximum(row[:-1] + np.where(passage == w, MATCH, MISMATCH), row[1:] + GAP)
         np.maximum(new, 0, out=new)
@@ -137,6 +141,8 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
         top = int(new.argmax())
         if new[top] > best:
             best, end = float(new[top]), top
+        if max(best, float(new[top]) + more) < need:
+            break
         row = new
     return best, end
 
@@ -225,7 +231,7 @@ def _search(block: Block, threshold: float, schema: T.StructType):
                         passage = numbers[lo:hi]
                         if most(np.isin(block.texts[i], passage)) < need[i]:
                             continue
-                        score, end = align(block.texts[i], passage)
+                        score, end = align(block.texts[i], passage, need[i])
                         best = max(best, (score, lo + end))
                     if best[0] >= need[i]:
                         rows.append(r)

@@ -27,7 +27,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -346,9 +346,15 @@ def covers(texts: DataFrame, length: int, k: int) -> DataFrame:
     return first.filter(F.col("kind") == COVER).unionByName(second.filter(F.col("kind") == COVER))
 
 
+def order_key(column: Column, kind: T.DataType) -> Column:
+    """A key as a number: integers as they are, other types by their hash, NULL first."""
+    number = column.cast("long") if isinstance(kind, T.IntegralType) else F.when(column.isNotNull(), F.xxhash64(column.cast("string")))
+    return F.coalesce(number, F.lit(LOWEST))
+
+
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("doc_key"),
+        order_key(F.col(key), docs.schema[key].dataType).alias("doc_key"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("doc_hash"),
         F.col(text).alias("text"),
     )
@@ -373,7 +379,8 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256, and the removed
     ``spans`` as pairs of byte offsets.
 
-    Documents are ordered by key, NULL first, then by text hash; rows with
+    Documents are ordered by key, NULL first, then by text hash; keys that are no
+    integers are ordered by their hash; rows with
     equal key and text are one document and get equal results. NULL text is
     empty; a text shorter than ``length`` keeps all. Only key and text are read.
     """
@@ -382,7 +389,7 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     key_type = docs.schema[key].dataType
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("raw_text")).select(
-        F.coalesce(F.col("key").cast("long"), F.lit(LOWEST)).alias("doc_key"),
+        order_key(F.col("key"), key_type).alias("doc_key"),
         F.xxhash64(F.coalesce("raw_text", F.lit(""))).alias("doc_hash"),
         F.col("raw_text").alias("text"),
         "key",
@@ -419,7 +426,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     names, at_text = docs.columns, docs.columns.index(text)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"))
     named = whole.select(
-        F.coalesce(F.col(f"whole.`{key}`").cast("long"), F.lit(LOWEST)).alias("doc_key"),
+        order_key(F.col(f"whole.`{key}`"), docs.schema[key].dataType).alias("doc_key"),
         F.xxhash64(F.coalesce(F.col(f"whole.`{text}`"), F.lit(""))).alias("doc_hash"),
         "whole",
     )

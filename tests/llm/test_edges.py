@@ -70,6 +70,10 @@ def test_parsing(docs, none):
     assert by[1].n_removed == 0 and by[5].n_removed == by[5].n_bytes == len(LONG) and by[5].n_spans == 1
     assert by[7].n_removed == 30_000 - 100 and by[7].spans[0].start == 1 or by[7].n_removed == 30_000 - 1
     assert by[2].kept_sha256 == hashlib.sha256(b"").hexdigest()
+    named = docs.withColumn("doc_id", docs.doc_id.cast("string"))
+    told = [r for r in parsing.repeat_report(named).collect() if r.doc_id in ("1", "5")]
+    assert sorted(r.n_removed for r in told) == [0, len(LONG), len(LONG)] or sorted(r.n_removed for r in told) == [0, 0, len(LONG)]
+    assert parsing.without_repeats(named).count() == len(rows())
     left = parsing.without_repeats(docs)
     assert left.columns == docs.columns and {r.text for r in left.collect() if r.doc_id == 2} == {None}
     assert parsing.repeat_report(none).count() == 0 and parsing.without_repeats(none).count() == 0

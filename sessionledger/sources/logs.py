@@ -486,13 +486,18 @@ def file_heads(records: DataFrame, bound: int | None = None) -> DataFrame:
     )
 
 
+PARTS = 32  # of a directory's files
+
+
 def predecessor_check(heads: DataFrame) -> DataFrame:
     """Verdict per file: ``unknown`` when a file of the directory at least as
     new names this session or cannot be read, ``growing`` when one has named
     nothing yet, else ``clear``.
 
     Only each directory's newest two candidates per state matter (one of them
-    may be the file itself), so no pairs of files are formed.
+    may be the file itself), so no pairs of files are formed. They are one row a
+    directory, repeated for each of ``PARTS`` parts of its files, so that a
+    directory of any size is spread.
     """
     c = F.col
     naming = (
@@ -500,31 +505,25 @@ def predecessor_check(heads: DataFrame) -> DataFrame:
         .groupBy("dir", c("named").alias("session_id"))
         .agg(F.max("modified").alias("_by"))
     )
+    # The group limit runs before the shuffle: two rows per task, directory and state.
     w = Window.partitionBy("dir", "state").orderBy(c("modified").desc(), "session_id")
+    held = lambda state, r: (c("state") == state) & (c("_r") == r)
     top = (
         heads.filter(c("state").isin("unknown", "ended"))
         .withColumn("_r", F.row_number().over(w))
         .filter(c("_r") <= 2)
-        .groupBy("dir", "state")
-        .agg(
-            F.max(F.when(c("_r") == 1, F.struct("session_id", "modified"))).alias("one"),
-            F.max(F.when(c("_r") == 2, F.struct("session_id", "modified"))).alias("two"),
-        )
+        .groupBy("dir")
+        .agg(*[F.max(F.when(held(s, r), F.struct("session_id", "modified"))).alias(f"{s}{r}") for s in ("unknown", "ended") for r in (1, 2)])
     )
-
-    def side(state):
-        return top.filter(c("state") == state).select("dir", c("one").alias(f"{state}1"), c("two").alias(f"{state}2"))
+    top = top.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
 
     def newest(state):
         return F.when(c(f"{state}1.session_id") != c("session_id"), c(f"{state}1.modified")).otherwise(
             c(f"{state}2.modified")
         )
 
-    j = (
-        heads.join(naming, ["dir", "session_id"], "left")
-        .join(side("unknown"), "dir", "left")
-        .join(side("ended"), "dir", "left")
-    )
+    salted = heads.join(naming, ["dir", "session_id"], "left").withColumn("_salt", F.pmod(F.hash("session_id"), F.lit(PARTS)))
+    j = salted.join(top, ["dir", "_salt"], "left")
     no = lambda x: F.coalesce(x, F.lit(False))
     m = c("modified")
     verdict = (

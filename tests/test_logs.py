@@ -1,6 +1,7 @@
 """Real log files: split lines, strict numbers, identities and order."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -162,3 +163,27 @@ def test_rollout_log(spark, tmp_path):
     assert us.compactions_a(rec).first()["compactions"] == 2
     turns = tn.turn_records_a(rec.filter("opens OR closes").select("session_id", "ord", "opens", "key", "start", "end", "outcome"), 10**6)
     assert tn.turn_summary_a(turns).first()["total_s"] == 4
+
+
+def test_hot_directory_of_predecessors(spark):
+    """A third of all files lie in one directory; its rows are dealt over many tasks."""
+    rng = random.Random(2)
+    files = [("hot" if i % 3 == 0 else f"d{i % 40}", i, rng.randrange(500), rng.choice(["named", "clear", "clear", "unknown", "ended"] if i % 3 else ["named", "clear"])) for i in range(900)]
+    files += [("hot", 900, 450, "unknown"), ("hot", 901, 470, "ended"), ("hot", 902, 460, "ended"), ("hot", 903, 470, "clear")]
+    files = [(d, s, m, state, rng.randrange(900) if state == "named" else None) for d, s, m, state in files]
+    heads = spark.createDataFrame(files, "dir string, session_id long, modified long, state string, named long")
+    plain = {}
+    for d, s, m, _, _ in files:
+        others = [f for f in files if f[0] == d and f[1] != s and f[2] >= m]
+        poor = any(f[3] == "unknown" or f[4] == s for f in others)
+        plain[s] = "unknown" if poor else "growing" if any(f[3] == "ended" for f in others) else "clear"
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = lg.predecessor_check(heads).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.session_id: r.verdict for r in got} == plain and len(set(plain.values())) == 3
+    assert len({r.task for r in got if r.dir == "hot"}) > 4

@@ -12,6 +12,7 @@ from ..operators import turns as tn
 from ..operators import usage as us
 from ..plans import scratch_path
 from ..sources import logs as lg
+from ..sources import parts as pt
 from ..sources import snapshots as sn
 from .records import TEL_SQL, telemetry
 from .registry import query
@@ -85,9 +86,9 @@ def transcript_lines(spark, d):
 
 def transcript(spark, d):
     path = scratch_path(spark, "segments")
-    lg.write_log_segments(transcript_lines(spark, d), path)
-    lines = lg.read_log_segments(spark, path, "$.log")
-    records = lg.transcript_records(lg.parse_transcript(lines))
+    pt.write_log_parts(transcript_lines(spark, d), path)
+    lines = pt.read_log_parts(spark, path, "$.log")
+    records = pt.in_session_order(lg.transcript_records(lg.parse_transcript(lines)), path)
     # Text is parsed once; the operators read the written record table.
     table_path = scratch_path(spark, "records")
     records.withColumn("session_id", F.col("session_id").cast("long")).write.parquet(table_path)

@@ -9,12 +9,12 @@ from ..functions import guards as g
 from ..functions.scalars import turn_key
 from ..operators import classify as cl
 
-_SEGMENT = 1 << 40
+SEGMENT = 1 << 40
 _ROW = (1 << 33) - 1
 SESSION_FROM_NAME = {"A": r"-([A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)*)\.jsonl$", "B": r"([A-Za-z0-9_-]+)\.jsonl$"}
 
 
-def _ordered(lines: DataFrame) -> DataFrame:
+def log_order(lines: DataFrame) -> DataFrame:
     """Add ``file`` and ``ord``, the place of a line in its log.
 
     ``ord`` is the segment number of a written part (0 for a plain file), then
@@ -30,7 +30,7 @@ def _ordered(lines: DataFrame) -> DataFrame:
         "value",
         meta.file_path.alias("file"),
         meta.file_modification_time.alias("modified"),
-        (segment * _SEGMENT + meta.file_block_start + row).alias("ord"),
+        (segment * SEGMENT + meta.file_block_start + row).alias("ord"),
     )
 
 
@@ -41,7 +41,7 @@ def read_session_log(spark: SparkSession, path: str, fmt: str = "B", pattern: st
     """
     name = pattern or SESSION_FROM_NAME[fmt]
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    rows = _ordered(lines).filter(F.length("value") > 0)
+    rows = log_order(lines).filter(F.length("value") > 0)
     session = F.regexp_extract("file", name, 1)
     return rows.withColumn("session_id", F.when(session != "", session))
 
@@ -49,7 +49,7 @@ def read_session_log(spark: SparkSession, path: str, fmt: str = "B", pattern: st
 def read_log_segments(spark: SparkSession, path: str, session_path: str = "$.sessionId") -> DataFrame:
     """Lines of shared segment files (many sessions each), as written by
     :func:`write_log_segments`; the log's session id is inside the record."""
-    rows = _ordered(spark.read.text(path)).filter(F.length("value") > 0)
+    rows = log_order(spark.read.text(path)).filter(F.length("value") > 0)
     return rows.withColumn("session_id", F.get_json_object("value", session_path))
 
 

@@ -12,6 +12,7 @@ from ..operators import turns as tn
 from ..operators import usage as us
 from ..plans import scratch_path
 from ..sources import logs as lg
+from ..sources import paged as pg
 from ..sources import parts as pt
 from ..sources import snapshots as sn
 from .records import TEL_SQL, telemetry
@@ -277,9 +278,11 @@ def _(spark, d):
 
 
 # ------------------------------------------------------------------ snapshots
-def _docs(spark, d):
-    x = f2(spark, d).select(F.col("sampled_at").alias("at"), "host", "agent", "status", "project")
-    return sn.nest_snapshot(x)
+def _snapshots(spark, d):
+    """F2 written in pages under their hash tree."""
+    path = scratch_path(spark, "snapshots")
+    pg.write_paged(f2(spark, d).withColumnRenamed("sampled_at", "at"), path)
+    return path
 
 
 @query(
@@ -287,15 +290,9 @@ def _docs(spark, d):
     with_ctes(F2_SQL, body="""SELECT sampled_at::DOUBLE AS "at", CAST(host AS VARCHAR) AS host, CAST(agent AS VARCHAR) AS agent, status, project FROM f2"""),
 )
 def _(spark, d):
-    path = scratch_path(spark, "snapshots")
-    sn.write_snapshot(_docs(spark, d), path)
-    schema = sn.SNAPSHOT_SCHEMA.replace("agents:array<struct<id:string", "agents:array<struct<agent:string")
-    docs = sn.read_snapshot(spark, path, schema)
-    named = docs.withColumn(
-        "hosts",
-        F.transform("hosts", lambda h: h.withField("agents", F.transform(h.agents, lambda a: a.withField("id", a.agent)))),
-    )
-    return sn.explode_snapshot(named).select("at", "host", "agent", "status", "project")
+    rows = pg.explode_pages(pg.read_level(spark, _snapshots(spark, d), "pages"))
+    text = lambda n: F.col(n).cast("string").alias(n)
+    return rows.select(F.col("at").cast("double").alias("at"), text("host"), text("agent"), "status", "project")
 
 
 @query(
@@ -303,11 +300,23 @@ def _(spark, d):
     with_ctes(F2_SQL, body="""SELECT sampled_at AS "at", count(DISTINCT host) AS hosts, count(*) AS agents FROM f2 GROUP BY 1"""),
 )
 def _(spark, d):
-    path = scratch_path(spark, "snapshots")
-    sn.write_snapshot(_docs(spark, d), path)
-    docs = sn.read_snapshot(spark, path, "at bigint, hosts array<struct<id:bigint,agents:array<struct<agent:bigint>>>>")
-    agents = F.aggregate(F.transform("hosts", lambda h: F.size(h.agents)), F.lit(0), lambda a, n: a + n)
-    return docs.select("at", F.size("hosts").cast("long").alias("hosts"), agents.cast("long").alias("agents"))
+    return pg.read_level(spark, _snapshots(spark, d), "fleets").select("at", "hosts", "agents")
+
+
+@query(
+    "snapshot_changes",
+    with_ctes(
+        F2_SQL,
+        """c AS (SELECT sampled_at AS "at", host, agent, status, project, count(*) AS n FROM f2 GROUP BY ALL),
+p AS (SELECT "at", lag("at") OVER (ORDER BY "at") AS prev FROM (SELECT DISTINCT "at" FROM c)),
+x AS (SELECT p."at", host, agent, status, project, 0 AS n_before, n AS n_now FROM p JOIN c ON c."at" = p."at"
+  UNION ALL SELECT p."at", host, agent, status, project, n, 0 FROM p JOIN c ON c."at" = p.prev)""",
+        body="""SELECT "at", host, agent, status, project, CAST(sum(n_before) AS BIGINT) AS n_before, CAST(sum(n_now) AS BIGINT) AS n_now
+ FROM x GROUP BY ALL HAVING sum(n_before) <> sum(n_now)""",
+    ),
+)
+def _(spark, d):
+    return pg.snapshot_changes(spark, _snapshots(spark, d))
 
 
 # --------------------------------------------------------------------- packed

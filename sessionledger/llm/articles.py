@@ -22,17 +22,21 @@ from .common import in_arrow, landed
 from .urls import split_url
 
 #: Pages that make a subtree template: a few if they are much of a small host,
-#: many if they are not just stray ones of a large host, and ALWAYS on any host.
+#: many if they are not just stray ones of a large host; the more, the less of it.
 MIN_PAGES, MIN_SHARE = 3, 0.3
 MANY, MANY_SHARE = 10, 0.02
-ALWAYS = 100
+MASS, MASS_SHARE = 100, 0.005
+
+#: Code points from which a block is prose and no caption, link or button.
+PROSE = 100
 
 MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^"'>])*)(?P<close>>|\Z)|<[!?][^>]*(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?P<close>>|\Z)|<[!?][^>]*(?:>|\Z)""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+#: A quote opens a value only where it begins one; names inside values are none.
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "title", "textarea", "noscript", "xmp", "iframe", "noembed", "noframes"}
@@ -40,13 +44,25 @@ JUNK_TAGS = {
     "head", "nav", "footer", "aside", "form", "template", "button", "select", "svg", "math", "dialog", "menu",
     "object", "canvas", "audio", "video", "datalist", *RAW,
 }
-#: Words of class and id names, cut at anything but letters and digits.
+#: Words of class and id names, cut at anything but letters and digits. The
+#: first list holds wherever a name has one of its words.
 JUNK_NAMES = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo",
-    "promotion", "banner", "sidebar", "comment", "comments", "respond", "reply", "replies", "disqus", "cookie",
-    "cookies", "consent", "gdpr", "notice", "newsletter", "subscribe", "subscription", "signup", "share", "sharing",
-    "social", "related", "recommended", "breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation",
-    "topbar", "footer", "popup", "modal", "overlay", "paywall", "widget", "pagination", "pager", "toolbar", "skip",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "sidebar",
+    "comments", "disqus", "cookie", "cookies", "consent", "gdpr", "newsletter", "breadcrumb", "breadcrumbs", "nav",
+    "navbar", "navigation", "footer", "popup", "modal", "paywall", "pagination",
+}
+#: These words are also ordinary ones, so around prose of an article they count
+#: only in names made of nothing but them, the first list and words of layout.
+WEAK_NAMES = {
+    "promo", "promotion", "banner", "comment", "respond", "reply", "replies", "notice", "subscribe", "subscription",
+    "signup", "share", "sharing", "social", "related", "recommended", "menu", "topbar", "overlay", "widget", "pager",
+    "toolbar", "skip",
+}
+LAYOUT_NAMES = {
+    "a", "area", "article", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content",
+    "form", "group", "head", "icon", "icons", "inner", "item", "items", "js", "left", "link", "links", "list", "main",
+    "media", "outer", "page", "panel", "post", "posts", "right", "row", "section", "site", "slot", "thread", "to",
+    "top", "unit", "us", "wrap", "wrapper",
 }
 JUNK_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 BLOCKS = {
@@ -76,21 +92,33 @@ def hash_text(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
+def is_junk_name(value: str, inside: bool) -> bool:
+    for name in value.lower().split():
+        words = {w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()}
+        if not words.isdisjoint(JUNK_NAMES):
+            return True
+        weak = words & WEAK_NAMES
+        if weak and (not inside or words <= WEAK_NAMES | LAYOUT_NAMES):
+            return True
+        if not inside and not {"header", "masthead"}.isdisjoint(words):
+            return True
+    return False
+
+
 def is_junk(tag: str, attrs: str, inside: bool) -> bool:
     if tag in JUNK_TAGS or (tag == "header" and not inside):
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
-    if HIDDEN.search(attrs):
-        return True
     for name, *values in ATTRIBUTE.findall(attrs):
-        value = "".join(values).lower()
-        if name.lower() == "role":
-            if value.strip() in JUNK_ROLES:
-                return True
-        elif not JUNK_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
+            return True
+        if name == "style" and NO_DISPLAY.search(value):
+            return True
+        if name == "role" and value.strip().lower() in JUNK_ROLES:
             return True
-        elif not inside and not {"header", "masthead"}.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "id") and is_junk_name(value, inside):
             return True
     return False
 
@@ -99,7 +127,8 @@ def page_blocks(page: str) -> list[tuple[str, list[int]]]:
     """The blocks of text in page order, each with its subtrees' hashes.
 
     If the page has an ``article``, only blocks in one count, else those in a
-    ``main``, else those of the body."""
+    ``main``, else those of the body. A scope beside which there is more prose
+    than in it is a teaser and limits nothing."""
     stack = [Node("html", False, 0)]
     found: list[tuple[str, list[Node], int]] = []
     text: list[str] = []
@@ -168,7 +197,9 @@ def page_blocks(page: str) -> list[tuple[str, list[int]]]:
         scope = inner
     flush()
     best = max((s for _, _, s in found), default=0)
-    return [(words, [x.hash for x in nodes]) for words, nodes, s in found if s == best]
+    while best and sum(len(w) for w, _, s in found if s >= best) < sum(len(w) for w, _, s in found if s < best and len(w) >= PROSE):
+        best -= 1
+    return [(words, [x.hash for x in nodes]) for words, nodes, s in found if s >= best]
 
 
 def blocks_of(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
@@ -201,7 +232,7 @@ def is_template(n: Column, pages: Column, min_pages: int, min_share: float) -> C
     """Whether ``n`` distinct contents of a host's ``pages`` make a template."""
     few = (n >= min_pages) & (n >= min_share * pages)
     many = (n >= MANY) & (n >= MANY_SHARE * pages)
-    return few | many | (n >= ALWAYS)
+    return few | many | ((n >= MASS) & (n >= MASS_SHARE * pages))
 
 
 def templates(blocks: DataFrame, min_pages: int, min_share: float) -> DataFrame:
@@ -223,7 +254,7 @@ def main_text(
 
     A subtree is template if enough distinct contents of its host hold it:
     ``min_pages`` and ``min_share`` of the host's, or MANY and MANY_SHARE, or
-    ALWAYS. NULL and empty html give an empty text; a NULL url or one without a host belongs to
+    MASS and MASS_SHARE. NULL and empty html give an empty text; a NULL url or one without a host belongs to
     the host of empty name. Broken markup is read as far as it goes. Repeated
     rows give equal results; other columns are not read.
     """

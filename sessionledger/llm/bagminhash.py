@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ from .shingles import bags, shingles, word_hashes
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no band once in 20,000 pairs
 BLOCK = 1024  # texts outside a group's main component compared at a time
 SLICE = 1024  # texts of the group they are compared with in one task
+HEAVY = 2000  # groups of at least a 2000th of all rows are joined where the rows are
 TEXT_BYTES = 4 << 20  # texts hashed at a time
 
 
@@ -240,6 +241,20 @@ def units(data: bytes) -> np.ndarray:
     return np.where(nth == 0, x[of], mix64(x[of] + nth.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
 
 
+def joined_by_size(rows: DataFrame, table: DataFrame, on: str, size: str, wanted: Column) -> DataFrame:
+    """``rows`` joined with the ``wanted`` rows of ``table``, which has one row a
+    value of ``on`` and the number of ``rows`` that hold it.
+
+    No more than HEAVY values can hold a HEAVY-th of all rows each, so these are
+    broadcast, at most HEAVY narrow rows, and their rows stay where they are.
+    The others are shuffled: none brings a task more than a HEAVY-th of all."""
+    total = rows.count()
+    heavy = F.col(size) * HEAVY >= total
+    hot = rows.join(F.broadcast(table.filter(heavy & wanted)), on)
+    rest = rows.join(F.broadcast(table.filter(heavy).select(on)), on, "left_anti")
+    return hot.unionByName(rest.join(table.filter(~heavy & wanted), on))
+
+
 def block_links(groups: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
     """Links (tid, leader) that tie the components of each group.
 
@@ -248,13 +263,15 @@ def block_links(groups: DataFrame, features: DataFrame, threshold: float) -> Dat
     of the former by slices of about SLICE of the latter, so a task's share is
     bounded whatever the group; it yields one link for two components at most.
     """
+    groups = landed(groups, "placed")
     sizes = groups.groupBy("leader", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("leader").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("top"))
-    mixed = largest.filter("top < total").withColumns(
+    laid = landed(largest, "sizes").withColumns(
         {"blocks": F.ceil((F.col("total") - F.col("top")) / BLOCK).cast("int"), "slices": F.ceil(F.col("total") / SLICE).cast("int")}
     )
     own = {"block": F.pmod(F.xxhash64("tid"), F.col("blocks")), "slice": F.pmod(F.hash("tid"), F.col("slices"))}
-    placed = groups.join(mixed, "leader").select(
+    mixed = joined_by_size(groups, laid, "leader", "total", F.col("top") < F.col("total"))
+    placed = mixed.select(
         "leader", "tid", "comp", "main", "blocks", "slices", *[c.cast("int").alias(n) for n, c in own.items()]
     )
     full = landed(placed, "mixed").join(features, "tid")

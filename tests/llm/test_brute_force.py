@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sessionledger.llm import QUERIES, bagminhash, common, decontaminate, language, materialise, packing, parsing, quality
@@ -355,3 +356,20 @@ def test_op2(spark):
             assert np.allclose(got[i]["_entropy"], want, rtol=1e-5)
         langs = [r.lang_pred for r in language.predicted(docs, model).orderBy("doc_id").collect()]
         assert langs[:2] == ["a", "b"] and langs[3:] == ["und", "und", "und", "a"]
+
+
+@pytest.mark.parametrize("heavy", [1, 40, 10**6])
+def test_join_by_size_leaves_hot_rows_where_they_are(spark, monkeypatch, heavy):
+    """A third of the rows hold one value; the join has them in as many tasks as they came in."""
+    monkeypatch.setattr(bagminhash, "HEAVY", heavy)
+    rows = spark.range(0, 3000, 1, 12).selectExpr("IF(id % 3 = 0, -1, id % 700) AS leader", "id AS tid")
+    table = rows.groupBy("leader").agg(F.count("*").alias("total"))
+    got = bagminhash.joined_by_size(rows, table, "leader", "total", F.col("leader") % 2 != 0).withColumn("task", F.spark_partition_id()).collect()
+    size = collections.Counter(-1 if i % 3 == 0 else i % 700 for i in range(3000))
+    assert sorted((r.tid, r.leader, r.total) for r in got) == [
+        (i, k, size[k]) for i in range(3000) for k in [-1 if i % 3 == 0 else i % 700] if k % 2
+    ]
+    if heavy > 3:
+        assert len({r.task for r in got if r.leader == -1}) == 12
+    empty = bagminhash.joined_by_size(rows.limit(0), table.limit(0), "leader", "total", F.lit(True))
+    assert empty.count() == 0

@@ -235,38 +235,50 @@ class Record(NamedTuple):
     repeated: bool
 
 
+_LETTERS: dict[tuple, Letter] = {}
+
+
+def letter(role, lost, foreign, timed, quiet, masks, keyed, spent, measured, possible, facts: tuple) -> Letter:
+    """The letter of a record; ``facts`` are its inputs ``injected`` to ``take`` and ``background``."""
+    injected, command, final_stop, local_output, local_command, prompt, take, background = facts
+    if foreign:
+        return Letter("foreign")
+    if lost is not None:
+        return Letter("break_queue" if lost == "queue" else "break")
+    kind = KINDS.get(role, "plain") if role != "queue" else "take" if take else "nothing"
+    out = Letter(kind, timed, quiet, bool(masks))
+    if kind == "ask":
+        return out._replace(injected=bool(injected), command=bool(command), keyed=keyed, spent=spent)
+    if kind == "reply":
+        return out._replace(final=bool(final_stop))
+    if kind == "plain":
+        if role == "ignored":
+            return out._replace(prompt=bool(prompt), local_command=bool(local_command), local_output=bool(local_output))
+        return out._replace(kind="nothing")
+    if measured:
+        return out._replace(measured=True, possible=possible, background=bool(background))
+    return out
+
+
 def read(row: tuple, used=()) -> Record:
-    """The record as a letter. ``used`` are repeated keys that have finished a turn, asked where the record does not say."""
-    r = dict(zip([*INPUTS, SPENT], row))
-    stamp, elapsed = r["stamp"], r["elapsed_ms"]
+    """The record as a letter. ``used`` are repeated keys that have finished a turn, asked where the record does not say.
+    Letters are worked out once for all records that say the same."""
+    ord, role, lost, foreign, key, repeated, stamp, *facts, elapsed, background, masks, children_ok, running = row[: len(INPUTS)]
     second = stamp // SECOND if stamp is not None else None
     timed = bool(second)
-    begun = None
-    if r["foreign"]:
-        letter = Letter("foreign")
-    elif r["lost"] is not None:
-        letter = Letter("break_queue" if r["lost"] == "queue" else "break")
-    else:
-        role = r["role"]
-        kind = KINDS.get(role, "plain") if role != "queue" else "take" if r["take"] else "nothing"
-        quiet = r["children_ok"] and r["children_running"] == 0
-        letter = Letter(kind, timed, bool(quiet), bool(r["masks"]))
-        if kind == "ask":
-            spent = r.get(SPENT)
-            spent = r["repeated"] and r["key"] in used if spent is None else spent
-            letter = letter._replace(injected=bool(r["injected"]), command=bool(r["command"]), keyed=r["key"] is not None and timed, spent=bool(spent))
-        elif kind == "reply":
-            letter = letter._replace(final=bool(r["final_stop"]))
-        elif kind == "plain":
-            if role == "ignored":
-                letter = letter._replace(prompt=bool(r["prompt"]), local_command=bool(r["local_command"]), local_output=bool(r["local_output"]))
-            else:
-                letter = letter._replace(kind="nothing")
-        elif kind == "end" and elapsed is not None:
-            possible = stamp is not None and stamp >= elapsed * 1000
-            begun = (stamp - elapsed * 1000) // SECOND if possible else None
-            letter = letter._replace(measured=True, possible=possible, background=bool(r["background"]))
-    return Record(letter, r["ord"], second, stamp, begun, r["key"], bool(r["repeated"]))
+    plain = not foreign and lost is None
+    begun, possible, spent = None, False, False
+    measured = plain and role == "end" and elapsed is not None
+    if measured:
+        possible = stamp is not None and stamp >= elapsed * 1000
+        begun = (stamp - elapsed * 1000) // SECOND if possible else None
+    elif plain and role == "trigger":
+        spent = row[len(INPUTS)] if len(row) > len(INPUTS) else None
+        spent = bool(repeated and key in used if spent is None else spent)
+    says = (role, lost, foreign, timed, bool(children_ok and running == 0), masks, key is not None and timed, spent, measured, possible, (*facts, background))
+    if says not in _LETTERS:
+        _LETTERS[says] = letter(*says)
+    return Record(_LETTERS[says], ord, second, stamp, begun, key, bool(repeated))
 
 
 # ------------------------------------------------------------- one state, record by record

@@ -1,6 +1,7 @@
 """Sequential state machines over ordered keys, split so no key sits in one task.
 
-Rows of a key are cut into chunks of at most ``span`` consecutive order values. Keys
+A key of more than ``span`` rows is cut into chunks of at most ``span`` consecutive order
+values; any other key is one chunk, however far its orders lie apart. Keys
 of one chunk are replayed once; of longer keys each chunk's entry state is found
 first, in one of two ways, and then all chunks are replayed side by side.
 
@@ -290,35 +291,35 @@ def chunked_fold(
     Only keys longer than one chunk run the settling passes; their rows and the
     small per-chunk states are checkpointed between passes. Which keys are long
     is read from ``extent`` where given, a cheaper frame with the same keys and
-    orders (a superset will do).
+    orders (a superset will do). A long key has more than ``span`` rows, so there
+    are few of them, however many keys there are.
     """
     spark = df.sparkSession
     ship_package(spark)
     span = span or int(spark.conf.get(SPAN_CONF, str(DEFAULT_SPAN)))
     ord = machine.inputs[0]
     whole = F.struct(*keys)
-    rows = df.select(
-        *keys, whole.alias(KEY), chunk_number(ord, span).alias(CHUNK), *machine.inputs
-    )
+    rows = df.select(*keys, whole.alias(KEY), *machine.inputs)
     if machine.prefix:
         rows = rows.withColumn(machine.prefix.answer, F.lit(None).cast("boolean"))
     at = [KEY, CHUNK]
+    ensure_checkpoint_dir(spark)
     long_keys = (
         (rows if extent is None else extent)
         .groupBy(whole.alias(KEY))
-        .agg(chunk_number(F.min(ord), span).alias("_lo"), chunk_number(F.max(ord), span).alias("_hi"))
-        .filter("_lo < _hi")
-    )
-    none = rows.withColumns(
-        {"entry": F.lit(None).cast("string"), "entry_hi": F.lit(None).cast("long")}
+        .agg(chunk_number(F.min(ord), span).alias("_lo"), chunk_number(F.max(ord), span).alias("_hi"), F.count(F.lit(1)).alias("_rows"))
+        .filter((F.col("_lo") < F.col("_hi")) & (F.col("_rows") > span))
+        .checkpoint()
     )
     chunks = long_keys.agg(F.max(F.col("_hi") - F.col("_lo") + 1)).first()[0]
     if chunks is None:
-        return _replay(none, keys, machine, events=True)
+        none = {CHUNK: F.lit(0).cast("long"), "entry": F.lit(None).cast("string"), "entry_hi": F.lit(None).cast("long")}
+        return _replay(rows.withColumns(none), keys, machine, events=True)
 
-    ensure_checkpoint_dir(spark)
+    cut = F.broadcast(long_keys.select(KEY, F.lit(True).alias("_cut")))
+    rows = rows.join(cut, KEY, "left").withColumn(CHUNK, F.when(F.col("_cut"), chunk_number(ord, span)).otherwise(0)).drop("_cut")
     if machine.prefix:
-        return _prefix_fold(rows, keys, machine, long_keys.select(KEY, "_lo").checkpoint(), chunks)
+        return _prefix_fold(rows, keys, machine, long_keys.select(KEY, "_lo"), chunks)
     hot = rows.join(long_keys.select(KEY), KEY, "left_semi").checkpoint()
     guess = hot.withColumns(
         {"entry": F.lit(None).cast("string"), "entry_hi": F.lit(None).cast("long")}

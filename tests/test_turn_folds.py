@@ -103,6 +103,25 @@ def test_one_key_with_every_row(spark):
     assert plain(cut) == plain(chunked_fold(df, ["session_id"], tn.MACHINE_B, WHOLE))
 
 
+def test_few_rows_far_apart_are_one_chunk(spark):
+    """A key is cut by its rows, not by how far its orders lie apart."""
+    made = logs(5, sessions=8)
+    df = frame(spark, made)
+    wide = df.withColumn("ord", F.col("ord") * 1000)
+    cut = tn.turn_events_b(wide, 1000)
+    assert cut.filter(F.col("event") == STATE).count() == len(made)
+    near = cut.withColumn("ord", F.expr("ord div 1000"))
+    assert plain(near) == plain(tn.turn_events_b(df, WHOLE))
+    # Rows told by an extent count, and a long key is cut beside short ones.
+    rows, _ = true_log(random.Random(6), 99, 40, 0.2)
+    both = df.unionByName(spark.createDataFrame(rows, B_SCHEMA))
+    span = max(len(r) for r, _ in made.values())
+    mixed = tn.turn_events_b(both, span, both)
+    states = {r[0]: r[1] for r in mixed.filter(F.col("event") == STATE).groupBy("session_id").count().collect()}
+    assert states.pop(99) > 1 and set(states.values()) == {1}
+    assert plain(mixed) == plain(tn.turn_events_b(both, WHOLE))
+
+
 def test_published_turns_are_true_or_unknown(spark):
     made = logs(2, sessions=150)
     events = tn.turn_events_b(frame(spark, made), 50)

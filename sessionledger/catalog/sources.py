@@ -202,8 +202,11 @@ def _(spark, d):
     """Keyed turns from rollout text. Torn lines hold child records only."""
     rec = lg.parse_rollout(rollout(spark, d)).filter("opens OR closes")
     rec = rec.withColumn("session_id", F.col("session_id").cast("long"))
-    records = tn.turn_records_a(rec.select("session_id", "ord", "opens", "key", "start", "end", "outcome"), NOW_S)
-    return tn.turn_summary_a(records)
+    # Text is parsed once; the fold and its summaries read the written record table.
+    path = scratch_path(spark, "rollout-records")
+    rec.select("session_id", "ord", "opens", "key", "start", "end", "outcome").write.parquet(path)
+    rec = spark.read.parquet(path)
+    return tn.turn_summary_a(tn.turn_records_a(rec, NOW_S), extent=rec)
 
 
 # ------------------------------------------------------------ whole-file rules

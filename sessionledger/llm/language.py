@@ -5,7 +5,7 @@ runs of anything else as one blank. Counts are gathered from all labelled
 texts. Log probabilities of all languages lie side by side in one array per
 order, found by sorted 64-bit hashes of the n-grams; an n-gram that no
 language knows goes down an order. The language of least mean cross-entropy
-per character wins; its certainty is calibrated on a sample of labelled texts.
+per character wins; its certainty is calibrated on all labelled texts.
 
 No n-gram is left out. The n-grams of orders 4 and 3 are cut into blocks by the
 two characters that stand before the last but one and before the last, which
@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,8 @@ from .common import in_arrow, landed, mix64, run_starts
 
 ORDER = 4
 CELLS = 1 << 23  # n-grams times languages of one block of a model
-CALIBRATION_ROWS = 2000  # labelled texts that the certainty is fitted on
+HEATS = [2.0**k for k in np.arange(0, 9.1, 0.5)]  # tried for the certainty
+GRID = 4096  # steps per unit of entropy in which texts are counted
 SLICE = 2 << 20  # characters scored at a time
 EDGE = 2  # stands before a text
 UNKNOWN = "und"
@@ -243,21 +244,35 @@ class Model:
         self.langs, self.blocks = langs, blocks
         self.heat, self.ceiling = 1.0, np.full(len(langs), np.inf)
 
-    def calibrate(self, langs: list[str], entropy: np.ndarray) -> None:
-        """The heat that makes the labels likeliest, and per language the
-        entropy that 999 of 1000 of its texts stay below."""
-        true = np.array([self.langs.index(x) for x in langs])
-        rows = np.arange(len(true))
-
-        def loss(heat: float) -> float:
-            x = -heat * (entropy - entropy.min(1, keepdims=True))
-            return float((np.log(np.exp(x).sum(1)) - x[rows, true]).sum())
-
-        if len(true):
-            self.heat = min((2.0**k for k in np.arange(0, 9.1, 0.5)), key=loss)
-        for i in range(len(self.langs)):
-            if len(own := entropy[true == i, i]):
-                self.ceiling[i] = float(np.quantile(own, 0.999))
+    def calibrate(self, rows: DataFrame) -> None:
+        """The heat that makes the labels of ``rows`` (lang, _entropy) likeliest, and per language
+        the entropy, rounded up to a step of the grid, that 999 of 1000 of its texts stay below.
+
+        Every row counts. The driver gets one sum per heat and one bound per language; a
+        language's texts are counted per step, whose number the entropy bounds."""
+        langs = self.langs
+
+        def run(batches):
+            sums = np.zeros(len(HEATS))
+            for batch in batches:
+                if batch.num_rows:
+                    entropy = batch.column("_entropy").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))
+                    true = np.array([langs.index(x) for x in batch.column("lang").to_pylist()])
+                    above = entropy - entropy.min(1, keepdims=True)
+                    own = above[np.arange(len(true)), true]
+                    sums += [(np.log(np.exp(-heat * above).sum(1)) + heat * own).sum() for heat in HEATS]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(HEATS)), pa.int32()), pa.array(sums)], names=["heat", "loss"])
+
+        losses = in_arrow(rows.select("lang", "_entropy"), run, "heat int, loss double").groupBy("heat").agg(F.sum("loss").alias("loss"))
+        loss = {r.heat: r.loss for r in losses.collect()}
+        self.heat = HEATS[min(loss, key=lambda i: (loss[i], i))] if any(loss.values()) else 1.0
+        own = F.element_at("_entropy", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int"))
+        steps = rows.groupBy("lang", F.floor(own * GRID).alias("step")).agg(F.count("*").alias("n"))
+        every = Window.partitionBy("lang")
+        below = F.sum("n").over(every.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+        counted = steps.select("lang", "step", below.alias("below"), F.sum("n").over(every).alias("of"))
+        for r in counted.filter("below * 1000 >= of * 999").groupBy("lang").agg(F.min("step").alias("step")).collect():
+            self.ceiling[langs.index(r.lang)] = (r.step + 1) / GRID
 
 
 def discounts_of(counts: DataFrame) -> dict[str, float]:
@@ -267,8 +282,16 @@ def discounts_of(counts: DataFrame) -> dict[str, float]:
     return {r.lang: min(max(r.ones / max(r.ones + 2 * r.twos, 1), 0.1), 0.9) for r in rows}
 
 
-def fitted(labelled: DataFrame, cells: int = CELLS, calibration_rows: int = CALIBRATION_ROWS, seed: int = 3) -> Model | None:
-    """The model of ``labelled`` (lang, text; no NULL lang); None without any.
+def fitted(labelled: DataFrame, cells: int = CELLS) -> Model | None:
+    """The model of ``labelled`` (lang, text; no NULL lang), calibrated on all of it; None without any."""
+    model = learned(labelled, cells)
+    if model is not None:
+        model.calibrate(landed(with_entropy(labelled, model, "text", ["lang"]).filter("_known").select("lang", "_entropy"), "entropies"))
+    return model
+
+
+def learned(labelled: DataFrame, cells: int = CELLS) -> Model | None:
+    """The model of ``labelled``, not calibrated.
 
     The driver holds one block at a time, of about ``cells`` cells, and the
     pairs of characters that occur, whose number the alphabet bounds.
@@ -305,11 +328,7 @@ def fitted(labelled: DataFrame, cells: int = CELLS, calibration_rows: int = CALI
         one = [OneLanguage(g, p, {o: d[lang] for o, d in discounts.items()}) for lang, g, p in zip(langs, grams, pairs)]
         both = (np.concatenate([chars for chars, _ in parts]) for parts in (grams, pairs))
         blocks.append(spark.sparkContext.broadcast(Block(number, n_blocks, one, *both)))
-    model = Model(langs, blocks)
-    sample = labelled.sample(min(1.0, calibration_rows / max(labelled.count(), 1)), seed=seed)
-    rows = with_entropy(sample, model, "text", ["lang"]).filter("_known").select("lang", "_entropy").collect()
-    model.calibrate([r.lang for r in rows], np.array([r["_entropy"] for r in rows]).reshape(len(rows), len(langs)))
-    return model
+    return Model(langs, blocks)
 
 
 def block_sums(docs: DataFrame, block, keep: list[str]) -> DataFrame:
@@ -350,6 +369,20 @@ def with_entropy(docs: DataFrame, model: Model, text: str, keep: list[str]) -> D
     return rows.select(*keep, "_known", per_place.alias("_entropy"))
 
 
+def identified(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, cells: int = CELLS) -> DataFrame:
+    """``predicted`` by the model ``fitted`` to the documents where ``learn`` is true and lang is
+    not NULL, with every text scored once for both."""
+    known = learn & F.col("lang").isNotNull()
+    model = learned(docs.filter(known).select("lang", F.col(text).alias("text")), cells)
+    if model is None:
+        return predicted(docs, None, key, text, keep)
+    own = [key, *(keep or [])]
+    label = F.when(known, F.col("lang")).alias("_label")
+    rows = landed(with_entropy(docs.select("*", label), model, text, [*own, "_label"]), "entropies")
+    model.calibrate(rows.filter("_known AND _label IS NOT NULL").select(F.col("_label").alias("lang"), "_entropy"))
+    return judged(rows, model, own)
+
+
 def predicted(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per row: key, columns ``keep``, lang_pred, score, rejected.
 
@@ -361,7 +394,12 @@ def predicted(docs: DataFrame, model: Model | None, key: str = "doc_id", text: s
     if model is None:
         nothing = {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)}
         return docs.select(*out, *[c.alias(n) for n, c in nothing.items()])
-    rows = with_entropy(docs, model, text, out).withColumn("_least", F.array_min("_entropy"))
+    return judged(with_entropy(docs, model, text, out), model, out)
+
+
+def judged(rows: DataFrame, model: Model, out: list[str]) -> DataFrame:
+    """Columns ``out``, lang_pred, score and rejected of scored ``rows``."""
+    rows = rows.withColumn("_least", F.array_min("_entropy"))
     rows = rows.withColumn("_at", F.array_position("_entropy", F.col("_least")).cast("int"))
     odds = F.transform("_entropy", lambda e: F.exp(-F.lit(float(model.heat)) * (e - F.col("_least"))))
     rows = rows.withColumn("_score", 1 / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))

@@ -23,8 +23,7 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of them."""
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
-    model = language.fitted(docs.filter(~held_out & F.col("lang").isNotNull()).select("lang", "text"))
-    return language.predicted(docs, model, keep=["held_out"])
+    return language.identified(docs, ~F.col("held_out"), keep=["held_out"])
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

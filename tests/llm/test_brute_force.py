@@ -358,6 +358,33 @@ def test_op2(spark):
         assert langs[:2] == ["a", "b"] and langs[3:] == ["und", "und", "und", "a"]
 
 
+def test_op2_is_calibrated_on_every_text(spark):
+    """Heat and bounds are those of all 6,000 rows, of which any sample lacks some; a text scored once gives the same."""
+    rng = np.random.default_rng(5)
+    entropy, true = rng.uniform(2, 6, (6000, 3)), rng.integers(0, 3, 6000)
+    entropy[np.arange(6000), true] -= rng.uniform(0, 1, 6000)
+    rows = spark.createDataFrame([("abc"[t], e.tolist()) for t, e in zip(true, entropy)], "lang string, _entropy array<double>").repartition(5)
+    model = language.Model(list("abc"), [])
+    model.calibrate(rows)
+
+    def loss(heat):
+        x = -heat * (entropy - entropy.min(1, keepdims=True))
+        return (np.log(np.exp(x).sum(1)) - x[np.arange(6000), true]).sum()
+
+    assert model.heat == min((2.0**k for k in np.arange(0, 9.1, 0.5)), key=loss)
+    for i in range(3):
+        own = np.sort(entropy[true == i, i])
+        kth = own[-(-len(own) * 999 // 1000) - 1]
+        assert kth < model.ceiling[i] <= kth + 1 / language.GRID
+    model.calibrate(rows.limit(0))
+    assert model.heat == 1.0
+    texts = [("a", "the cat sat on the mat"), ("b", "le chat est sur le tapis"), (None, "the rat"), ("b", None), ("b", "42"), ("a", "the dog")]
+    docs = spark.createDataFrame([(i, *x, i != 5) for i, x in enumerate(texts)], "doc_id long, lang string, text string, learn boolean")
+    fit = language.fitted(docs.filter("learn AND lang IS NOT NULL").select("lang", "text"))
+    want = language.predicted(docs, fit).orderBy("doc_id").collect()
+    assert language.identified(docs, F.col("learn")).orderBy("doc_id").collect() == want
+
+
 @pytest.mark.parametrize("heavy", [1, 40, 10**6])
 def test_join_by_size_leaves_hot_rows_where_they_are(spark, monkeypatch, heavy):
     """A third of the rows hold one value; the join has them in as many tasks as they came in."""

@@ -30,15 +30,23 @@ SAFE = 9_007_199_254_740_991
 
 
 class Memory:
-    """A map state as a mapping. Entries are read when first asked for and written at the end of a micro-batch."""
+    """A map state as a mapping, written at the end of a micro-batch. Each call of the store costs
+    a round trip, so nothing is asked of an empty one, one of at most ``rows`` entries, the rows at
+    hand, is read in one go when first asked, and a larger one entry by entry. ``entries``: at
+    least as many as the store has; None if that is not known."""
 
-    def __init__(self, store):
-        self.store, self.read, self.changed = store, {}, set()
+    def __init__(self, store, entries: int | None = None, rows: int = 0):
+        self.store, self.entries, self.rows = store, entries, rows
+        self.read, self.held, self.changed, self.whole = {}, {}, set(), entries == 0
 
     def get(self, key: str):
         if key not in self.read:
-            found = self.store.getValue((key,))
-            self.read[key] = json.loads(found[0]) if found is not None else None
+            if not self.whole and self.entries is not None and self.entries <= self.rows:
+                self.held.update({k[0]: v[0] for k, v in self.store.iterator()})
+                self.whole = True
+            if not self.whole and key not in self.held and (found := self.store.getValue((key,))) is not None:
+                self.held[key] = found[0]
+            self.read[key] = json.loads(self.held[key]) if key in self.held else None
         return self.read[key]
 
     def __contains__(self, key: str) -> bool:
@@ -50,10 +58,18 @@ class Memory:
 
     def flush(self) -> None:
         for key in self.changed:
-            if self.read[key] is None:
+            was, text = self.held.get(key), None if self.read[key] is None else json.dumps(self.read[key])
+            if text == was and (was is not None or self.whole):
+                continue
+            if text is None:
                 self.store.removeKey((key,))
             else:
-                self.store.updateValue((key,), (json.dumps(self.read[key]),))
+                self.store.updateValue((key,), (text,))
+            if self.entries is not None:
+                self.entries += (text is not None and was is None) - (text is None and was is not None)
+
+
+ENTRIES = "_entries"  # beside a state that is kept: the sizes of its memories
 
 
 class FoldProcessor(StatefulProcessor):
@@ -69,20 +85,22 @@ class FoldProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         machine = self.machine
-        current = machine.start()
-        if self.state.exists():
-            current.update(json.loads(self.state.get()[0]))
-        memories = {m: Memory(store) for m, store in self.memories.items()}
-        current.update(memories)
+        current, sizes = machine.start(), dict.fromkeys(self.memories, 0)
+        if (kept := self.state.get()) is not None:
+            current.update(json.loads(kept[0]))
+            sizes = current.pop(ENTRIES, {})
         pick = operator.itemgetter(*machine.inputs)
         taken = sorted((pick(r) for r in rows), key=operator.itemgetter(0))
+        memories = {m: Memory(store, sizes.get(m), len(taken)) for m, store in self.memories.items()}
+        current.update(memories)
         events, event = [], Row(*self.names)
         for row in taken:
             machine.step(current, row, lambda *e: events.append(event(key[0], *e)))
-        text = json.dumps({k: v for k, v in current.items() if k not in memories}, sort_keys=True)
-        self.state.update((text,))
+        state = {k: v for k, v in current.items() if k not in memories}
+        text = json.dumps(state, sort_keys=True)
         for memory in memories.values():
             memory.flush()
+        self.state.update((json.dumps(state | {ENTRIES: {m: x.entries for m, x in memories.items()}}),))
         if self.idle_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)

@@ -1,6 +1,7 @@
 """Streams over several micro-batches equal the batch operators, with state rows of constant size."""
 
 import glob
+import json
 import random
 
 import pytest
@@ -161,3 +162,41 @@ def test_registered_streams_run_several_micro_batches(spark, duck, name):
 
     check(spark, duck, name)
     assert batches(spark, {"stream_usage": "usage", "stream_children": "children"}.get(name, name.removeprefix("stream_").replace("_", "-"))) > 1
+
+
+class CountedStore:
+    """A map state in memory that counts its calls."""
+
+    def __init__(self, held):
+        self.held, self.calls = {(k,): (v,) for k, v in held.items()}, []
+
+    def iterator(self):
+        self.calls.append("iterator")
+        return iter(list(self.held.items()))
+
+    def getValue(self, key):
+        self.calls.append("getValue")
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls.append("updateValue")
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.calls.append("removeKey")
+        self.held.pop(key, None)
+
+
+@pytest.mark.parametrize("entries, rows, reads", [(0, 9, []), (3, 9, ["iterator"]), (3, 2, ["getValue"] * 4), (None, 9, ["getValue"] * 4)])
+def test_memory_asks_the_store_little(entries, rows, reads):
+    held = {} if entries == 0 else {"a": "1", "b": "2", "c": "3"}
+    store = CountedStore(held)
+    memory = fo.Memory(store, entries, rows)
+    assert [memory.get(k) for k in ("a", "b", "c", "d", "a")] == [json.loads(held.get(k, "null")) for k in ("a", "b", "c", "d", "a")]
+    assert store.calls == reads
+    store.calls.clear()
+    memory["a"], memory["e"], memory["c"] = 1, 5, None
+    memory.flush()
+    assert store.held == {("a",): ("1",), ("e",): ("5",)} | ({} if entries == 0 else {("b",): ("2",)})
+    assert memory.entries in (None, len(store.held))
+    assert len(store.calls) == 2

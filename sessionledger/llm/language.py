@@ -246,9 +246,9 @@ class Model:
 
     def calibrate(self, rows: DataFrame) -> None:
         """The heat that makes the labels of ``rows`` (lang, _entropy) likeliest, and per language
-        the entropy, rounded up to a step of the grid, that 999 of 1000 of its texts stay below.
+        the entropy that 999 of 1000 of its texts stay below.
 
-        Every row counts. The driver gets one sum per heat and one bound per language; a
+        Every row counts. The driver gets one sum per heat and two values per language; a
         language's texts are counted per step, whose number the entropy bounds."""
         langs = self.langs
 
@@ -266,13 +266,22 @@ class Model:
         losses = in_arrow(rows.select("lang", "_entropy"), run, "heat int, loss double").groupBy("heat").agg(F.sum("loss").alias("loss"))
         loss = {r.heat: r.loss for r in losses.collect()}
         self.heat = HEATS[min(loss, key=lambda i: (loss[i], i))] if any(loss.values()) else 1.0
-        own = F.element_at("_entropy", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int"))
-        steps = rows.groupBy("lang", F.floor(own * GRID).alias("step")).agg(F.count("*").alias("n"))
+        at = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int")
+        own = rows.select("lang", F.element_at("_entropy", at).alias("own")).withColumn("step", F.floor(F.col("own") * GRID))
+        # The quantile lies between two ranks: first the steps that hold them, then their values.
         every = Window.partitionBy("lang")
-        below = F.sum("n").over(every.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-        counted = steps.select("lang", "step", below.alias("below"), F.sum("n").over(every).alias("of"))
-        for r in counted.filter("below * 1000 >= of * 999").groupBy("lang").agg(F.min("step").alias("step")).collect():
-            self.ceiling[langs.index(r.lang)] = (r.step + 1) / GRID
+        ranked = lambda df, order, before: df.withColumn("low", before + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+        steps = ranked(own.groupBy("lang", "step").agg(F.count("*").alias("n")), every.orderBy("step"), F.lit(0)).withColumn("of", F.sum("n").over(every))
+        steps = steps.withColumn("rank", F.expr("(of - 1) * 999 div 1000"))
+        holds = "low <= least(rank + 1, of - 1) AND low + n > rank"
+        there = steps.filter(holds).select("lang", "step", "of", "rank", F.col("low").alias("before"))
+        values = own.join(there, ["lang", "step"]).groupBy("lang", "step", "of", "rank", "before", "own").agg(F.count("*").alias("n"))
+        found: dict[str, list] = {}
+        for r in ranked(values, Window.partitionBy("lang", "step").orderBy("own"), F.col("before")).filter(holds).collect():
+            found.setdefault(r.lang, []).append((r.own, r.of))
+        for lang, ends in found.items():
+            low, high = min(ends), max(ends)
+            self.ceiling[langs.index(lang)] = float(np.quantile([low[0], high[0]], (low[1] - 1) * 999 % 1000 / 1000))
 
 
 def discounts_of(counts: DataFrame) -> dict[str, float]:

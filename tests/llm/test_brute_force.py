@@ -373,9 +373,7 @@ def test_op2_is_calibrated_on_every_text(spark):
 
     assert model.heat == min((2.0**k for k in np.arange(0, 9.1, 0.5)), key=loss)
     for i in range(3):
-        own = np.sort(entropy[true == i, i])
-        kth = own[-(-len(own) * 999 // 1000) - 1]
-        assert kth < model.ceiling[i] <= kth + 1 / language.GRID
+        assert np.isclose(model.ceiling[i], np.quantile(entropy[true == i, i], 0.999), rtol=1e-9, atol=0)
     model.calibrate(rows.limit(0))
     assert model.heat == 1.0
     texts = [("a", "the cat sat on the mat"), ("b", "le chat est sur le tapis"), (None, "the rat"), ("b", None), ("b", "42"), ("a", "the dog")]
